@@ -12,6 +12,7 @@ target 0. Repeated rows are documents of their own. All draws come from hashes o
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,11 @@ from .common import cut, running_total
 BLOCK = 64
 SHARD_BLOCKS = 4096
 MOST = 3
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """key, src, row, size: words of each row; row tells repeated rows apart."""
+    """key, src, row, size: words of each row; row, taken from docs if there, tells repeated rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -36,7 +38,8 @@ def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64())], ["key", "src", "row", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("src"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, src string, row long, size long")
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("src"), row.alias("row"), F.col(text).cast("string")).mapInArrow(run, f"key {kind}, src string, row long, size long")
 
 
 def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
@@ -134,3 +137,34 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     named, spans = mix(docs, **options)
     used = spans.groupBy("row").agg(F.sum("words").alias("taken"))
     return named.join(used, "row", "left").select("key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", length: str = "n_chars", **options) -> DataFrame:
+    """The mix as documents: for each pass over a row that reads some of its words, a row with these words.
+
+    Words keep the blanks between them; where words were left out, a line break stands. length, if docs has it, is that of the new text.
+    """
+    docs = cut(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    named, spans = mix(docs, text=text, key=key, source=source, **options)
+    n = named.select("row", F.ceil(F.col("source_size") / options.get("block", BLOCK)).alias("n")).where("n > 0")
+    passes = spans.join(n, "row").select("row", F.floor(F.col("slot") / F.col("n")).alias("turn"), "start", "words")
+    parts = passes.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = b.schema.get_field_index(text), []
+            for t, ps in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("parts")).to_pylist()):
+                places = [m.span() for m in WORD.finditer(t)]
+                runs: list[list[int]] = []
+                for p in ps:
+                    if runs and runs[-1][1] == p["start"]:
+                        runs[-1][1] += p["words"]
+                    else:
+                        runs.append([p["start"], p["start"] + p["words"]])
+                out.append("\n".join(t[places[x][0] : places[y - 1][1]] for x, y in runs))
+            kept = [i for i, c in enumerate(b.schema.names) if c != "parts"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else b.column(i) for i in kept], [b.schema.names[i] for i in kept])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    made = docs.join(parts.drop("turn"), "row").select(*docs.columns, "parts").mapInArrow(run, kinds).drop("row")
+    return made.withColumn(length, F.char_length(text).cast("long")) if length in made.columns else made
