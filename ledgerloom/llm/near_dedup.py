@@ -7,7 +7,7 @@ similarity 0.75 a pair misses all 40 with probability 3e-7.
 
 Documents of equal sets are one class, held by its smallest id. In a bucket, the smallest class is the centre of a star, so
 a bucket of n classes gives n-1 candidate edges. Where members of a bucket still lie in different components, further members
-become centres, twice as many each round, until all such pairs have met: no link between classes that share a bucket is lost, and none within a
+become centres, eight times as many each round, until all such pairs have met: no link between classes that share a bucket is lost, and none within a
 component is asked for. Candidates are confirmed on full sets of 64-bit shingle hashes. Components come from rounds of large-star and small-star joins.
 
 A row without id takes no part: no component, and it is kept. Rows of one id are one node, and each keeps its row.
@@ -32,6 +32,8 @@ BINS = BANDS * ROWS
 BATCH_BYTES = 4_000_000
 #: Copies of a bucket's centre or a node's least neighbour, so that a hot one meets its rows in several tasks.
 SALTS = 8
+#: How many times more centres a bucket of mixed components gets each round.
+GROWTH = 8
 #: Sets below this size are confirmed without a look at the sketch, whose estimate is too rough for them.
 SMALL_SET = 300
 #: Equal bytes of two sketches that let a pair go on to its full sets: 0.75 less more than six standard deviations.
@@ -225,15 +227,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         if not (told.agg(F.max("place")).first()[0] or 0) > turn:
             break
         ranked = told.drop("component")
-        heads = told.where((F.col("place") > turn) & (F.col("place") <= 2 * turn)).select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
+        heads = told.where((F.col("place") > turn) & (F.col("place") <= GROWTH * turn)).select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
         met = told.join(heads, "bucket").where((F.col("place") > F.col("at_h")) & (F.col("component") != F.col("of_h")) & size(F.col("n_shingles"), F.col("n_h")))
         fresh = cut(met.select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        turn *= GROWTH
+        if not fresh.take(1):
+            continue
         pairs = pairs.union(fresh)
         more = confirm(fresh, reps, docs, text, key)
-        if more.first():
+        if more.take(1):
             links = links.union(more)
             found = cut(components(links), "components")
-        turn *= 2
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "class").join(cut(named, "named"), "class", "left")
