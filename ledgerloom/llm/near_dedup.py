@@ -8,7 +8,9 @@ similarity 0.75 a pair misses all 40 with probability 3e-7.
 Documents of equal sets are one class, held by its smallest id. In a bucket, the smallest class is the centre of a star, so
 a bucket of n classes gives n-1 candidate edges. Where members of a bucket still lie in different components, further members
 become centres, eight times as many each round, until all such pairs have met: no link between classes that share a bucket is lost, and none within a
-component is asked for. Candidates are confirmed on full sets of 64-bit shingle hashes. Components come from rounds of large-star and small-star joins.
+component is asked for. A pair's intersection lies within what each set shares with any other set of these buckets, so pairs
+for which that is below 3/7 of their sizes' sum, which similarity 0.75 asks for, are left out without loss: of a large group of near copies, this
+spares members the copies that are edited too much to be linked with any. Candidates are confirmed on full sets of 64-bit shingle hashes. Components come from rounds of large-star and small-star joins.
 
 A row without id takes no part: no component, and it is kept. Rows of one id are one node, and each keeps its row.
 """
@@ -89,6 +91,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def set_digest(s: np.ndarray) -> str:
+    """The class of a set."""
+    return f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(_mixed(s + np.uint64(1)).sum(dtype=np.uint64)):x}"
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """The densified signature of each set that isn't empty; zeros for an empty one."""
     sig, full = np.zeros((len(sets), BINS), np.uint64), np.zeros((len(sets), BINS), bool)
@@ -133,22 +140,37 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 band = _mixed(band + sig[:, r::ROWS] + np.uint64(r + 1))
             band = _mixed(band + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
-            digest = [f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(_mixed(s + np.uint64(1)).sum(dtype=np.uint64)):x}" for s in sets]
+            digest = [set_digest(s) for s in sets]
             buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest), buckets, pa.array([x.tobytes() for x in (sig >> np.uint64(7)).astype(np.uint8)], pa.binary())], ["doc_id", "n_shingles", "class", "buckets", "sketch"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class string, buckets array<long>, sketch binary")
 
 
-def full_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, class, shingles: the sorted 64-bit hashes."""
+def full_sets(docs: DataFrame, asked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, shingles (the sorted 64-bit hashes) of each asked (doc_id, class)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _batches(it, 1):
             sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "class", "shingles"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string"))
+    sets = rows.join(asked.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, class string, shingles binary")
+    return sets.join(asked, ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id"]).drop("class")
+
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+def own_sizes(docs: DataFrame, asked: DataFrame, text: str, key: str) -> DataFrame:
+    """rep, n_own of the asked (doc_id, class): how many shingles of a set no other asked set has; no row where there are none."""
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s)], ["rep", "shingle"])
+
+    flat = full_sets(docs, asked, text, key).mapInArrow(each, "rep long, shingle long")
+    return flat.groupBy("shingle").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("n_own"))
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -174,8 +196,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key:
     near = cut(near, "candidates")
     asked = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     asked = reps.select(F.col("rep").alias("doc_id"), "class").join(asked, "doc_id", "left_semi")
-    texts = docs.where(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("long")).join(asked.withColumnRenamed("doc_id", key), key, "left_semi")
-    sets = cut(full_sets(texts, text, key).dropDuplicates(["doc_id"]), "sets")
+    sets = cut(full_sets(docs, asked, text, key), "sets")
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
     return cut(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long"), "links")
 
@@ -216,19 +237,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     links = confirm(pairs, reps, docs, text, key)
     found = cut(components(links), "components")
 
+    def apart(rows: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components."""
+        mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+        return rows.join(mixed, "bucket", "left_semi")
+
+    alike = lambda n, m: 7 * n >= 3 * m
     turn, ranked = 1, None
     while True:
         told = (stars if ranked is None else ranked).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = told.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        told = told.join(mixed, "bucket", "left_semi")
+        told = apart(told)
         if ranked is None:
-            told = told.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
+            told = cut(told, "apart")
+            asked = reps.select(F.col("rep").alias("doc_id"), "class").join(told.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            own = cut(own_sizes(docs, cut(asked, "asked"), text, key), "own")
+            told = told.join(own, "rep", "left").withColumn("n_shared", F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).drop("n_own")
+            least = told.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+            able = told.join(least, "bucket").where(alike(F.col("n_shared"), F.col("n_shingles") + F.col("least"))).drop("least")
+            told = apart(cut(able, "able")).withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
         told = cut(told, "mixed")
         if not (told.agg(F.max("place")).first()[0] or 0) > turn:
             break
         ranked = told.drop("component")
-        heads = told.where((F.col("place") > turn) & (F.col("place") <= GROWTH * turn)).select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
-        met = told.join(heads, "bucket").where((F.col("place") > F.col("at_h")) & (F.col("component") != F.col("of_h")) & size(F.col("n_shingles"), F.col("n_h")))
+        heads = told.where((F.col("place") > turn) & (F.col("place") <= GROWTH * turn)).select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("n_shared").alias("shared_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
+        met = told.join(heads, "bucket").where((F.col("place") > F.col("at_h")) & (F.col("component") != F.col("of_h")) & size(F.col("n_shingles"), F.col("n_h")) & alike(F.least("n_shared", "shared_h"), F.col("n_shingles") + F.col("n_h")))
         fresh = cut(met.select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         turn *= GROWTH
         if not fresh.take(1):
