@@ -1,5 +1,6 @@
 import pytest
 from compare import same
+from ledgerloom.plans import gates  # noqa: F401
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 
