@@ -7,10 +7,11 @@ similarity 0.75 a pair misses all 40 with probability 3e-7.
 
 Documents of equal sets are one class, held by its smallest id. In a bucket, the smallest class is the centre of a star, so
 a bucket of n classes gives n-1 candidate edges. Where members of a bucket still lie in different components, further members
-become centres, eight times as many each round, until all such pairs have met: no link between classes that share a bucket is lost, and none within a
-component is asked for. A pair's intersection lies within what each set shares with any other set of these buckets, so pairs
-for which that is below 3/7 of their sizes' sum, which similarity 0.75 asks for, are left out without loss: of a large group of near copies, this
-spares members the copies that are edited too much to be linked with any. Candidates are confirmed on full sets of 64-bit shingle hashes. Components come from rounds of large-star and small-star joins.
+become centres, eight times as many each round, until all such pairs have met; those of the bucket's largest component need not, as
+the others meet them. So no link between classes that share a bucket is lost, and none within a component is asked for. Each set
+has a mask, the bits that its shingles hash to. A bit that two masks differ in stands for a shingle that one of the sets lacks, so
+pairs with more such bits than a seventh of their sizes' sum, the most that similarity 0.75 leaves room for, are left out by the join itself, without loss: of a large
+group of near copies, this spares members the copies that are edited too much to be linked with them. Candidates are confirmed on full sets of 64-bit shingle hashes. Components come from rounds of large-star and small-star joins.
 
 A row without id takes no part: no component, and it is kept. Rows of one id are one node, and each keeps its row.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +41,8 @@ GROWTH = 8
 SMALL_SET = 300
 #: Equal bytes of two sketches that let a pair go on to its full sets: 0.75 less more than six standard deviations.
 SKETCH_LEAST = 80
+#: 64-bit words of a mask.
+MASK_WORDS = 16
 
 _r = np.random.default_rng(20240229)
 _LETTER = _r.integers(0, 2**64, 256, np.uint64)
@@ -115,6 +118,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
+def masks(sets: list[np.ndarray]) -> np.ndarray:
+    """MASK_WORDS words of bits for each set: those that its shingles hash to."""
+    out = np.zeros((len(sets), MASK_WORDS * 8), np.uint8)
+    for i, s in enumerate(sets):
+        bits = np.zeros(MASK_WORDS * 64, np.uint8)
+        bits[(s % np.uint64(MASK_WORDS * 64)).astype(np.int64)] = 1
+        out[i] = np.packbits(bits)
+    return out.view(np.int64)
+
+
 def _batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches of about equal bytes."""
     for b in it:
@@ -129,7 +142,7 @@ def _batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Rec
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set), buckets, sketch (a byte of each bin)."""
+    """doc_id, n_shingles, class (a digest of the set), buckets, sketch (a byte of each bin), mask."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _batches(it, 1):
@@ -142,9 +155,10 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             n = np.array([len(s) for s in sets], np.int64)
             digest = [set_digest(s) for s in sets]
             buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest), buckets, pa.array([x.tobytes() for x in (sig >> np.uint64(7)).astype(np.uint8)], pa.binary())], ["doc_id", "n_shingles", "class", "buckets", "sketch"])
+            mask = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * MASK_WORDS, pa.int32()), pa.array(masks(sets).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest), buckets, pa.array([x.tobytes() for x in (sig >> np.uint64(7)).astype(np.uint8)], pa.binary()), mask], ["doc_id", "n_shingles", "class", "buckets", "sketch", "mask"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class string, buckets array<long>, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class string, buckets array<long>, sketch binary, mask array<long>")
 
 
 def full_sets(docs: DataFrame, asked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -160,17 +174,10 @@ def full_sets(docs: DataFrame, asked: DataFrame, text: str = "text", key: str =
     return sets.join(asked, ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id"]).drop("class")
 
 
-def own_sizes(docs: DataFrame, asked: DataFrame, text: str, key: str) -> DataFrame:
-    """rep, n_own of the asked (doc_id, class): how many shingles of a set no other asked set has; no row where there are none."""
-
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(s)], ["rep", "shingle"])
-
-    flat = full_sets(docs, asked, text, key).mapInArrow(each, "rep long, shingle long")
-    return flat.groupBy("shingle").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("n_own"))
+def may_be_alike(n: Column, mask: Column, m: Column, other: Column) -> Column:
+    """Whether masks leave it open that sets of n and m shingles have a similarity of 0.75."""
+    differ = sum((F.bit_count(F.get(mask, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(MASK_WORDS)), F.lit(0))
+    return 7 * differ <= n + m
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -191,8 +198,8 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key:
                 keep.append(100 * both >= 75 * (len(s) + len(t) - both))
             yield p.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(alike, "a long, b long")
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("mask").alias(f"m_{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_alike(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(alike, "a long, b long")
     near = cut(near, "candidates")
     asked = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     asked = reps.select(F.col("rep").alias("doc_id"), "class").join(asked, "doc_id", "left_semi")
@@ -237,32 +244,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     links = confirm(pairs, reps, docs, text, key)
     found = cut(components(links), "components")
 
-    def apart(rows: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components."""
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        return rows.join(mixed, "bucket", "left_semi")
-
-    alike = lambda n, m: 7 * n >= 3 * m
-    turn, ranked = 1, None
-    while True:
-        told = (stars if ranked is None else ranked).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        told = apart(told)
-        if ranked is None:
-            told = cut(told, "apart")
-            asked = reps.select(F.col("rep").alias("doc_id"), "class").join(told.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            own = cut(own_sizes(docs, cut(asked, "asked"), text, key), "own")
-            told = told.join(own, "rep", "left").withColumn("n_shared", F.col("n_shingles") - F.coalesce("n_own", F.lit(0))).drop("n_own")
-            least = told.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
-            able = told.join(least, "bucket").where(alike(F.col("n_shared"), F.col("n_shingles") + F.col("least"))).drop("least")
-            told = apart(cut(able, "able")).withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
-        told = cut(told, "mixed")
-        if not (told.agg(F.max("place")).first()[0] or 0) > turn:
-            break
-        ranked = told.drop("component")
-        heads = told.where((F.col("place") > turn) & (F.col("place") <= GROWTH * turn)).select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("n_shared").alias("shared_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
-        met = told.join(heads, "bucket").where((F.col("place") > F.col("at_h")) & (F.col("component") != F.col("of_h")) & size(F.col("n_shingles"), F.col("n_h")) & alike(F.least("n_shared", "shared_h"), F.col("n_shingles") + F.col("n_h")))
-        fresh = cut(met.select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        turn *= GROWTH
+    told = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # The largest component of each bucket that holds several.
+    largest = told.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count("*").alias("parts"))
+    apart = cut(told.join(largest.where("parts > 1"), "bucket").drop("component", "parts").join(reps.select("rep", "mask"), "rep"), "apart")
+    others = told.join(largest.where("parts > 1"), "bucket").where("component <> largest")
+    ranked = cut(others.select("bucket", "rep", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("place")), "ranked")
+    ranked = cut(apart.drop("largest").join(ranked, ["bucket", "rep"], "left"), "ranked")
+    last, turn = ranked.agg(F.max("place")).first()[0] or 0, 0
+    while turn < last:
+        told = ranked.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        then, turn = turn, GROWTH * max(turn, 1)
+        heads = told.where((F.col("place") > then) & (F.col("place") <= turn) & (F.col("rep") != F.col("a")))
+        heads = heads.select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("mask").alias("mask_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
+        met = (told["bucket"] == heads["bucket"]) & (F.col("component") != F.col("of_h")) & (F.coalesce("place", F.lit(last + 1)) > F.col("at_h"))
+        met = told.join(heads, met & size(F.col("n_shingles"), F.col("n_h")) & may_be_alike(F.col("n_shingles"), F.col("mask"), F.col("n_h"), F.col("mask_h")))
+        fresh = cut(met.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.take(1):
             continue
         pairs = pairs.union(fresh)
