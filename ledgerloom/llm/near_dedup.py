@@ -7,7 +7,7 @@ similarity 0.75 a pair misses all 40 with probability 3e-7.
 
 Documents of equal sets are one class, held by its smallest id. In a bucket, the smallest class is the centre of a star, so
 a bucket of n classes gives n-1 candidate edges. Where members of a bucket still lie in different components, further members
-become centres, eight times as many each round, until all such pairs have met; those of the bucket's largest component need not, as
+become centres, 64 times as many each round, until all such pairs have met; those of the bucket's largest component need not, as
 the others meet them. So no link between classes that share a bucket is lost, and none within a component is asked for. Each set
 has a mask, the bits that its shingles hash to. A bit that two masks differ in stands for a shingle that one of the sets lacks, so
 pairs with more such bits than a seventh of their sizes' sum, the most that similarity 0.75 leaves room for, are left out by the join itself, without loss: of a large
@@ -36,7 +36,7 @@ BATCH_BYTES = 4_000_000
 #: Copies of a bucket's centre or a node's least neighbour, so that a hot one meets its rows in several tasks.
 SALTS = 8
 #: How many times more centres a bucket of mixed components gets each round.
-GROWTH = 8
+GROWTH = 64
 #: Sets below this size are confirmed without a look at the sketch, whose estimate is too rough for them.
 SMALL_SET = 300
 #: Equal bytes of two sketches that let a pair go on to its full sets: 0.75 less more than six standard deviations.
@@ -211,15 +211,14 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key:
 def components(links: DataFrame) -> DataFrame:
     """node, component of every node of links (a, b): the smallest node that it reaches."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v"))).distinct()
-        seen = now
+        # Done when each node with an edge to a smaller one has no other edge.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("v"), F.lit(0)))
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or (up = 1 and least = 0)").take(1):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
@@ -247,10 +246,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     told = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     # The largest component of each bucket that holds several.
     largest = told.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count("*").alias("parts"))
-    apart = cut(told.join(largest.where("parts > 1"), "bucket").drop("component", "parts").join(reps.select("rep", "mask"), "rep"), "apart")
-    others = told.join(largest.where("parts > 1"), "bucket").where("component <> largest")
-    ranked = cut(others.select("bucket", "rep", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("place")), "ranked")
-    ranked = cut(apart.drop("largest").join(ranked, ["bucket", "rep"], "left"), "ranked")
+    apart = told.join(largest.where("parts > 1"), "bucket")
+    places = apart.where("component <> largest").select("bucket", "rep", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("place"))
+    apart = apart.select("bucket", "rep", "n_shingles", "a").join(reps.select("rep", "mask"), "rep")
+    ranked = cut(apart.join(places, ["bucket", "rep"], "left"), "ranked")
     last, turn = ranked.agg(F.max("place")).first()[0] or 0, 0
     while turn < last:
         told = ranked.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
