@@ -42,7 +42,7 @@ SMALL_SET = 300
 #: Equal bytes of two sketches that let a pair go on to its full sets: 0.75 less more than six standard deviations.
 SKETCH_LEAST = 80
 #: 64-bit words of a mask.
-MASK_WORDS = 16
+MASK_WORDS = 32
 
 _r = np.random.default_rng(20240229)
 _LETTER = _r.integers(0, 2**64, 256, np.uint64)
@@ -176,8 +176,9 @@ def full_sets(docs: DataFrame, asked: DataFrame, text: str = "text", key: str =
 
 def may_be_alike(n: Column, mask: Column, m: Column, other: Column) -> Column:
     """Whether masks leave it open that sets of n and m shingles have a similarity of 0.75."""
-    differ = sum((F.bit_count(F.get(mask, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(MASK_WORDS)), F.lit(0))
-    return 7 * differ <= n + m
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    first = sum((differ(F.get(mask, F.lit(i)), F.get(other, F.lit(i))) for i in range(MASK_WORDS // 4)), F.lit(0))  # leaves few pairs to the whole masks
+    return (7 * first <= n + m) & (7 * F.aggregate(F.zip_with(mask, other, differ), F.lit(0), lambda total, x: total + x) <= n + m)
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
