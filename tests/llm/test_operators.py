@@ -227,3 +227,19 @@ def test_toxicity(spark, docs):
     out = toxicity.score(docs, net).collect()
     assert len(out) == 7 and all(0 <= x.score <= 1 for x in out)
     assert toxicity.fit(rows[:1], 1.0) == 1.0
+
+
+def test_masks_lose_no_link(spark):
+    """Pairs at or above the similarity always pass the masks' bound, at sizes from a few shingles to more than a mask has bits."""
+    rng, rows = np.random.default_rng(7), []
+    for n in (1, 4, 60, 150, 900, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.concatenate([a[: max(1, int(len(a) * rng.uniform(0.6, 1)))], rng.integers(0, 2**64, n // 8, np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            x, y = near_dedup.masks([a, b]).tolist()
+            rows.append((len(a), x, len(b), y, 100 * both >= 75 * (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "n long, x array<long>, m long, y array<long>, linked boolean")
+    got = df.select("linked", near_dedup.may_be_alike(df.n, df.x, df.m, df.y).alias("kept")).collect()
+    assert any(r.linked for r in got) and all(r.kept for r in got if r.linked)
+    assert not all(r.kept for r in got)
