@@ -2,7 +2,7 @@
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers of a text. A term is a word within three
 words of one. Over all documents, I(e) = log2(N / n(e)) is what naming e tells, and PMI(t, e) = log2(N n(t, e) / (n(t) n(e)))
-what t tells of it; n(t), n(e) count documents, n(t, e) counts distinct texts that have t beside e. A term beside e is a
+what t tells of it; N, n(t), n(e) and n(t, e) all count distinct texts, n(t, e) those that have t beside e. A term beside e is a
 disclosure where n(t, e) >= 2, I(e) >= 3 bits and PMI(t, e) >= 0.9 I(e). It becomes a span of kind ``term``. In the clean text,
 entities become their kind, disclosing numbers are generalised to [NUMBER], other disclosing terms are removed.
 Texts without an entity stay as they are.
@@ -107,13 +107,13 @@ def disclosures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     b = base(docs, text, keep)
     beside = F.transform("found", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["match"])).alias("entity"), F.filter(_beside(F.col("_t"), s["start"], s["end"]), lambda w: ~F.exists("found", lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))).alias("words")))
     rows = cut(b.withColumn("beside", F.when(F.size("found") > 0, beside)).drop("_t"), "entities")
-    total = rows.count()
+    total = rows.select("text_key").distinct().count()
     each = rows.where(F.size("found") > 0).select("text_key", F.explode("beside").alias("x")).select("text_key", "x.entity", F.explode("x.words").alias("w")).withColumn("term", F.lower("w.match"))
-    n_e = rows.where(F.size("found") > 0).select(F.explode(F.array_distinct(F.transform("beside", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = rows.where(F.size("found") > 0).select(F.explode(F.array_distinct(F.transform("beside", lambda x: x["entity"]))).alias("entity"), "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     both = each.select("text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST_TEXTS)
     both = cut(both.join(n_e, "entity").where(F.log2(F.lit(float(max(total, 1))) / F.col("n_e")) >= LEAST_BITS), "beside")
-    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("term"))
-    n_t = words.join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("term"))
+    n_t = words.join(both.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     tells = F.log2(F.col("n_te") * float(max(total, 1)) / (F.col("n_t") * F.col("n_e")))
     told = cut(both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))).select("entity", "term"), "disclosing")
     terms = each.join(told, ["entity", "term"], "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_set("w")).alias("terms"))

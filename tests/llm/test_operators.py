@@ -209,6 +209,14 @@ def test_pii(spark, none):
     assert not pii.digest(*pii.disclosures(none), "doc_id").collect()
 
 
+def test_pii_counts_texts_not_copies(spark):
+    """An entity of three distinct texts, one of them in 200 copies: copies change no count, so its only term is still found."""
+    rows = [f"call smith at x@y.zz {w} now" for w in ("one", "two", "six")] + ["call smith at x@y.zz one now"] * 200 + [f"call now at one two six plain{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    clean = {x.doc_id: x.text for x in pii.sanitise(df).collect()}
+    assert all("smith" not in clean[i] and "call" in clean[i] for i in range(203))
+
+
 def test_chat(spark):
     c = spark.createDataFrame([(1, 0, "user", "Hello there\nHow are you?", 1), (1, 1, "assistant", "> how  are you?\nFine.", 1), (1, 2, "user", "On Monday X wrote:\n> > How are you?\n> Fine.\nGood", 1), (1, 3, "user", None, 1), (2, 0, "user", "> never said\nok", 1), (1, 4, "user", ">Good", 1), (None, 0, None, "> Good\nx", 1)], "conv_id long, turn long, role string, text string, row int")
     got = sorted((x.conv_id or 0, x.turn, x.n_linked, -1 if x.reply_to is None else x.reply_to, x.root_turn, x.depth, x.text) for x in chat.link(c).collect())
