@@ -1,11 +1,14 @@
 """Operator 7, PII: information-theoretic sanitisation, by DataFrame functions alone.
 
-Protected entities are the e-mail addresses, IP addresses, card and phone numbers of a text. A term is a word within three
-words of one. Over all documents, I(e) = log2(N / n(e)) is what naming e tells, and PMI(t, e) = log2(N n(t, e) / (n(t) n(e)))
-what t tells of it; N, n(t), n(e) and n(t, e) all count distinct texts, n(t, e) those that have t beside e. A term beside e is a
-disclosure where n(t, e) >= 2, I(e) >= 3 bits and PMI(t, e) >= 0.9 I(e). It becomes a span of kind ``term``. In the clean text,
-entities become their kind, disclosing numbers are generalised to [NUMBER], other disclosing terms are removed.
-Texts without an entity stay as they are.
+Protected entities are the e-mail addresses, IP addresses, card and phone numbers of a text. A term is a word that touches
+none. Over all documents, I(e) = log2(N / n(e)) is what naming e tells, and PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) what t
+tells of it; N, n(t), n(e) and n(t, e) all count distinct texts, n(t, e) those that have both, however far apart. A term is a
+disclosure where n(t, e) >= 2, I(e) >= 3 bits and PMI(t, e) >= 0.9 I(e) for some e. Each of its occurrences, in texts with or
+without an entity, becomes a span of kind ``term``. In the clean text, entities become their kind, disclosing numbers are
+generalised to [NUMBER], other disclosing terms are removed. Texts with neither stay as they are.
+
+Pairs are counted only where they can pass: as n(t) is at least the number m(t) of texts with a supported entity that have t,
+a pair needs m(t) <= n(e) (N / n(e))^0.1. This loses no pair, and leaves the common words out before pairs are made.
 
 Null texts are empty: no spans. Spans depend on the text alone, so repeated rows and copies get the same. Where spans
 overlap, the clean text masks what they cover once.
@@ -17,6 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 
@@ -26,9 +30,10 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"[\p{L}\p{N}_]+"
-#: Characters and words on either side of an entity in which terms are looked for.
-NEAR_CHARS, NEAR_WORDS = 100, 3
+#: Stands for each character of an entity, so that places stay and a word that touches one is no term.
+MASK = "\uffff"
+TERM = rf"(?<![\p{{L}}\p{{N}}_{MASK}])[\p{{L}}\p{{N}}_]++(?!{MASK})"
+SLOTS = 1 << 20
 LEAST_TEXTS, LEAST_BITS, LEAST_SHARE = 2, 3.0, 0.9
 
 
@@ -81,15 +86,18 @@ def entities(text: Column) -> Column:
     )
 
 
-def _beside(text: Column, start: Column, end: Column) -> Column:
-    """Words near start..end with their places; a word that the window's edge cuts is left out."""
-    from_ = F.greatest(start - NEAR_CHARS, F.lit(0))
-    left = found(F.substring(text, from_ + 1, start - from_), WORD, from_)
-    left = F.filter(left, lambda w: (w["start"] > from_) | (from_ == 0))
-    right = found(F.substring(text, end + 1, F.lit(NEAR_CHARS)), WORD, end)
-    right = F.filter(right, lambda w: (w["end"] < end + NEAR_CHARS) & (w["start"] > end))
-    left = F.filter(left, lambda w: w["end"] < start)
-    return F.concat(F.slice(left, F.greatest(F.size(left) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)), F.slice(right, 1, NEAR_WORDS))
+def blanked(text: Column, spans: Column) -> Column:
+    """text with MASK for each character of the spans (sorted by start), which may overlap; MASK in the text itself becomes a blank."""
+    plain = F.translate(text, MASK, " ")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def put(acc: Column, s: Column) -> Column:
+        gap = F.substring(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        covered = F.repeat(F.lit(MASK), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, covered).alias("out"))
+
+    whole = F.aggregate(spans, zero, put, lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.char_length(plain))))
+    return F.when(F.size(spans) > 0, whole).otherwise(plain)
 
 
 def text_key(text: Column) -> Column:
@@ -97,27 +105,61 @@ def text_key(text: Column) -> Column:
 
 
 def base(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, text_key, found: the base spans of each row."""
+    """keep, text_key, found, rest: the base spans of each row, and its text without what they cover."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(*keep, t.alias("_t")).select(*keep, text_key(F.col("_t")).alias("text_key"), entities(F.col("_t")).alias("found"), "_t")
+    b = docs.select(*keep, t.alias("_t")).select(*keep, text_key(F.col("_t")).alias("text_key"), entities(F.col("_t")).alias("found"), "_t")
+    return b.select(*keep, "text_key", "found", blanked(F.col("_t"), F.col("found")).alias("rest"))
+
+
+def terms_of(rows: DataFrame) -> DataFrame:
+    """text_key, term: the distinct terms of each row's text."""
+    each = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+    return rows.select("text_key", F.explode(each).alias("term"))
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """text_key, start, end, match of each term in texts, one row for each text_key; places in code points."""
+    both = F.arrays_zip(F.split("rest", TERM, -1).alias("gap"), F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)).alias("match"))
+    each = texts.select("text_key", F.posexplode(both).alias("i", "w")).select("text_key", "i", F.char_length("w.gap").alias("g"), F.col("w.match").alias("match")).where("match is not null")
+    before = F.sum(F.col("g") + F.char_length("match")).over(Window.partitionBy("text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return each.withColumn("end", before.cast("int")).select("text_key", (F.col("end") - F.char_length("match")).alias("start"), "end", "match")
+
+
+def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(told, hits): entity, term of each disclosure; text_key, term wherever a candidate occurs. rows as base() gives them."""
+    total = float(max(rows.select("text_key").distinct().count(), 1))
+    named = F.array_distinct(F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
+    of = cut(rows.where(F.size("found") > 0).select("text_key", F.explode(named).alias("entity")).distinct(), "entities")
+    n_e = of.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= LEAST_TEXTS) & (F.log2(F.lit(total) / F.col("n_e")) >= LEAST_BITS))
+    of = cut(of.join(n_e, "entity"), "supported")
+    held = rows.where(F.size("found") > 0).select("text_key", "rest").join(of.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
+    words = cut(terms_of(held), "words")
+    m_t = words.groupBy("term").agg(F.count("*").alias("m_t")).where(F.col("m_t") >= LEAST_TEXTS)
+    # A little more than the bound, for rounding; the exact test comes below.
+    most = of.agg(F.max(F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - LEAST_SHARE))).alias("most")).first()["most"] or 0.0
+    rare = words.join(m_t.where(F.col("m_t") <= most * 1.000001), "term")
+    may = F.col("m_t") <= F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - LEAST_SHARE)) * 1.000001
+    enough = F.col("n_te") >= F.col("m_t") * F.pow(F.col("n_e") / F.lit(total), F.lit(1 - LEAST_SHARE)) * 0.999999
+    both = cut(rare.join(of, "text_key").where(may).groupBy("entity", "term", "n_e", "m_t").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= LEAST_TEXTS) & enough).drop("m_t"), "pairs")
+    sought = cut(both.select("term").distinct().withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(SLOTS))), "sought")
+    # Most words that are not sought go before the join by term: a broadcast of at most SLOTS numbers, whatever the input.
+    near = terms_of(rows).withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(SLOTS))).join(F.broadcast(sought.select("slot").distinct()), "slot", "left_semi")
+    hits = cut(near.join(sought.select("term"), "term", "left_semi").select("text_key", "term").distinct(), "hits")
+    n_t = hits.groupBy("term").agg(F.count("*").alias("n_t"))
+    tells = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+    return cut(both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(total) / F.col("n_e"))).select("entity", "term"), "disclosing"), hits
 
 
 def disclosures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(rows, terms): keep, text_key, found of each row; text_key, terms (array<struct<start,end,match>>) of texts that have any."""
-    b = base(docs, text, keep)
-    beside = F.transform("found", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["match"])).alias("entity"), F.filter(_beside(F.col("_t"), s["start"], s["end"]), lambda w: ~F.exists("found", lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"]))).alias("words")))
-    rows = cut(b.withColumn("beside", F.when(F.size("found") > 0, beside)).drop("_t"), "entities")
-    total = rows.select("text_key").distinct().count()
-    each = rows.where(F.size("found") > 0).select("text_key", F.explode("beside").alias("x")).select("text_key", "x.entity", F.explode("x.words").alias("w")).withColumn("term", F.lower("w.match"))
-    n_e = rows.where(F.size("found") > 0).select(F.explode(F.array_distinct(F.transform("beside", lambda x: x["entity"]))).alias("entity"), "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    both = each.select("text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST_TEXTS)
-    both = cut(both.join(n_e, "entity").where(F.log2(F.lit(float(max(total, 1))) / F.col("n_e")) >= LEAST_BITS), "beside")
-    words = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("term"))
-    n_t = words.join(both.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    tells = F.log2(F.col("n_te") * float(max(total, 1)) / (F.col("n_t") * F.col("n_e")))
-    told = cut(both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))).select("entity", "term"), "disclosing")
-    terms = each.join(told, ["entity", "term"], "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_set("w")).alias("terms"))
-    return rows.drop("beside"), cut(terms, "terms")
+    rows = cut(base(docs, text, keep), "entities")
+    told, hits = disclosing(rows)
+    told = told.select("term").distinct()
+    risky = hits.join(told, "term", "left_semi").select("text_key").distinct()
+    texts = rows.select("text_key", "rest").join(risky, "text_key", "left_semi").dropDuplicates(["text_key"])
+    marked = places(texts).withColumn("term", F.lower("match")).join(told, "term", "left_semi")
+    terms = marked.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("terms"))
+    return rows.drop("rest"), cut(terms, "terms")
 
 
 def digest(rows: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
@@ -143,9 +185,9 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with text sanitised; rows without a span are unchanged."""
     rows, terms = disclosures(docs, text, (key,))
-    labels = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
+    labels = F.transform(F.coalesce("found", F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int,kind:string,match:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     of_terms = F.transform(F.coalesce("terms", F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["match"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("")).alias("label")))
-    spans = rows.where(F.size("found") > 0).select("text_key", "found").dropDuplicates(["text_key"]).join(terms, "text_key", "left").select("text_key", F.array_sort(F.concat(labels, of_terms)).alias("spans"))
+    spans = rows.where(F.size("found") > 0).select("text_key", "found").dropDuplicates(["text_key"]).join(terms, "text_key", "full_outer").select("text_key", F.array_sort(F.concat(labels, of_terms)).alias("spans"))
     joined = docs.withColumn("text_key", text_key(F.coalesce(F.col(text), F.lit("")))).join(cut(spans, "spans"), "text_key", "left")
     clean = F.when(F.col("spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("spans")))
     return joined.withColumn(text, clean).select(*docs.columns)

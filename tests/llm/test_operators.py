@@ -217,6 +217,36 @@ def test_pii_counts_texts_not_copies(spark):
     assert all("smith" not in clean[i] and "call" in clean[i] for i in range(203))
 
 
+def pii_terms(rows):
+    """Brute force: {row: spans of terms}, with distinct texts as the unit and every word of a text as a candidate."""
+    texts = {t: ([p.split(":") for p in personal(t).split(",") if p]) for t in {t or "" for t in rows}}
+    words, named = {}, {}
+    for t, spans in texts.items():
+        cuts = [(int(a), int(b)) for _, a, b in spans]
+        words[t] = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W]+", t) if not any(a < m.end() and m.start() < b for a, b in cuts)]
+        named[t] = {f"{k}:{t[int(a):int(b)].lower()}" for k, a, b in spans}
+    has = lambda f: Counter(x for t in texts for x in f(t))
+    n, n_t, n_e = len(texts), has(lambda t: {w for *_, w in words[t]}), has(lambda t: named[t])
+    n_te = has(lambda t: {(w, e) for *_, w in words[t] for e in named[t]})
+    told = {w for (w, e), k in n_te.items() if k >= 2 and np.log2(n / n_e[e]) >= 3 and np.log2(k * n / (n_t[w] * n_e[e])) >= 0.9 * np.log2(n / n_e[e])}
+    return [[(a, b) for a, b, w in words[t or ""] if w in told] for t in rows]
+
+
+def test_pii_marks_terms_anywhere(spark):
+    """The name far from the address, before it, twice, and in a text without it; copies of a text; against brute force."""
+    far = "filler words in between that every text has, more than a hundred characters of them, so that no window reaches over " * 2
+    rows = [f"mail x@y.zz {far} yours Smith {w}" for w in ("one", "two", "six", "ten")] + [f"Smith, smith. {far} x@y.zz and 10.0.0.1"] + [f"only SMITH is named here {far}", None, ""]
+    rows += [f"{far} one two six ten only is named here yours mail and plain{i}" for i in range(70)] + [rows[0]] * 30
+    r = random.Random(5)
+    rows += [" ".join([f"w{r.randint(0, 60)}", f"u{i % 7}@h.org", "é\uffffx", f"Q{i % 7}", f"z{r.randint(0, 9)}"]) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: [tuple(map(int, p.split(":")[1:])) for p in x.spans.split(",") if p.startswith("term:")] for x in pii.digest(*pii.disclosures(df), "doc_id").collect()}
+    want = pii_terms(rows)
+    assert [sorted(got[i]) for i in range(len(rows))] == want and len(want[4]) >= 2 and want[5]
+    clean = {x.doc_id: x.text for x in pii.sanitise(df).collect()}
+    assert not any("smith" in (clean[i] or "").lower() for i in range(len(rows))) and clean[6] is None and clean[8] == rows[8]
+
+
 def test_chat(spark):
     c = spark.createDataFrame([(1, 0, "user", "Hello there\nHow are you?", 1), (1, 1, "assistant", "> how  are you?\nFine.", 1), (1, 2, "user", "On Monday X wrote:\n> > How are you?\n> Fine.\nGood", 1), (1, 3, "user", None, 1), (2, 0, "user", "> never said\nok", 1), (1, 4, "user", ">Good", 1), (None, 0, None, "> Good\nx", 1)], "conv_id long, turn long, role string, text string, row int")
     got = sorted((x.conv_id or 0, x.turn, x.n_linked, -1 if x.reply_to is None else x.reply_to, x.root_turn, x.depth, x.text) for x in chat.link(c).collect())
