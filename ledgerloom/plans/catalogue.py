@@ -273,7 +273,7 @@ def qterms(spark, sf_dir):
 
 
 def stream_segments(spark, sf_dir):
-    """ST01-ST06: conversations as an arriving stream, cut into segments by keyed state; rows only, no SQL."""
+    """ST01-ST03: conversations as an arriving stream, cut into segments by keyed state; rows only, no SQL."""
     return segments.run_available(spark, f"{sf_dir}/conversations.parquet")
 
 

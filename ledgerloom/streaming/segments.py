@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP, LEAST, MOST = 900, 14, 220
+#: The time of an end marker, which sorts after all tokens and closes what is open.
+CLOSE = 2**62
 END = re.compile(r"[.!?…。！？]\s*$")
 
 
@@ -23,6 +25,12 @@ def fold(state: tuple[str, int, int], tokens: Iterable[tuple[int, str]]) -> tupl
     text, last, n = state
     out: list[tuple[int, str]] = []
     for at, token in tokens:
+        if at == CLOSE:
+            if text.strip():
+                out.append((n, text.strip()))
+                n += 1
+            text = ""
+            continue
         if text and at - last > GAP and len(text) >= LEAST:
             out.append((n, text.strip()))
             text, n = "", n + 1
@@ -56,6 +64,8 @@ def run_available(spark: SparkSession, path: str) -> DataFrame:
     parent, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name[:-8]}*")
     tokens = source.select(F.col("conv_id").alias("key"), (F.col("turn") * 1000).alias("at"), F.col("text").alias("token"))
-    writer = segment(tokens).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True)
+    # All that is there is one batch, so a key's markers come with its last tokens; those after the first close nothing.
+    ends = source.select(F.col("conv_id").alias("key"), F.lit(CLOSE).cast("long").alias("at"), F.lit(None).cast("string").alias("token"))
+    writer = segment(tokens.union(ends)).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.parquet(f"{run}/out")

@@ -1,5 +1,5 @@
 from ledgerloom.functions import text
-from ledgerloom.streaming.segments import fold
+from ledgerloom.streaming.segments import fold, run_available
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,10 @@ def test_segments():
     state, out = fold(("", 0, 0), [(0, "It costs 4."), (100, "000 dong today."), (200, "A pause comes here"), (2000, "then this")])
     assert out == [(0, "It costs 4.000 dong today."), (1, "A pause comes here")]
     assert state == ("then this", 2000, 2)
+
+
+def test_open_text_is_closed_at_the_end(spark, tmp_path):
+    rows = [(1, 0, "user", "A whole sentence."), (1, 1, "user", "no end mark"), (2, 0, "user", "It costs 4."), (3, 0, "user", "Done."), (4, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = run_available(spark, f"{tmp_path}/conversations.parquet").collect()
+    assert sorted((r.key, r.n, r.text) for r in got) == [(1, 0, "A whole sentence."), (1, 1, "no end mark"), (2, 0, "It costs 4."), (3, 0, "Done.")]
