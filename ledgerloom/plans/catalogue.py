@@ -272,6 +272,12 @@ def qterms(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
+@query()
+def qterms_all(spark, sf_dir):
+    """X14 over all documents, with the folding of accents; no SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.terms(F.coalesce("text", F.lit("")))).cast("long").alias("n_terms"))
+
+
 def stream_segments(spark, sf_dir):
     """ST01-ST03: conversations as an arriving stream, cut into segments by keyed state; rows only, no SQL."""
     return segments.run_available(spark, f"{sf_dir}/conversations.parquet")

@@ -1,4 +1,7 @@
+import re
+
 from ledgerloom.functions import text
+from ledgerloom.plans.catalogue import QUERIES
 from ledgerloom.streaming.segments import fold, run_available
 from pyspark.sql import functions as F
 
@@ -34,3 +37,11 @@ def test_open_text_is_closed_at_the_end(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     got = run_available(spark, f"{tmp_path}/conversations.parquet").collect()
     assert sorted((r.key, r.n, r.text) for r in got) == [(1, 0, "A whole sentence."), (1, 1, "no end mark"), (2, 0, "It costs 4."), (3, 0, "Done.")]
+
+
+def test_terms_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    to = str.maketrans(text.FOLD_FROM, text.FOLD_TO)
+    want = {d.doc_id: len({w for w in re.findall("[a-z0-9]+", (d.text or "").lower().translate(to)) if len(w) > 2} - set(text.STOP_WORDS)) for d in docs}
+    got = {r.doc_id: r.n_terms for r in QUERIES["qterms_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and any(not (d.text or "").isascii() for d in docs) and any(d.lang != "en" for d in docs)
