@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that a Python worker gets at a time; texts are long, so fewer than Spark's own default.
-ARROW_ROWS = 1000
+#: Bits of the filter that ``maybe_in`` broadcasts: 2 MB of bits, as at most 2^18 rows of two numbers.
+BITS = 1 << 24
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,16 +26,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus; also readies the session for this package's functions."""
+    """A table of the corpus; also ships this package to the executors."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("ledgerloom.shared.dir", None)
+    """The folder that driver and executors share. A local master may do without a named one; a cluster may not."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("ledgerloom.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("ledgerloom.shared.dir", named)
     return named.rstrip("/")
@@ -52,6 +53,20 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_in(rows: DataFrame, key: str, asked: DataFrame, bits: int = BITS, name: str | None = None) -> DataFrame:
+    """Rows whose key may be among asked's: all that are, and few others while asked has far fewer keys than bits.
+
+    A filter before a shuffle, never instead of the join. Its broadcast has ``bits`` bits at most, whatever the
+    input: with more keys it lets more through. With ``name``, all rows stay and get a boolean.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    words = asked.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_slot % 64))")).alias("_bits"))
+    told = rows.withColumn("_slot", slot).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left" if name else "inner")
+    hit = F.expr("coalesce((shiftright(_bits, int(_slot % 64)) & 1) = 1, false)")
+    told = told.withColumn(name, hit) if name else told.where(hit)
+    return told.drop("_slot", "_word", "_bits")
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | None = None, name: str = "before") -> DataFrame:
     """Add ``name``: the sum of value (default: the count) over the rows of the same keys that sort earlier.
 

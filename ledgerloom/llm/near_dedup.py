@@ -5,15 +5,18 @@ empty set, which is linked with nothing). One hash of each shingle falls into on
 its signature, empty bins borrow from a full bin named by a fixed sequence of their own. 40 bands of 4 bins give buckets; at
 similarity 0.75 a pair misses all 40 with probability 3e-7.
 
-Documents of equal sets are one class, held by its smallest id. In a bucket, the smallest class is the centre of a star, so
+Documents of equal sets are one class, a node, held by its smallest id. In a bucket, the smallest class is the centre of a star, so
 a bucket of n classes gives n-1 candidate edges. Where members of a bucket still lie in different components, further members
 become centres, 64 times as many each round, until all such pairs have met; those of the bucket's largest component need not, as
 the others meet them. So no link between classes that share a bucket is lost, and none within a component is asked for. Each set
 has a mask, the bits that its shingles hash to. A bit that two masks differ in stands for a shingle that one of the sets lacks, so
 pairs with more such bits than a seventh of their sizes' sum, the most that similarity 0.75 leaves room for, are left out by the join itself, without loss: of a large
-group of near copies, this spares members the copies that are edited too much to be linked with them. Candidates are confirmed on full sets of 64-bit shingle hashes. Components come from rounds of large-star and small-star joins.
+group of near copies, this spares members the copies that are edited too much to be linked with them. Candidates are confirmed on
+full sets of 64-bit shingle hashes, whatever their size; only texts of candidates are read and shuffled for that, each once. Components
+come from rounds of large-star and small-star joins.
 
-A row without id takes no part: no component, and it is kept. Rows of one id are one node, and each keeps its row.
+A row without id takes no part: no component, and it is kept. Classes that share an id (rows of one id with different
+texts) are linked; each row is returned. Columns other than the id and the text are not read, so their names may clash with any.
 """
 
 from __future__ import annotations
@@ -22,25 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, maybe_in, running_total
 
 WORDS = 5
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 #: Bytes of text that are hashed together.
-BATCH_BYTES = 4_000_000
-#: Copies of a bucket's centre or a node's least neighbour, so that a hot one meets its rows in several tasks.
+BATCH_BYTES = 1_000_000
+#: Copies of a bucket's centres, so that a hot bucket meets them in several tasks.
 SALTS = 8
 #: How many times more centres a bucket of mixed components gets each round.
 GROWTH = 64
-#: Sets below this size are confirmed without a look at the sketch, whose estimate is too rough for them.
-SMALL_SET = 300
-#: Equal bytes of two sketches that let a pair go on to its full sets: 0.75 less more than six standard deviations.
-SKETCH_LEAST = 80
 #: 64-bit words of a mask.
 MASK_WORDS = 32
 
@@ -131,18 +130,21 @@ def masks(sets: list[np.ndarray]) -> np.ndarray:
 def _batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches of about equal bytes."""
     for b in it:
-        texts, at = [t or b"" for t in b.column(column).cast(pa.binary()).to_pylist()], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size < BATCH_BYTES or end == at):
-                size += len(texts[end])
-                end += 1
-            yield b.slice(at, end - at), texts[at:end]
-            at = end
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // BATCH_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+        for at, end in zip(edges, edges[1:]):
+            held = b.slice(at, end - at)
+            yield held, [t or b"" for t in held.column(column).cast(pa.binary()).to_pylist()]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)))
 
 
 def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set), buckets, sketch (a byte of each bin), mask."""
+    """doc_id, n_shingles, class (a digest of the set), buckets, mask."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _batches(it, 1):
@@ -151,27 +153,24 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             band = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 band = _mixed(band + sig[:, r::ROWS] + np.uint64(r + 1))
-            band = _mixed(band + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+            band = _mixed(band + np.arange(1, BANDS + 1, dtype=np.uint64))
             n = np.array([len(s) for s in sets], np.int64)
-            digest = [set_digest(s) for s in sets]
-            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band.ravel()))
-            mask = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * MASK_WORDS, pa.int32()), pa.array(masks(sets).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest), buckets, pa.array([x.tobytes() for x in (sig >> np.uint64(7)).astype(np.uint8)], pa.binary()), mask], ["doc_id", "n_shingles", "class", "buckets", "sketch", "mask"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([set_digest(s) for s in sets], pa.string()), _lists(list(band)), _lists(list(masks(sets)))], ["doc_id", "n_shingles", "class", "buckets", "mask"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class string, buckets array<long>, sketch binary, mask array<long>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, class string, buckets array<long>, mask array<long>")
 
 
 def full_sets(docs: DataFrame, asked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, shingles (the sorted 64-bit hashes) of each asked (doc_id, class)."""
+    """node, shingles (64-bit hashes) of each asked (node, rep, class); texts of other documents are left out before the shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _batches(it, 1):
             sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "class", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.string()), _lists(sets)], ["rep", "class", "shingles"])
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string"))
-    sets = rows.join(asked.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, class string, shingles binary")
-    return sets.join(asked, ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id"]).drop("class")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string"))
+    sets = maybe_in(rows, "rep", asked).mapInArrow(run, "rep long, class string, shingles array<long>")
+    return sets.join(asked, ["rep", "class"]).dropDuplicates(["rep", "class"]).select("node", "shingles")
 
 
 def may_be_alike(n: Column, mask: Column, m: Column, other: Column) -> Column:
@@ -181,32 +180,29 @@ def may_be_alike(n: Column, mask: Column, m: Column, other: Column) -> Column:
     return (7 * first <= n + m) & (7 * F.aggregate(F.zip_with(mask, other, differ), F.lit(0), lambda total, x: total + x) <= n + m)
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Of pairs (a, b), those whose sets have 100 * intersection >= 75 * union."""
+def alike(x: Column, y: Column) -> Column:
+    """Whether 100 * intersection >= 75 * union of two sets."""
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= 75 * (F.size(x) + F.size(y) - both)
+
 
-    def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in it:
-            x, y = (np.frombuffer(b"".join(p.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
-            n = np.minimum(p.column(2).to_numpy(), p.column(3).to_numpy())
-            yield p.filter(pa.array((n < SMALL_SET) | ((x == y).sum(1) >= SKETCH_LEAST))).select(["a", "b"])
+class Sets:
+    """The full sets of the nodes asked for so far; each text is read for it once."""
 
-    def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in it:
-            keep = []
-            for x, y in zip(p.column(2).to_pylist(), p.column(3).to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(s) + len(t) - both))
-            yield p.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def __init__(self, docs: DataFrame, nodes: DataFrame, text: str, key: str):
+        self.docs, self.nodes, self.text, self.key, self.sets = docs, nodes, text, key, None
 
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("mask").alias(f"m_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_alike(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(alike, "a long, b long")
-    near = cut(near, "candidates")
-    asked = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    asked = reps.select(F.col("rep").alias("doc_id"), "class").join(asked, "doc_id", "left_semi")
-    sets = cut(full_sets(docs, asked, text, key), "sets")
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}"))
-    return cut(near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long"), "links")
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose full sets are alike."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            asked = asked.join(self.sets.select("node"), "node", "left_anti")
+        asked = cut(self.nodes.join(asked, "node", "left_semi"), "asked")
+        more = cut(full_sets(self.docs, asked, self.text, self.key), "sets")
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        of = lambda c: self.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
+        # b spreads; a may be a hot centre, whose pairs adaptive execution splits.
+        return cut(pairs.join(of("b"), "b").join(of("a"), "a").where(alike(F.col("s_a"), F.col("s_b"))).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,45 +226,56 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows = cut(sketches(docs, text, key), "sketches")
     live = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut(live.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    # An id whose rows hold different texts stands in several classes: the smallest class holds it.
-    own = classes.groupBy("rep").agg(F.min("class").alias("class"))
-    reps = cut(live.join(own, [live["doc_id"] == own["rep"], live["class"] == own["class"]], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "reps")
-
-    members = reps.select("rep", "n_shingles", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.struct("rep", "n_shingles")).alias("c")).where("k > 1")
-    centres = centres.select("bucket", F.col("c.rep").alias("a"), F.col("c.n_shingles").alias("n_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
-    stars = cut(salted.join(centres, ["bucket", "salt"]).drop("salt"), "stars")
+    first = classes.groupBy("rep").agg(F.min("class").alias("first"))
+    # A node's number is its smallest id; of classes with the same smallest id, all but one are numbered by a hash.
+    nodes = cut(classes.join(first, "rep").select("class", "rep", F.when(F.col("class") == F.col("first"), F.col("rep")).otherwise(F.xxhash64("class")).alias("node")), "nodes")
+    same = live.groupBy("doc_id").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other")
+    numbers = lambda c, n: nodes.select(F.col("class").alias(c), F.col("node").alias(n))
+    same = live.select("doc_id", "class").join(same.select("doc_id", "one"), "doc_id").where("class <> one").select("one", "class").distinct()
+    same = same.join(numbers("one", "a"), "one").join(numbers("class", "b"), "class").select("a", "b")
+
+    held = live.join(nodes, [live["doc_id"] == nodes["rep"], live["class"] == nodes["class"]]).dropDuplicates(["node"])
+    held = cut(held.select("node", "n_shingles", "buckets", "mask"), "held")
+    members = held.select("node", "n_shingles", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    centres = members.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.struct("node", "n_shingles")).alias("c")).where("k > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    centres = centres.select("bucket", F.col("c.node").alias("a"), F.col("c.n_shingles").alias("n_a"), salts.alias("salt"))
+    stars = cut(members.withColumn("salt", salt).join(centres, ["bucket", "salt"]).drop("salt"), "stars")
     size = lambda x, y: 100 * F.least(x, y) >= 75 * F.greatest(x, y)
-    pairs = cut(stars.where((F.col("a") != F.col("rep")) & size(F.col("n_shingles"), F.col("n_a"))).select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = confirm(pairs, reps, docs, text, key)
+    met = stars.where((F.col("a") != F.col("node")) & size(F.col("n_shingles"), F.col("n_a"))).select("a", F.col("node").alias("b")).distinct()
+    side = lambda c: held.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("mask").alias(f"m_{c}"))
+    pairs = cut(met.join(side("b"), "b").join(side("a"), "a").where(may_be_alike(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"))).select("a", "b"), "pairs")
+    sets = Sets(docs, nodes, text, key)
+    links = sets.confirm(pairs).union(same)
     found = cut(components(links), "components")
 
-    told = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_each = lambda df: df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = of_each(stars)
     # The largest component of each bucket that holds several.
     largest = told.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count("*").alias("parts"))
-    apart = told.join(largest.where("parts > 1"), "bucket")
-    places = apart.where("component <> largest").select("bucket", "rep", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("place"))
-    apart = apart.select("bucket", "rep", "n_shingles", "a").join(reps.select("rep", "mask"), "rep")
-    ranked = cut(apart.join(places, ["bucket", "rep"], "left"), "ranked")
+    apart = cut(told.join(largest.where("parts > 1").select("bucket", "largest"), "bucket").select("bucket", "node", "n_shingles", "a", (F.col("component") != F.col("largest")).alias("outside")), "apart")
+    places = running_total(apart.where("outside").select("bucket", "node"), ["bucket"], ["node"], name="place").select("bucket", "node", (F.col("place") + 1).alias("place"))
+    ranked = cut(apart.drop("outside").join(held.select("node", "mask"), "node").join(places, ["bucket", "node"], "left"), "ranked")
     last, turn = ranked.agg(F.max("place")).first()[0] or 0, 0
     while turn < last:
-        told = ranked.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        told = of_each(ranked).withColumn("salt", salt)
         then, turn = turn, GROWTH * max(turn, 1)
-        heads = told.where((F.col("place") > then) & (F.col("place") <= turn) & (F.col("rep") != F.col("a")))
-        heads = heads.select("bucket", F.col("rep").alias("h"), F.col("n_shingles").alias("n_h"), F.col("mask").alias("mask_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"))
-        met = (told["bucket"] == heads["bucket"]) & (F.col("component") != F.col("of_h")) & (F.coalesce("place", F.lit(last + 1)) > F.col("at_h"))
-        met = told.join(heads, met & size(F.col("n_shingles"), F.col("n_h")) & may_be_alike(F.col("n_shingles"), F.col("mask"), F.col("n_h"), F.col("mask_h")))
-        fresh = cut(met.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        heads = told.where((F.col("place") > then) & (F.col("place") <= turn) & (F.col("node") != F.col("a")))
+        heads = heads.select(F.col("bucket").alias("of"), F.col("node").alias("h"), F.col("n_shingles").alias("n_h"), F.col("mask").alias("mask_h"), F.col("component").alias("of_h"), F.col("place").alias("at_h"), salts.alias("salt_h"))
+        apart = (told["bucket"] == heads["of"]) & (told["salt"] == heads["salt_h"]) & (F.col("component") != F.col("of_h")) & (F.coalesce("place", F.lit(last + 1)) > F.col("at_h"))
+        met = told.join(heads, apart & size(F.col("n_shingles"), F.col("n_h")) & may_be_alike(F.col("n_shingles"), F.col("mask"), F.col("n_h"), F.col("mask_h")))
+        fresh = cut(met.select(F.least("h", "node").alias("a"), F.greatest("h", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.take(1):
             continue
         pairs = pairs.union(fresh)
-        more = confirm(fresh, reps, docs, text, key)
+        more = sets.confirm(fresh)
         if more.take(1):
             links = links.union(more)
             found = cut(components(links), "components")
 
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    label = found.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = nodes.join(found, "node", "left").join(label, "component", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "class").join(cut(named, "named"), "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -281,3 +281,51 @@ def test_masks_lose_no_link(spark):
     got = df.select("linked", near_dedup.may_be_alike(df.n, df.x, df.m, df.y).alias("kept")).collect()
     assert any(r.linked for r in got) and all(r.kept for r in got if r.linked)
     assert not all(r.kept for r in got)
+
+
+def test_near_dedup_of_long_sets_and_a_hot_bucket(spark):
+    """Sets of 300 and more shingles around the similarity, and a family of copies whose members are not all alike to one centre."""
+    r = random.Random(11)
+    rows = []
+    for k in range(6):
+        base = [f"w{r.randint(0, 9000)}" for _ in range(r.choice([350, 700, 1500]))]
+        for _ in range(12):
+            b = list(base)
+            for _ in range(int(len(b) * r.choice([0.005, 0.02, 0.028, 0.03, 0.035, 0.05]))):
+                b[r.randrange(len(b))] = f"v{r.randint(0, 99)}"
+            rows.append((len(rows), " ".join(b)))
+    base = [f"q{i}" for i in range(100)]
+    for k in range(150):  # each edit changes 5 of 96 shingles, so links form chains in buckets that many share
+        b = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            b[r.randrange(100)] = f"e{r.randint(0, 3)}"
+        rows.append((len(rows), " ".join(b)))
+    s = sets(rows)
+    want = components(s)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 10
+
+
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Texts under one id are linked, and each keeps its own links."""
+    say = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(5, say("a")), (5, say("b")), (77, say("b")), (78, say("b") + " more"), (9, say("c")), (80, say("a") + " x")]
+    got = {x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> 9").collect()}
+    assert got == {5}
+
+
+def test_near_dedup_recall_on_documents(spark):
+    """All links of the documents at the smallest scale, against exact links."""
+    docs = common.table(spark, SMALL, "documents")
+    s = sets([(x.doc_id, x.text) for x in docs.collect()])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (len(s[i]), c) for i, c in components(s).items()}
+
+
+def test_maybe_in(spark):
+    rows, asked = spark.range(3000).selectExpr("id", "id as _bits0"), spark.range(0, 3000, 7)
+    got = {x.id for x in common.maybe_in(rows, "id", asked).collect()}
+    assert set(range(0, 3000, 7)) <= got and len(got) < 500
+    told = common.maybe_in(rows, "id", asked, name="hit").collect()
+    assert len(told) == 3000 and {x.id for x in told if x.hit} == got
+    assert len(common.maybe_in(rows, "id", asked, bits=64).collect()) == 3000
