@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, near_dedup, packing, pii, queries, toxicity
-from ledgerloom.llm.common import cut, new_path, table
+from ledgerloom.llm.common import cut, new_path, ship, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -19,26 +19,26 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id."""
-    table(spark, sf_dir, "labels")
+    ship(spark)
     gone = cut(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data."""
-    table(spark, sf_dir, "labels")
+    ship(spark)
     return pii.sanitise(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, in their documents: a row for each time over that it reads some of a document."""
-    table(spark, sf_dir, "labels")
+    ship(spark)
     return mixing.mixed_texts(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    table(spark, sf_dir, "labels")
+    ship(spark)
     return packing.pack(packing.pieces(docs, queries.vocabulary()))
 
 
