@@ -11,7 +11,7 @@ Pairs are counted only where they can pass: as n(t) is at least the number m(t)
 a pair needs m(t) <= n(e) (N / n(e))^0.1. This loses no pair, and leaves the common words out before pairs are made.
 
 Null texts are empty: no spans. Spans depend on the text alone, so repeated rows and copies get the same. Where spans
-overlap, the clean text masks what they cover once.
+overlap, the clean text masks what they cover once. Columns other than the id and the text are only carried along.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, maybe_in
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive and bounded forms: linear time on any text. A number's chain is taken only where 14 to 19 digits end it.
@@ -33,24 +33,38 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Stands for each character of an entity, so that places stay and a word that touches one is no term.
 MASK = "\uffff"
 TERM = rf"(?<![\p{{L}}\p{{N}}_{MASK}])[\p{{L}}\p{{N}}_]++(?!{MASK})"
-SLOTS = 1 << 20
 LEAST_TEXTS, LEAST_BITS, LEAST_SHARE = 2, 3.0, 0.9
 
 
-def found(text: Column, pattern: str, first: Column | int = 0) -> Column:
-    """array<struct<start,end,match>> of the matches, in code points from ``first`` on."""
-    p = F.lit(pattern)
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
-    start = F.lit(first) if isinstance(first, int) else first
-    kind = "array<struct<start:int,end:int,match:string>>"
-    zero = F.struct(start.cast("int").alias("at"), F.lit(0).alias("i"), F.from_json(F.lit("[]"), kind).alias("out"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def add(acc: Column, m: Column) -> Column:
-        a = acc["at"] + F.char_length(F.element_at(gaps, acc["i"] + 1))
-        b = a + F.char_length(m)
-        return F.struct(b.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), m.alias("match")))).alias("out"))
 
-    return F.aggregate(matches, zero, add, lambda acc: acc["out"])
+def running(steps: Column) -> Column:
+    """The sums of an array's first 1, 2, ... numbers. Two levels, so that n numbers cost n^1.5 copies at most."""
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+
+    def put(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(block["out"], lambda x: x + acc["at"]))).alias("out"))
+
+    def blocks(all_: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_) / n).cast("int") - 1), lambda i: F.slice(all_, i * n + 1, n))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        whole = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        return F.aggregate(F.transform(parts, lambda p: F.aggregate(p, zero, add)), whole, put, lambda acc: F.flatten(acc["out"]))
+
+    return let(steps, lambda all_: F.when(F.size(all_) > 0, blocks(all_)).otherwise(F.array().cast("array<int>")))
+
+
+def found(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,match>> of the matches, in code points."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.transform(F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match")), lambda w: w["match"].isNotNull()), lambda w: F.char_length(w["gap"]) + F.char_length(w["match"]))
+    return F.transform(F.arrays_zip(running(steps).alias("end"), matches.alias("match")), lambda w: F.struct((w["end"] - F.char_length(w["match"])).alias("start"), w["end"].alias("end"), w["match"].alias("match")))
 
 
 def _digits(m: Column) -> Column:
@@ -88,16 +102,18 @@ def entities(text: Column) -> Column:
 
 def blanked(text: Column, spans: Column) -> Column:
     """text with MASK for each character of the spans (sorted by start), which may overlap; MASK in the text itself becomes a blank."""
-    plain = F.translate(text, MASK, " ")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(acc: Column, s: Column) -> Column:
-        gap = F.substring(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        covered = F.repeat(F.lit(MASK), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, covered).alias("out"))
+    def whole(plain: Column) -> Column:
+        def put(acc: Column, s: Column) -> Column:
+            gap = F.substring(plain, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            covered = F.repeat(F.lit(MASK), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, covered).alias("out"))
 
-    whole = F.aggregate(spans, zero, put, lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.char_length(plain))))
-    return F.when(F.size(spans) > 0, whole).otherwise(plain)
+        return F.aggregate(spans, zero, put, lambda acc: F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.char_length(plain))))
+
+    plain = F.translate(text, MASK, " ")
+    return F.when(F.size(spans) > 0, let(plain, whole)).otherwise(plain)
 
 
 def text_key(text: Column) -> Column:
@@ -111,10 +127,9 @@ def base(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     return b.select(*keep, "text_key", "found", blanked(F.col("_t"), F.col("found")).alias("rest"))
 
 
-def terms_of(rows: DataFrame) -> DataFrame:
-    """text_key, term: the distinct terms of each row's text."""
-    each = F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
-    return rows.select("text_key", F.explode(each).alias("term"))
+def terms(rest: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
 def places(texts: DataFrame) -> DataFrame:
@@ -132,19 +147,20 @@ def disclosing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = cut(rows.where(F.size("found") > 0).select("text_key", F.explode(named).alias("entity")).distinct(), "entities")
     n_e = of.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= LEAST_TEXTS) & (F.log2(F.lit(total) / F.col("n_e")) >= LEAST_BITS))
     of = cut(of.join(n_e, "entity"), "supported")
-    held = rows.where(F.size("found") > 0).select("text_key", "rest").join(of.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
-    words = cut(terms_of(held), "words")
-    m_t = words.groupBy("term").agg(F.count("*").alias("m_t")).where(F.col("m_t") >= LEAST_TEXTS)
+    texts = of.select("text_key").distinct()
+    held = maybe_in(rows.where(F.size("found") > 0).select("text_key", "rest"), "text_key", texts).select("text_key", terms(F.col("rest")).alias("terms"))
+    words = cut(held.join(texts, "text_key", "left_semi").dropDuplicates(["text_key"]), "words").select("text_key", F.explode("terms").alias("term"))
     # A little more than the bound, for rounding; the exact test comes below.
     most = of.agg(F.max(F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - LEAST_SHARE))).alias("most")).first()["most"] or 0.0
-    rare = words.join(m_t.where(F.col("m_t") <= most * 1.000001), "term")
+    m_t = cut(words.groupBy("term").agg(F.count("*").alias("m_t")).where((F.col("m_t") >= LEAST_TEXTS) & (F.col("m_t") <= most * 1.000001)), "rare")
+    rare = maybe_in(words, "term", m_t).join(m_t, "term")
     may = F.col("m_t") <= F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - LEAST_SHARE)) * 1.000001
     enough = F.col("n_te") >= F.col("m_t") * F.pow(F.col("n_e") / F.lit(total), F.lit(1 - LEAST_SHARE)) * 0.999999
     both = cut(rare.join(of, "text_key").where(may).groupBy("entity", "term", "n_e", "m_t").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= LEAST_TEXTS) & enough).drop("m_t"), "pairs")
-    sought = cut(both.select("term").distinct().withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(SLOTS))), "sought")
-    # Most words that are not sought go before the join by term: a broadcast of at most SLOTS numbers, whatever the input.
-    near = terms_of(rows).withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(SLOTS))).join(F.broadcast(sought.select("slot").distinct()), "slot", "left_semi")
-    hits = cut(near.join(sought.select("term"), "term", "left_semi").select("text_key", "term").distinct(), "hits")
+    sought = cut(both.select("term").distinct(), "sought")
+    # Words that are not sought go before any shuffle; copies of a text meet within their tasks first.
+    near = maybe_in(rows.select("text_key", F.explode(terms(F.col("rest"))).alias("term")), "term", sought).distinct()
+    hits = cut(near.join(sought, "term", "left_semi"), "hits")
     n_t = hits.groupBy("term").agg(F.count("*").alias("n_t"))
     tells = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     return cut(both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(total) / F.col("n_e"))).select("entity", "term"), "disclosing"), hits
@@ -155,11 +171,11 @@ def disclosures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     rows = cut(base(docs, text, keep), "entities")
     told, hits = disclosing(rows)
     told = told.select("term").distinct()
-    risky = hits.join(told, "term", "left_semi").select("text_key").distinct()
-    texts = rows.select("text_key", "rest").join(risky, "text_key", "left_semi").dropDuplicates(["text_key"])
+    risky = cut(hits.join(told, "term", "left_semi").select("text_key").distinct(), "risky")
+    texts = maybe_in(rows.select("text_key", "rest"), "text_key", risky).join(risky, "text_key", "left_semi").dropDuplicates(["text_key"])
     marked = places(texts).withColumn("term", F.lower("match")).join(told, "term", "left_semi")
-    terms = marked.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("terms"))
-    return rows.drop("rest"), cut(terms, "terms")
+    spans = marked.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("terms"))
+    return rows.drop("rest"), cut(spans, "terms")
 
 
 def digest(rows: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
@@ -183,11 +199,18 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with text sanitised; rows without a span are unchanged."""
-    rows, terms = disclosures(docs, text, (key,))
-    labels = F.transform(F.coalesce("found", F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int,kind:string,match:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
-    of_terms = F.transform(F.coalesce("terms", F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["match"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("")).alias("label")))
-    spans = rows.where(F.size("found") > 0).select("text_key", "found").dropDuplicates(["text_key"]).join(terms, "text_key", "full_outer").select("text_key", F.array_sort(F.concat(labels, of_terms)).alias("spans"))
-    joined = docs.withColumn("text_key", text_key(F.coalesce(F.col(text), F.lit("")))).join(cut(spans, "spans"), "text_key", "left")
-    clean = F.when(F.col("spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("spans")))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    """docs with text sanitised, all other columns kept whatever their names; rows without a span are unchanged."""
+    rows, told = disclosures(docs, text, (key,))
+    no_span = F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int,kind:string,match:string>>")
+    labels = F.transform(F.coalesce("found", no_span), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
+    no_term = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
+    of_terms = F.transform(F.coalesce("terms", no_term), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["match"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("")).alias("label")))
+    spans = rows.where(F.size("found") > 0).select("text_key", "found").dropDuplicates(["text_key"]).join(told, "text_key", "full_outer")
+    spans = cut(spans.select(F.col("text_key").alias("_of"), F.array_sort(F.concat(labels, of_terms)).alias("_spans")), "spans")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text"), text_key(F.coalesce(F.col(text), F.lit(""))).alias("_of"))
+    keyed = maybe_in(keyed, "_of", spans, name="_may")
+    # Only texts that may hold a span are shuffled.
+    held = keyed.where("_may").join(spans, "_of", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(masked(F.col("_text"), F.col("_spans")))
+    changed = held.select(*[clean.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
+    return keyed.where("not _may").select("_doc.*").unionByName(changed)

@@ -329,3 +329,15 @@ def test_maybe_in(spark):
     told = common.maybe_in(rows, "id", asked, name="hit").collect()
     assert len(told) == 3000 and {x.id for x in told if x.hit} == got
     assert len(common.maybe_in(rows, "id", asked, bits=64).collect()) == 3000
+
+
+def test_pii_keeps_other_columns_and_long_lists(spark):
+    """Columns named as the operator's own stay; a text of thousands of entities gives all of them."""
+    many = " ".join(f"u{i}@h{i}.org 10.0.{i % 256}.{i % 7}" for i in range(3000))
+    rows = [(1, "mail a@b.cc", "s", 1, "k", 0), (2, "plain", "t", 2, None, 1), (3, None, "u", 3, "k", 2), (4, many, "v", 4, "k", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, text_key long, found string, row int")
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert pii.sanitise(df).schema == df.schema and got[1].text == "mail [EMAIL]" and got[1].spans == "s" and got[3].text is None
+    assert got[4].text == " ".join(["[EMAIL] [IP]"] * 3000)
+    own = {r.doc_id: r for r in pii.digest(*pii.disclosures(df), "doc_id").collect()}
+    assert (own[4].n_email, own[4].n_ip) == (3000, 3000) and own[4].base_sha256 == hashlib.sha256(personal(many).encode()).hexdigest()
