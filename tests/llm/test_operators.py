@@ -341,3 +341,54 @@ def test_pii_keeps_other_columns_and_long_lists(spark):
     assert got[4].text == " ".join(["[EMAIL] [IP]"] * 3000)
     own = {r.doc_id: r for r in pii.digest(*pii.disclosures(df), "doc_id").collect()}
     assert (own[4].n_email, own[4].n_ip) == (3000, 3000) and own[4].base_sha256 == hashlib.sha256(personal(many).encode()).hexdigest()
+
+
+def test_mixing_targets_draws_and_permutations(spark):
+    """Targets against a plain loop, one multinomial count for each shard, each block read in each pass once."""
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "b", "c", "d", None, "é", "tiny"]), r.randint(0, 90)) for i in range(900)]
+    rows = [(i, s, 2 if s == "tiny" else n) for i, s, n in rows]
+    df = spark.createDataFrame([(i, s, " ".join(["w"] * n), 1, 2, "x") for i, s, n in rows], "doc_id long, source string, text string, row int, turn int, parts string")
+    size = Counter()
+    for _, s, n in rows:
+        size[s] += n
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+    weight, full, want = {s: i % 3 + 1 for i, s in enumerate(order)}, set(), {}
+    while True:
+        open_ = [s for s in order if s not in full]
+        left = sum(size.values()) - sum(3 * size[s] for s in full)
+        want = {s: 3 * size[s] if s in full else left * weight[s] / sum(weight[x] for x in open_) for s in order}
+        over = {s for s in open_ if want[s] > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    assert full
+    named, spans = mixing.mix(df, block=4, shard_blocks=500)
+    for x in named.select("src", "target").distinct().collect():
+        assert abs(x.target - want[x.src]) < 1e-6 * want[x.src]
+    plan = named.select("src", "source_size", "target").distinct()
+    drawn = mixing.slots(plan, 1, 4, 500, 3).collect()
+    assert sorted(map(str, drawn)) == sorted(map(str, mixing.slots(plan, 1, 4, 500, 3).collect()))
+    by, shards = defaultdict(list), defaultdict(Counter)
+    for x in drawn:
+        by[x.src].append((x.slot, x.block))
+        shards[x.shard][x.src] += 1
+    for s, own in by.items():
+        n = -(-size[s] // 4)
+        assert sorted(j for j, _ in own) == list(range(len(own))) and len(own) <= 3 * n
+        for turn in range(3):
+            blocks = [b for j, b in own if j // n == turn]
+            assert len(set(blocks)) == len(blocks) and all(0 <= b < n for b in blocks)
+    whole = [c for k, c in shards.items() if k < max(shards)]
+    assert len(whole) > 5 and all(sum(c.values()) == 500 for c in whole)
+    for s in ("a", "c"):  # the spread over shards is that of draws: no fixed counts, no more than chance
+        p = want[s] / sum(want.values())
+        z = [(c[s] - 500 * p) / (500 * p * (1 - p)) ** 0.5 for c in whole]
+        assert 0.3 < sum(x * x for x in z) / len(z) < 2.5
+    took = Counter()
+    for x in named.join(spans.groupBy("row").agg(F.sum("words").alias("t")), "row").collect():
+        took[x.src] += x.t
+        assert x.t <= 3 * x.size
+    assert all(abs(took[s] - want[s]) <= 13 for s in order)
+    out = mixing.mixed_texts(df)
+    assert out.schema == df.schema and {(x.row, x.turn, x.parts) for x in out.collect()} == {(1, 2, "x")}
