@@ -7,7 +7,7 @@ worst for it, at first by how strongly its words go with the label, then by the
 
 Null and empty texts are one empty window. Unlabelled rows are scored like others. Labels that are null or belong to no
 document are not used; without labels of both kinds every score is the share of label 1 (0 if there is none).
-Repeated rows get equal scores.
+Repeated rows get equal scores. Other columns are carried along, but for one named ``score``, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import by_bytes
+
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD, CHAR, GRAMS = 8, 8, 8, 4096
-#: The fit's bounded sample: rows of label 1 and 0, bytes of a text that may be in it, words of the vocabulary.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES, VOCABULARY = 600, 1500, 60_000, 20_000
+#: The fit's bounded sample: rows of label 1 and 0, and words of the vocabulary. Of a text above SLICES * SLICE characters, it has
+#: so many slices, evenly spread over the whole text.
+SAMPLE_TOXIC, SAMPLE_CLEAN, VOCABULARY = 600, 1500, 20_000
+SLICES, SLICE = 64, 1000
 BATCH_BYTES = 2_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -207,11 +211,8 @@ def fit(sample: list[tuple[bytes, int]], share: float, seed: int = 7, rounds: in
             _, _, doc = windows(lengths)
             first = np.searchsorted(doc, np.arange(len(texts)))
             starts = [int(np.argmax(found[a:b])) * STRIDE for a, b in zip(first, [*first[1:], len(doc)])]
-    _, _, doc = windows(np.array([len(t) for t in texts]))
-    sampled, best = n1 / (n1 + n0), np.full(len(texts), -np.inf)
-    np.maximum.at(best, doc, window_scores(net, texts, Kept()))
     odds = lambda q: np.log(q / (1 - q))
-    net.shift = float(odds(min(max(share, 1e-6), 1 - 1e-6)) - odds(sampled))
+    net.shift = float(odds(min(max(share, 1e-6), 1 - 1e-6)) - odds(n1 / (n1 + n0)))
     return net
 
 
@@ -270,25 +271,23 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, text: str = "text",
     share = float((x[1] or 0) / x[0]) if x[0] else 0.0
     spread = F.xxhash64("id")
     ids = known.where("y = 1").orderBy(spread, "id").limit(SAMPLE_TOXIC).union(known.where("y = 0").orderBy(spread, "id").limit(SAMPLE_CLEAN))
-    short = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    rows = short.join(F.broadcast(ids), "id").orderBy("id", "y", "t").limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()  # bounded: the sample
+    n, t = F.char_length(text), F.col(text)
+    slices = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(t, (i * (n - SLICE) / (SLICES - 1)).cast("int") + 1, F.lit(SLICE))), " ")
+    some = docs.where(t.isNotNull()).select(F.col(key).alias("id"), F.when(n <= SLICES * SLICE, t).otherwise(slices).alias("t")).join(F.broadcast(ids), "id")
+    # Ids that repeat may give more rows than the sample has; which of them stay depends on hashes, not on the ids' size.
+    rows = [r for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in some.where(F.col("y") == y).orderBy(spread, "id", "t").limit(most).collect()]
+    rows.sort(key=lambda r: (r["id"], r["y"], r["t"]))
     return fit([(r["t"].encode(), r["y"]) for r in rows], share)
 
 
 def score(docs: DataFrame, net: Network | float, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns of docs and score."""
+    """All columns of docs and score, which takes the place of a column of that name."""
+    docs = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, out, held, size = [t or b"" for t in b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()], [], [], 0
-            for t in [*texts, None]:
-                if t is None or size > BATCH_BYTES:
-                    if held:
-                        out.append(scores(net, held))
-                    held, size = [], 0
-                if t is not None:
-                    held.append(t)
-                    size += len(t)
+            texts = (t.as_py() or b"" for t in b.column(b.schema.get_field_index(text)).cast(pa.binary()))
+            out = [scores(net, held) for held in by_bytes(texts, BATCH_BYTES)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.empty(0))], [*b.schema.names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -1,12 +1,14 @@
 """Operator 5, WARC revisit resolution.
 
 Payload digests and sizes of the records (headers, no payloads) are grouped by digest to find each payload's original, the
-largest id; then every record gets fresh headers: a response with its payload, or a revisit that names the original. The archives
-are WARC 1.1 in gzip, written by Spark into a shared folder, and read back record by record by their Content-Length;
+largest id; then every record gets fresh headers: a response with its payload, or a revisit that names the original. Revisits are
+made of headers alone. Of the responses, only those whose payload may be shared are shuffled, by id and digest, so that a hot payload
+spreads. The archives are WARC 1.1 in gzip, one member a file, of about ``FILE_BYTES`` at most, written by Spark into a shared folder, and read back record by record by their Content-Length;
 revisits read there are joined to the responses read there.
 
 A null payload is an empty one. Records below ``least`` bytes are all responses. Rows that tie on the largest id of a
-payload are all responses (ids are expected to be unique); a null id sorts below all others. An empty table gives none.
+payload are all responses (ids are expected to be unique); a null id sorts below all others. An empty table gives none. Only
+the id, the URL and the payload are read of the columns.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, maybe_in
 
 #: Fixed values of the WARC format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,10 +42,9 @@ def originals(heads: DataFrame, least: int = 1000) -> DataFrame:
     return heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def records(heads: DataFrame, first: DataFrame, date: str = "2024-01-01T00:00:00Z", least: int = 1000) -> DataFrame:
-    """record: the text of each WARC record without its end mark."""
-    j = heads.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least) & F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+def records(heads: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """record: the text of each WARC record without its end mark; heads: page_id, url, payload_bytes, payload_digest, payload, revisit, refers_to."""
+    again = F.col("revisit")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     body = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
@@ -60,15 +61,23 @@ def records(heads: DataFrame, first: DataFrame, date: str = "2024-01-01T00:00:00
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
     )
-    return j.select(F.concat(head, body).alias("record"))
+    return heads.select(F.concat(head, body).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, **names: str) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 1000, file_bytes: int = FILE_BYTES, **names: str) -> None:
     """Write one record for each row of pages to gzip archives under path."""
     heads = headers(pages, **names)
-    first = cut(originals(heads.drop("payload"), least), "originals")
-    # One more shuffle of payloads would even out files; the scan's own splits already are even.
-    records(heads, first, least=least).write.option("lineSep", END).option("compression", "gzip").text(path)
+    narrow = cut(heads.drop("payload"), "heads")
+    first = cut(originals(narrow, least), "originals")
+    other = ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    again = cut(narrow.join(first, "payload_digest").where(other), "revisits").withColumn("revisit", F.lit(True)).withColumn("payload", F.lit(""))
+    told = maybe_in(heads, "payload_digest", first, name="may").withColumn("revisit", F.lit(False)).withColumn("refers_to", F.lit(None).cast("long"))
+    gone = again.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"))
+    shared = told.where("may").join(gone, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left_anti")
+    whole = told.where("not may").unionByName(shared).drop("may").unionByName(again)
+    n, size = narrow.agg(F.count("*"), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+    rows = max(1, int(file_bytes * n / (size + 500 * n))) if n else 1
+    records(whole).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
 def parse(archive: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,9 +150,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file at a time
     read = cut(files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     own = read.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest"), F.col("payload_bytes").alias("full")).dropDuplicates(["refers_to", "payload_digest"])
     again = read.where("record_type = 'revisit'").join(cut(own, "responses"), ["refers_to", "payload_digest"], "left")
     return read.where("record_type = 'response'").unionByName(again.withColumn("payload_bytes", F.col("full")).drop("full"))

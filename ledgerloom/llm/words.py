@@ -4,25 +4,39 @@ The vocabulary's normaliser turns white space into one blank and its splitter dr
 white space, and special strings hold none: cutting there is safe. A text's tokens are those of its words in order.
 A word of plain Latin letters, digits and ASCII signs is cut further into the splitter's own pieces, which the
 library's merges then encode; any other word (other scripts, combining marks, special strings) goes through the
-whole library. Bounded tables keep what words and pieces gave.
+whole library. Bounded tables keep what words and pieces gave. A vocabulary file with another normaliser or splitter, or with
+special strings that aren't named below, is used through the library alone, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
 
 #: Words, and pieces, that a worker keeps before it starts that table anew.
-KEPT = 600_000
+KEPT = 200_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Words whose pieces do not depend on normalisation; a special string has "<|".
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-įı-ſ]{1,200}")
 #: The splitter's pattern over such words in lower case.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
+#: The normaliser, splitter and special strings that the above holds for, as vocabulary files state them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+SPECIAL = {"<|startoftext|>", "<|endoftext|>"}
+
+
+def by_words(path: str) -> bool:
+    """Whether a vocabulary file's tokens are those of its words."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    return said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and {t["content"] for t in said["added_tokens"]} <= SPECIAL
+
 
 def byte_letters() -> dict[int, str]:
     """For str.translate of Latin-1: the letter by which a byte-level vocabulary shows each byte."""
@@ -42,7 +56,7 @@ class Words:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.bare = Tokenizer(self.whole.model)  # the merges alone: no normaliser, no splitter
-        self.letters, self.batched = byte_letters(), batched
+        self.letters, self.batched, self.by_words = byte_letters(), batched, by_words(path)
         self.words: dict[bytes, object] = {}
         self.pieces: dict[str, object] = {}
 
@@ -59,6 +73,9 @@ class Words:
 
     def look_up(self, texts: list[bytes]) -> tuple[list[list[bytes]], dict]:
         """The words of each text, and a table that has them all."""
+        if not self.by_words:
+            found = self.whole.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [[t] for t in texts], {t: self.of(e.ids) for t, e in zip(texts, found)}
         if len(self.words) > KEPT:
             self.words = {}
         if len(self.pieces) > KEPT:

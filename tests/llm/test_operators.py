@@ -392,3 +392,199 @@ def test_mixing_targets_draws_and_permutations(spark):
     assert all(abs(took[s] - want[s]) <= 13 for s in order)
     out = mixing.mixed_texts(df)
     assert out.schema == df.schema and {(x.row, x.turn, x.parts) for x in out.collect()} == {(1, 2, "x")}
+
+
+def chat_by_hand(rows):
+    """Brute force of chat.link: rows of (conv, turn, text), turns unique; {(conv, turn): (n_quoted, n_linked, reply_to, root, depth, position)}."""
+    plain = lambda t: " ".join(t.lower().split())
+
+    def paragraphs(text):
+        out, level, held = [], None, []
+        for line in re.split("\r\n|\n|\r", text or ""):
+            marks = re.match(r"(?:[ \t]*>)*", line)[0]
+            n, body = marks.count(">"), plain(line[len(marks):])
+            if (n != level or not body) and held:
+                out.append((level, held))
+                held = []
+            level = n
+            if body:
+                held.append(body)
+        return out + ([(level, held)] if held else [])
+
+    def runs(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
+
+    out, by = {}, defaultdict(dict)
+    for c, t, text in rows:
+        by[c][t] = paragraphs(text)
+    for c, turns in by.items():
+        first = {}
+        for t in sorted(turns):
+            for level, lines in turns[t]:
+                if level == 0:
+                    whole = " ".join(lines)
+                    for h in runs(whole.split()) | {tuple(s.split()) for s in [*lines, *re.split(r"(?<=[.!?…。！？])\s+", whole)] if 0 < len(s.split()) < 5}:
+                        first.setdefault(h, t)
+        up = {}
+        for t, ps in turns.items():
+            score, n_linked, quoted = Counter(), 0, [p for p in ps if p[0] > 0]
+            for level, lines in quoted:
+                own = runs(" ".join(lines).split())
+                votes = Counter(first[h] for h in own if first.get(h, t) < t)
+                if votes:
+                    k, o = max((k, o) for o, k in votes.items())
+                    if 2 * k >= len(own):
+                        n_linked += 1
+                        score[level, o] += k
+            if score:
+                up[t] = min((level, -k, -o) for (level, o), k in score.items())[2] * -1
+            out[c, t] = [len(quoted), n_linked, up.get(t)]
+        kids = defaultdict(list)
+        for t in sorted(up):
+            kids[up[t]].append(t)
+        place = 0
+        for root in sorted(t for t in turns if t not in up):
+            todo = [(root, 0)]
+            while todo:
+                t, d = todo.pop()
+                out[c, t] += [root, d, place]
+                place += 1
+                todo += [(k, d + 1) for k in reversed(kids[t])]
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_chat_against_brute_force(spark):
+    """Nested, re-wrapped, partial, repeated and unknown quotes, and threads with many branches."""
+    r = random.Random(6)
+    rows = []
+    for c in range(25):
+        told = []
+        for t in range(r.choice([1, 5, 30, 60])):
+            own = [" ".join(f"w{r.randint(0, 40)}" for _ in range(r.choice([1, 2, 4, 7, 15]))) + r.choice([".", "!", ""]) for _ in range(r.randint(1, 4))]
+            text = r.choice(["\n", " ", "\n\n"]).join(own)
+            if told and r.random() < 0.8:
+                quoted, body = r.choice(told)
+                words = body.split()
+                part = words[: max(1, r.randint(len(words) // 2, len(words)))] if r.random() < 0.5 else words
+                width = r.choice([3, 8, 100])
+                lines = [" ".join(part[i : i + width]) for i in range(0, len(part), width)]
+                if r.random() < 0.3:
+                    lines += [""] + ["> " + x for x in quoted.split("\n")[:3]]
+                mark = r.choice([">", "> ", " > "])
+                text = "\n".join(["On Monday X wrote:"] * (r.random() < 0.5) + [(mark + x.upper() if r.random() < 0.3 else mark + x) for x in lines] + [text])
+            if r.random() < 0.1:
+                text += "\n> words of nobody that were never said before " + str(t)
+            told.append((text, " ".join(own)))
+            rows.append((c, t, text))
+    df = spark.createDataFrame([(c, t, "user", x, 1, 2) for c, t, x in rows], "conv_id long, turn long, role string, text string, place int, position int")
+    got = {(x.conv_id, x.turn): (x.n_quoted, x.n_linked, x.reply_to, x.root_turn, x.depth, x.position) for x in chat.link(df).collect()}
+    want = chat_by_hand(rows)
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    assert len(got) == len(rows) and max(v[4] for v in want.values()) >= 4 and sum(v[2] is not None for v in want.values()) > 200
+
+
+def test_gradient():
+    """Each gradient against differences of the loss."""
+    r = np.random.default_rng(3)
+    words = [b"alpha", b"beta", b"gamma", b"delta", b"xi"]
+    net = toxicity.Network(words[:4], np.array([0.5, -0.5, 0.2, 0.0], np.float32))
+    net.p = {k: (v + 0.1 * r.standard_normal(v.shape)).astype(np.float64) for k, v in net.p.items()}
+    index, within = r.integers(0, 5, (3, toxicity.WINDOW)), np.ones((3, toxicity.WINDOW), bool)
+    within[1, 9:] = False
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        x = net.run(net.projected(net.inputs(words).astype(np.float64)), index, within)
+        return float(np.mean(np.logaddexp(0, x) - y * x))
+
+    g = net.step(words, index, within, y)
+    for k, a in net.p.items():
+        spots = [tuple(r.integers(0, n) for n in a.shape) for _ in range(4)] + [tuple(np.unravel_index(np.argmax(np.abs(g[k])), a.shape))]
+        for at in spots:
+            old = a[at]
+            a[at] = old + 3e-2
+            up = loss()
+            a[at] = old - 3e-2
+            down = loss()
+            a[at] = old
+            assert abs((up - down) / 6e-2 - g[k][at]) < 2e-3 + 0.05 * abs(g[k][at]), (k, at)
+
+
+def test_the_network_reads_order():
+    """Equal words in both classes, only their order tells them apart: a list of words is at chance here."""
+    r = random.Random(9)
+
+    def say(bad):
+        ws = [f"n{r.randint(0, 30)}" for _ in range(14)]
+        i = r.randint(0, 11)
+        ws[i : i + 2] = ["red", "blue"] if bad else ["blue", "red"]
+        return " ".join(ws).encode()
+
+    rows = [(say(i % 2), i % 2) for i in range(900)]
+    net = toxicity.fit(rows[:700], 0.5, steps=250)
+    s, y = toxicity.scores(net, [t for t, _ in rows[700:]]), np.array([v for _, v in rows[700:]])
+    assert ((s >= 0.5) == y).mean() > 0.9
+
+
+def test_training_uses_no_held_out_label_and_reads_long_texts(spark):
+    """Flipped labels of held-out rows change no score; a long text's toxic part counts in the fit; null labels, repeated ids, an empty table."""
+    r = random.Random(4)
+    say = lambda bad, n=90: " ".join(["vile" if bad and i % 30 == 7 else f"w{r.randint(0, 300)}" for i in range(n)])
+    rows = [(i, say(i % 4 == 0, 30_000 if i == 8 else 90), "own") for i in range(160)] + [(3, say(False), "own"), (900, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = [(i, None, int(i % 4 == 0)) for i in range(160)] + [(900, 1, None), (901, 1, 1), (None, 1, 1)]
+    out = zlib.crc32
+    flipped = [(i, q, 1 - t if i is not None and t is not None and out(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
+    kind = "doc_id long, quality int, toxic int"
+    nets = [toxicity.train(docs, spark.createDataFrame(x, kind), queries.held_out) for x in (labels, flipped)]
+    got = [{(x.doc_id, x.score) for x in toxicity.score(docs, net).collect()} for net in nets]
+    assert got[0] == got[1] and len(got[0]) > 150
+    assert all((s >= 0.3) == (i % 4 == 0) for i, s in got[0] if i < 160 and queries.THRESHOLD)
+    assert toxicity.train(docs, spark.createDataFrame([], kind), queries.held_out) == 0.0
+    assert not toxicity.score(docs.limit(0), nets[0]).collect()
+
+
+def test_warc_ties_and_sizes(spark):
+    """Null ids, repeated rows, ties on the largest id, files of bounded size, clashing columns."""
+    common.ship(spark)
+    big = "x" * 1500
+    rows = [(None, "u", big, 1), (1, "u", big, 1), (1, "u", big, 1), (7, "u", big, 1), (7, "v", big, 1)] + [(100 + i, "u", f"{i} " * 400, 1) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, revisit int").withColumn("may", F.lit(1)).coalesce(1)
+    path = common.new_path(spark, "warc")
+    warc.write_archives(pages, path, file_bytes=20_000)
+    got = warc.read_archives(spark, path).collect()
+    assert len(got) == len(rows) and sorted((x.page_id or 0, x.record_type, x.refers_to) for x in got if x.payload_bytes == 1500) == [(0, "revisit", 7), (1, "revisit", 7), (1, "revisit", 7), (7, "response", None), (7, "response", None)]
+    sizes = [len(b"".join(warc.inflate(f.content))) for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()]
+    assert len(sizes) >= 4 and max(sizes) < 60_000
+
+
+def test_words_of_other_vocabularies_are_the_librarys():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, odd = Tokenizer.from_file(path), ["a  b\n c", "Don't STOP", "", "日本 x", "<|endoftext|> y"]
+    split, kept = words.counts(path).look_up([t.encode() for t in odd])
+    assert not words.by_words(path) and words.by_words(queries.vocabulary())
+    assert [sum(map(kept.__getitem__, ws)) for ws in split] == [len(whole.encode(t, add_special_tokens=False).ids) for t in odd]
+
+
+def test_packing_ids(spark, docs):
+    """Each id of the library in one piece, its digest and place, and little padding."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.vocabulary())
+    texts = [(x.doc_id, x.text) for x in common.table(spark, SMALL, "documents").collect()]
+    rows = packing.pack(packing.pieces(common.table(spark, SMALL, "documents"), queries.vocabulary())).collect()
+    by = defaultdict(list)
+    for x in rows:
+        by[x.doc_id].append(x)
+    for i, t in texts:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for x in sorted(by[i], key=lambda x: x.start):
+            assert (x.start, x.doc_tokens) == (at, len(ids)) and zlib.crc32(ids[at : at + x.length].tobytes()) == x.ids_crc32
+            at += x.length
+        assert at == len(ids)
+    n = len({x.sequence_id for x in rows})
+    assert n * 2048 < 1.02 * sum(x.length for x in rows) + 2048
