@@ -16,9 +16,15 @@ from pyspark.sql.window import Window
 BITS = 1 << 24
 
 
+#: Bytes that a Python worker gets at a time: a session that names no size of its own would send up to 64 MB to each.
+ARROW = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and bound Arrow batches where the session leaves their size open."""
     sc = spark.sparkContext
+    if ARROW[0] not in spark.conf.getAll:
+        spark.conf.set(*ARROW)
     if not any("ledgerloom-pkg" in str(f) for f in sc.listFiles):
         root = Path(__file__).resolve().parents[2]
         made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/ledgerloom-pkg", "zip", root, "ledgerloom")

@@ -30,8 +30,8 @@ HIDDEN, WORD, CHAR, GRAMS = 8, 8, 8, 4096
 #: so many slices, evenly spread over the whole text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, VOCABULARY = 600, 1500, 20_000
 SLICES, SLICE = 64, 1000
-BATCH_BYTES = 2_000_000
-KEPT_WORDS = 100_000
+BATCH_BYTES = 1_000_000
+KEPT_WORDS = 60_000
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -236,7 +236,7 @@ class Kept:
         return np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
 
-def window_scores(net: Network, texts: list[list[bytes]], kept: Kept, block: int = 1024) -> np.ndarray:
+def window_scores(net: Network, texts: list[list[bytes]], kept: Kept, block: int = 512) -> np.ndarray:
     """Logits of all windows of all texts."""
     line = kept.get(net, texts)
     at, within, _ = windows(np.array([len(t) for t in texts], np.int64))

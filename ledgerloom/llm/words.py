@@ -17,9 +17,9 @@ from array import array
 from collections.abc import Callable, Iterable
 
 #: Words, and pieces, that a worker keeps before it starts that table anew.
-KEPT = 200_000
+KEPT = 100_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Words whose pieces do not depend on normalisation; a special string has "<|".
 PLAIN = re.compile(r"(?!.*<\|)[!-~À-įı-ſ]{1,200}")
 #: The splitter's pattern over such words in lower case.
