@@ -29,17 +29,17 @@ def priority(score: Column) -> Column:
 
 
 def overdue(tasks: DataFrame, today: Column, grace: int = 0) -> DataFrame:
-    """Tasks not done whose planned end is more than ``grace`` days ago; impact 3 from 7 days on, 2 from 3."""
+    """Tasks not done whose planned end is more than ``grace`` days ago; probability 3, impact 3 from 7 days on, 2 from 3."""
     days = F.datediff(today, "plan_end")
     t = tasks.where(~F.col("is_done")).withColumn("days", days).where(F.col("days") > grace)
-    score = F.lit(2) * F.when(F.col("days") >= 7, 3).when(F.col("days") >= 3, 2).otherwise(1)
+    score = F.lit(3) * F.when(F.col("days") >= 7, 3).when(F.col("days") >= 3, 2).otherwise(1)
     return t.withColumn("score", score).withColumn("priority", priority(F.col("score")))
 
 
 def overrun(tasks: DataFrame, ratio: float = 1.5) -> DataFrame:
-    """Tasks whose actual effort is above ``ratio`` times the estimate; impact 3 above the ratio's square."""
+    """Tasks whose actual effort is above ``ratio`` times the estimate; impact 3 above 1.5 times that ratio."""
     r = F.try_divide("actual", F.when(F.col("estimate") > 0, F.col("estimate")))
-    return tasks.withColumn("ratio", r).where(F.col("ratio") > ratio).withColumn("impact", F.when(F.col("ratio") > ratio * ratio, 3).otherwise(2))
+    return tasks.withColumn("ratio", r).where(F.col("ratio") > ratio).withColumn("impact", F.when(F.col("ratio") > ratio * 1.5, 3).otherwise(2))
 
 
 def velocity(tasks: DataFrame, sprint: str, margin: float = 15.0) -> DataFrame:
@@ -49,9 +49,11 @@ def velocity(tasks: DataFrame, sprint: str, margin: float = 15.0) -> DataFrame:
     return s.withColumn("before_pct", before).withColumn("fell", F.coalesce(before - F.col("done_pct") >= margin, F.lit(False)))
 
 
-def overload(work: DataFrame, keys: Sequence[str], hours: str, most: float, least_tasks: int = 2) -> DataFrame:
-    """[A08] Days of a person with several tasks and more than ``most`` hours."""
-    return work.groupBy(*keys).agg(F.count("*").alias("tasks"), F.round(F.sum(hours), 4).alias("hours")).where((F.col("tasks") >= least_tasks) & (F.col("hours") > most))
+def overload(tasks: DataFrame, most: float = 8, least_tasks: int = 2) -> DataFrame:
+    """[A08] assignee, day, tasks, hours: days onto which several open one-day tasks of a person are stacked, of more than ``most`` hours together."""
+    t = tasks.where(~F.col("is_done") & F.col("assignee").isNotNull() & (F.col("plan_start") == F.col("plan_end")) & (F.col("estimate") != 0))
+    each = t.groupBy("assignee", F.col("plan_start").alias("day")).agg(F.count("*").alias("tasks"), F.round(F.sum("estimate"), 4).alias("hours"))
+    return each.where((F.col("tasks") >= least_tasks) & (F.col("hours") > most))
 
 
 def calendar_slots(work: DataFrame, key: str, order: Sequence[str], hours: str, per_day: float = 8.0) -> DataFrame:
@@ -111,10 +113,17 @@ def history(rows: DataFrame, key: str, order: str, n: int, newest: bool = True)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def logged_today(ledger: DataFrame, keys: Sequence[str], task: str, order: str, delta: str, actual: str) -> DataFrame:
-    """[A14] Hours logged: over a person's tasks, the last actual less what stood before the first entry."""
-    t = ledger.groupBy(*keys, task).agg(F.min_by(F.struct(actual, delta), order).alias("f"), F.max_by(actual, order).alias("l"))
-    return t.groupBy(*keys).agg((F.round(F.sum(F.col("l") - (F.col(f"f.{actual}") - F.col(f"f.{delta}"))), 4) + 0.0).alias("logged"), F.count("*").alias("tasks"))
+def logged_today(ledger: DataFrame, keys: Sequence[str], task: str, order: str, delta: str, actual: str, live: DataFrame | None = None, drift: float = 0.01) -> DataFrame:
+    """[A14] Hours logged, over a person's tasks: the last actual less what stood before the first entry.
+
+    A task whose first or last entry has no actual gives the sum of its deltas. live (keys, task, live) has what a task's sheet says
+    now: a task whose last actual is off by more than ``drift`` is left out, as its entries no longer hold.
+    """
+    t = ledger.groupBy(*keys, task).agg(F.min_by(F.struct(F.col(actual).alias("a"), F.coalesce(delta, F.lit(0.0)).alias("d")), order).alias("f"), F.max_by(F.struct(F.col(actual).alias("a")), order)["a"].alias("l"), F.sum(delta).alias("s"))
+    if live is not None:
+        t = t.join(live, [*keys, task], "left").where(F.col("live").isNull() | F.col("l").isNull() | (F.abs(F.col("l") - F.col("live")) <= drift))
+    hours = F.when(F.col("f.a").isNull() | F.col("l").isNull(), F.coalesce("s", F.lit(0.0))).otherwise(F.col("l") - (F.col("f.a") - F.col("f.d")))
+    return t.groupBy(*keys).agg((F.round(F.sum(hours), 2) + 0.0).alias("logged"), F.count("*").alias("tasks"))
 
 
 def nearest_rank(values: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
@@ -194,10 +203,13 @@ def cosine_top(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def fused(lists: DataFrame, keep: int, k0: int = 60) -> DataFrame:
-    """[W13 R06] list, item, rank from 1: items by the sum of 1 / (k0 + rank - 1)."""
-    s = lists.groupBy("item").agg(F.round(F.sum(1.0 / (k0 + F.col("rank") - 1)), 8).alias("score"))
-    return s.orderBy(F.desc("score"), "item").limit(keep)
+def fused(lists: DataFrame, keep: int, k0: int = 60, pins: DataFrame | None = None) -> DataFrame:
+    """[W13 R06] item, rank from 1: items by the sum of 1 / (k0 + rank); pins (item, pin) come first, in their order."""
+    s = lists.groupBy("item").agg(F.round(F.sum(1.0 / (k0 + F.col("rank"))), 8).alias("score"))
+    if pins is None:
+        return s.orderBy(F.desc("score"), "item").limit(keep)
+    s = s.join(pins, "item", "full_outer").select("item", F.coalesce("score", F.lit(0.0)).alias("score"), "pin")
+    return s.orderBy(F.col("pin").asc_nulls_last(), F.desc("score"), "item").limit(keep).drop("pin")
 
 
 def bm25(docs: DataFrame, words: Sequence[str], keep: int, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -10,12 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import priority
 
-def not_started(tasks: DataFrame, today: Column) -> DataFrame:
-    """Tasks whose planned start is past and that have no effort (0 counts as none); impact 3 from 5 days on, 2 from 2."""
+
+def not_started(tasks: DataFrame, today: Column, grace: int = 0) -> DataFrame:
+    """Tasks not done whose planned start is past and that have no effort (0 counts as none); probability 3, impact 3 from 5 days on, 2 from 2."""
     days = F.datediff(today, "plan_start")
-    t = tasks.withColumn("days", days).where((F.col("days") > 0) & (F.coalesce("actual", F.lit(0)) == 0))
-    return t.withColumn("impact", F.when(F.col("days") >= 5, 3).when(F.col("days") >= 2, 2).otherwise(1))
+    t = tasks.where(~F.col("is_done")).withColumn("days", days).where((F.col("days") > grace) & (F.coalesce("actual", F.lit(0)) == 0))
+    score = F.lit(3) * F.when(F.col("days") >= 5, 3).when(F.col("days") >= 2, 2).otherwise(1)
+    return t.withColumn("score", score).withColumn("priority", priority(F.col("score")))
 
 
 def unassigned(tasks: DataFrame, today: Column, within: int = 2) -> DataFrame:

@@ -54,7 +54,7 @@ def undeclared_actor_anti(spark, sf_dir):
 
 @query(f"""
     WITH d AS (SELECT l_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE) + 30, {TODAY}) AS INTEGER) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'F'),
-         s AS (SELECT *, CAST(2 * CASE WHEN days >= 7 THEN 3 WHEN days >= 3 THEN 2 ELSE 1 END AS INTEGER) AS score FROM d WHERE days > 0)
+         s AS (SELECT *, CAST(3 * CASE WHEN days >= 7 THEN 3 WHEN days >= 3 THEN 2 ELSE 1 END AS INTEGER) AS score FROM d WHERE days > 0)
     SELECT *, CASE WHEN score >= 6 THEN 'Highest' WHEN score >= 4 THEN 'High' WHEN score >= 2 THEN 'Medium' ELSE 'Low' END AS priority FROM s""")
 def overdue_lines(spark, sf_dir):
     """Planned end: order date and 30 days. Done: line status F."""
@@ -83,11 +83,14 @@ def velocity_drop(spark, sf_dir):
 
 
 @query("""
-    SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, count(*) AS tasks, round(sum(l_quantity), 4) AS hours
-    FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2 AND sum(l_quantity) > 60""")
+    SELECT l_suppkey AS assignee, CAST(l_shipdate AS DATE) AS day, count(*) AS tasks, round(sum(l_quantity), 4) AS hours
+    FROM lineitem WHERE l_linestatus <> 'F' AND l_returnflag = 'N' GROUP BY 1, 2 HAVING count(*) >= 2 AND sum(l_quantity) > 8""")
 def daily_overload(spark, sf_dir):
-    w = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("day"), "l_quantity")
-    return core.overload(w, ["l_suppkey", "day"], "l_quantity", 60)
+    """Tasks of one day: lines that were not sent back; done: line status F."""
+    end = F.col("l_shipdate").cast("date")
+    start = F.when(F.col("l_returnflag") == "N", end).otherwise(F.date_sub(end, 3))
+    w = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("assignee"), start.alias("plan_start"), end.alias("plan_end"), F.col("l_quantity").alias("estimate"), (F.col("l_linestatus") == "F").alias("is_done"))
+    return core.overload(w)
 
 
 @query("""
@@ -153,11 +156,16 @@ def gap_sessions(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, arg_min(value, event_id) AS f, arg_max(value, event_id) AS l FROM events GROUP BY ALL)
-    SELECT user_id, day, round(sum(l - (f - 1)), 4) + 0.0 AS logged, count(*) AS tasks FROM t GROUP BY ALL""")
+    WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS actual, 1.0 AS delta FROM events),
+         t AS (SELECT user_id, day, event_type, first(actual ORDER BY event_id) AS f, last(actual ORDER BY event_id) AS l, sum(delta) AS s FROM e GROUP BY ALL),
+         k AS (SELECT *, CASE WHEN f IS NULL OR l IS NULL THEN s ELSE l - (f - 1) END AS hours FROM t WHERE event_type <> 'error' OR l IS NULL OR abs(l - 50) <= 30)
+    SELECT user_id, day, round(sum(hours), 2) + 0.0 AS logged, count(*) AS tasks FROM k GROUP BY ALL""")
 def ledger_delta(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("day"), "event_type", "event_id", "value", F.lit(1.0).alias("delta"))
-    return core.logged_today(e, ["user_id", "day"], "event_type", "event_id", "delta", "value")
+    """Every seventh entry has no actual; the sheet says 50 for each task of kind error."""
+    day = F.col("ts").cast("date").alias("day")
+    e = table(spark, sf_dir, "events").select("user_id", day, "event_type", "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.lit(1.0).alias("delta"))
+    live = e.where("event_type = 'error'").select("user_id", "day", "event_type").distinct().withColumn("live", F.lit(50.0))
+    return core.logged_today(e, ["user_id", "day"], "event_type", "event_id", "delta", "value", live, 30.0)
 
 
 @query("""
@@ -253,7 +261,7 @@ def bm25_topk(spark, sf_dir):
 
 @query("""
     WITH l AS (SELECT event_id AS item, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events), u AS (SELECT user_id AS item, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events)
-    SELECT item, round(sum(1.0 / (60 + r - 1)), 8) AS score FROM (SELECT * FROM l WHERE r <= 100 UNION ALL SELECT * FROM u WHERE r <= 100) GROUP BY item ORDER BY score DESC, item LIMIT 50""")
+    SELECT item, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT * FROM l WHERE r <= 100 UNION ALL SELECT * FROM u WHERE r <= 100) GROUP BY item ORDER BY score DESC, item LIMIT 50""")
 def rrf(spark, sf_dir):
     w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
     e = table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 100")
@@ -261,20 +269,19 @@ def rrf(spark, sf_dir):
 
 
 @query(r"""
-    SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'xox[abprs]-[A-Za-z0-9-]+', '[REDACTED_SLACK_TOKEN]', 'g'), 'bearer [A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi'), 'sk-[A-Za-z0-9_-]{16,}', '[REDACTED_API_KEY]', 'g'),
-           '(password|passwd|secret|token|api_key|apikey)( ?[:=] ?)[^ \t\r\n,;]+', '\1\2[REDACTED]', 'gi')) AS digest FROM documents""")
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bxox[baprs]-[A-Za-z0-9-]+', '[REDACTED_SLACK_TOKEN]', 'gi'), '\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi'), '\b(sk-[A-Za-z0-9_-]{12,})\b', '[REDACTED_API_KEY]', 'gi'),
+           '(\b(?:password|passwd|secret|token)\s*[:=]\s*)[^\s,;]+', '\1[REDACTED]', 'gi')) AS digest FROM documents""")
 def redact_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("digest"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'for', 'are', 'was', 'has', 'have', 'who', 'what', 'when', 'where', 'which', 'how', 'with', 'that', 'this')))) AS n_terms FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')".replace("\\\\", "\\"))
-def qterms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.size(text.terms(F.col("text"))).cast("long").alias("n_terms"))
+STOP_SQL = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@query()
-def qterms_all(spark, sf_dir):
-    """X14 over all documents, with the folding of accents; no SQL."""
+@query(f"""
+    SELECT doc_id, CAST(len(list_filter(regexp_extract_all(strip_accents(replace(lower(coalesce(text, '')), 'đ', 'd')), '[a-z0-9]+'), lambda w: len(w) > 2 AND w NOT IN ({STOP_SQL}))) AS BIGINT) AS n_terms FROM documents""")
+def qterms(spark, sf_dir):
+    """X14 over all documents, with the folding of accents."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.terms(F.coalesce("text", F.lit("")))).cast("long").alias("n_terms"))
 
 

@@ -11,14 +11,15 @@ TODAY = "DATE '1996-06-01'"
 
 
 @query(f"""
-    WITH d AS (SELECT l_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), {TODAY}) AS INTEGER) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) > {TODAY})
-    SELECT *, CAST(CASE WHEN days >= 5 THEN 3 WHEN days >= 2 THEN 2 ELSE 1 END AS INTEGER) AS impact FROM d WHERE days > 0""")
+    WITH d AS (SELECT l_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), {TODAY}) AS INTEGER) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) > {TODAY} AND l_linestatus <> 'F'),
+         s AS (SELECT *, CAST(3 * CASE WHEN days >= 5 THEN 3 WHEN days >= 2 THEN 2 ELSE 1 END AS INTEGER) AS score FROM d WHERE days > 0)
+    SELECT *, CASE WHEN score >= 6 THEN 'Highest' WHEN score >= 4 THEN 'High' ELSE 'Medium' END AS priority FROM s""")
 def not_started(spark, sf_dir):
-    """Planned start: order date. Effort: the quantity, once shipped."""
+    """Planned start: order date. Effort: the quantity, once shipped. Done: line status F."""
     t = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     shipped = F.when(F.col("l_shipdate").cast("date") <= F.expr(TODAY), F.col("l_quantity"))
-    t = t.select("l_orderkey", "l_linenumber", F.col("o_orderdate").cast("date").alias("plan_start"), shipped.alias("actual"))
-    return gates.not_started(t, F.expr(TODAY)).select("l_orderkey", "l_linenumber", "days", "impact")
+    t = t.select("l_orderkey", "l_linenumber", F.col("o_orderdate").cast("date").alias("plan_start"), shipped.alias("actual"), (F.col("l_linestatus") == "F").alias("is_done"))
+    return gates.not_started(t, F.expr(TODAY)).select("l_orderkey", "l_linenumber", "days", "score", "priority")
 
 
 @query(f"""

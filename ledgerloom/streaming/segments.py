@@ -1,13 +1,15 @@
 """Live text in segments, by keyed state (Structured Streaming).
 
-A key's open text is closed at sentence punctuation, by a pause of more than ``gap`` units once it has ``least``
-characters, or above ``most`` characters; what is open when the input ends is closed then. Tokens of a key are taken in order of ``at``.
+Tokens of a key are taken in order of their start; one that begins a word begins with a blank or a line break. Open text of at
+least ``least`` characters is closed at sentence punctuation, or where a word begins more than ``gap`` units after the end
+before it; any open text above ``most`` characters is closed. A point after a digit waits for the next token: it
+closes if that begins a word. What is open when the input ends is closed then.
 """
 
 from __future__ import annotations
 
-import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -17,55 +19,71 @@ from pyspark.sql import functions as F
 GAP, LEAST, MOST = 900, 14, 220
 #: The time of an end marker, which sorts after all tokens and closes what is open.
 CLOSE = 2**62
-END = re.compile(r"[.!?…。！？]\s*$")
+MARKS = ".?!。！？"
+Open = tuple[str, int, int, bool]
 
 
-def fold(state: tuple[str, int, int], tokens: Iterable[tuple[int, str]]) -> tuple[tuple[str, int, int], list[tuple[int, str]]]:
-    """(open text, time of its last token, number of the next segment) after tokens, and the segments closed."""
-    text, last, n = state
+def fold(state: Open, tokens: Iterable[tuple[int, int, str]]) -> tuple[Open, list[tuple[int, str]]]:
+    """(open text, end of its last token, number of the next segment, whether its last point is undecided) after tokens (start, end, text), and the segments closed."""
+    text, last, n, undecided = state
     out: list[tuple[int, str]] = []
-    for at, token in tokens:
-        if at == CLOSE:
-            if text.strip():
-                out.append((n, text.strip()))
-                n += 1
-            text = ""
-            continue
-        if text and at - last > GAP and len(text) >= LEAST:
-            out.append((n, text.strip()))
-            text, n = "", n + 1
-        digit_point = re.search(r"\d\.$", text) and token[:1].isdigit()
-        text += token if digit_point or not text else f" {token}"
-        last = at
-        if len(text) > MOST or END.search(text) and not re.search(r"\d\.$", text):
+
+    def close() -> None:
+        nonlocal text, n
+        if text.strip():
             out.append((n, text.strip()))
-            text, n = "", n + 1
-    return (text, last, n), out
+            n += 1
+        text = ""
+
+    for start, end, token in tokens:
+        if start == CLOSE:
+            close()
+            undecided = False
+            continue
+        word = token.startswith((" ", "\n"))
+        if undecided and word:
+            close()
+        undecided = False
+        if text and word and start - last > GAP and len(text.strip()) >= LEAST:
+            close()
+        text, last = text + token, end
+        shown = text.strip()
+        if shown and shown[-1] in MARKS and len(shown) >= LEAST:
+            undecided = shown[-1] == "." and shown[-2].isdigit()
+            if not undecided:
+                close()
+        elif len(shown) > MOST:
+            close()
+    return (text, last, n, undecided), out
 
 
 def segment(stream: DataFrame) -> DataFrame:
-    """key, n, text from a stream of key, at, token."""
+    """key, n, text from a stream of key, start, end, token."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else ("", 0, 0)
-        rows = sorted((int(a), t or "") for b in batches for a, t in zip(b["at"], b["token"]))
+        held = tuple(state.get) if state.exists else ("", 0, 0, False)
+        rows = sorted((int(a), int(z), t or "") for b in batches for a, z, t in zip(b["start"], b["end"], b["token"]))
         held, out = fold(held, rows)
         state.update(held)
         yield pd.DataFrame({"key": [key[0]] * len(out), "n": [n for n, _ in out], "text": [t for _, t in out]})
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key long, n long, text string", "text string, last long, n long", "append", "NoTimeout")
+    return stream.groupBy("key").applyInPandasWithState(run, "key long, n long, text string", "text string, last long, n long, undecided boolean", "append", "NoTimeout")
 
 
 def run_available(spark: SparkSession, path: str) -> DataFrame:
     """The closed segments of a conversations table, read as a stream until its end."""
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    run = f"{folder}/segments-{spark.sparkContext.applicationId}-{abs(hash(path))}"
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    run = f"{folder}/segments-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    parent, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name[:-8]}*")
-    tokens = source.select(F.col("conv_id").alias("key"), (F.col("turn") * 1000).alias("at"), F.col("text").alias("token"))
+    # A stream reads a folder or a glob; this one matches the table's own name alone.
+    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    at = F.col("turn") * 1000
+    tokens = source.select(F.col("conv_id").alias("key"), at.alias("start"), (at + F.least(F.char_length("text") * 50, F.lit(999))).alias("end"), F.concat(F.lit(" "), "text").alias("token"))
     # All that is there is one batch, so a key's markers come with its last tokens; those after the first close nothing.
-    ends = source.select(F.col("conv_id").alias("key"), F.lit(CLOSE).cast("long").alias("at"), F.lit(None).cast("string").alias("token"))
+    ends = source.select(F.col("conv_id").alias("key"), F.lit(CLOSE).cast("long").alias("start"), F.lit(CLOSE).cast("long").alias("end"), F.lit(None).cast("string").alias("token"))
     writer = segment(tokens.union(ends)).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
     return spark.read.parquet(f"{run}/out")
