@@ -1 +1 @@
-
+"""Sources."""
