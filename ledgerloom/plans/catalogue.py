@@ -37,10 +37,9 @@ def query(sql: str | None = None):
     FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey GROUP BY c_custkey""")
 def person_rollup_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup is made before the join, so the join meets one row for each person."""
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("person")).agg(F.count("*").alias("task_count"), F.sum("o_totalprice").alias("amount"))
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
-    j = people.join(done, people["person"] == done["o_custkey"], "left")
-    return j.select("person", F.coalesce("n", F.lit(0)).alias("task_count"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("amount"), F.col("n").isNotNull().alias("appears"))
+    return core.zero_filled(people, done, "person", {"task_count": 0, "amount": 0.0}).withColumn("amount", F.round("amount", 4))
 
 
 TODAY = "DATE '1998-06-01'"
@@ -187,7 +186,7 @@ def dominant_value(spark, sf_dir):
     SELECT user_id, event_type, count(*) AS k, count(*) >= 4 AS agreed FROM v GROUP BY ALL""")
 def vote_majority(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("run"), "event_type")
-    return e.distinct().groupBy("user_id", "event_type").agg(F.count("*").alias("k")).withColumn("agreed", F.col("k") >= 7 // 2 + 1)
+    return core.verdict(e, "user_id", "run", "event_type", 7)
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
@@ -213,7 +212,7 @@ def relational_division(spark, sf_dir):
     SELECT r_name AS region, count(DISTINCT n_nationkey) AS nations, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders
     FROM region LEFT JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey LEFT JOIN orders ON c_custkey = o_custkey GROUP BY r_name""")
 def entity_graph_walk(spark, sf_dir):
-    """Counts go up the edges, from orders to regions, so no level is multiplied by the one below."""
+    """A rollup of a tree: counts go up from orders to regions, so no level is multiplied by the one below."""
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
     c = table(spark, sf_dir, "customer").join(o, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.sum("orders").alias("orders"))
     n = table(spark, sf_dir, "nation").join(c, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("nations"), F.sum("customers").alias("customers"), F.sum("orders").alias("orders"))
@@ -286,7 +285,7 @@ def qterms(spark, sf_dir):
 
 
 def stream_segments(spark, sf_dir):
-    """ST01-ST03: conversations as an arriving stream, cut into segments by keyed state; rows only, no SQL."""
+    """ST01-ST03 ST06: conversations as an arriving stream, cut into segments by keyed state; rows only, no SQL."""
     return segments.run_available(spark, f"{sf_dir}/conversations.parquet")
 
 

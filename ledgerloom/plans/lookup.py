@@ -416,12 +416,13 @@ def edge_attributes(spark, sf_dir):
     return lookup.pivoted(e.select("a", "e.rel", "e.b"), ["assignee", "sprint", "milestone"], o.where(k % 3 == 0).select(k.alias("a")))
 
 
-@query("SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_orderkey AND c_nationkey = o_custkey)")
+@query("""
+    WITH e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders UNION ALL SELECT c_custkey, c_nationkey FROM customer)
+    SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a)""")
 def unreciprocated_links(spark, sf_dir):
-    """Links of orders, the way back of some is said by customers."""
-    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
-    back = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").cast("long").alias("a"))
-    return edges.join(back, ["a", "b"], "left_anti")
+    """Links of customers to orders, and some links back."""
+    back = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").cast("long").alias("b"))
+    return core.mutual(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).union(back))
 
 
 @query(f"SELECT doc_id, sha256({FOLDED}) AS folded FROM documents")
