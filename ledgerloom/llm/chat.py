@@ -126,4 +126,7 @@ def link(messages: DataFrame) -> DataFrame:
     j = messages.join(told.drop("conv_id", "turn"), "row", "left").join(known, ["conv_id", "turn"], "left")
     zero = lambda c, kind="long": F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
     out = j.select("row", "conv_id", "turn", "role", zero("n_quoted"), zero("max_level", "int"), zero("n_linked"), "reply_to", F.coalesce("root", "turn").alias("root_turn"), zero("depth", "int"), zero("place"), F.when(quotes, body).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
-    return running_total(out, ["conv_id"], ["root_turn", "place", "row"], name="position").drop("row", "place")
+    # Texts stay where they are; only the numbers are dealt by range.
+    narrow = out.select("row", "conv_id", "root_turn", "place")
+    position = cut(running_total(narrow, ["conv_id"], ["root_turn", "place", "row"], name="position").select("row", "position"), "positions")
+    return out.join(position, "row").drop("row", "place")
