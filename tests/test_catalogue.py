@@ -1,6 +1,6 @@
 import pytest
 from compare import same
-from ledgerloom.plans import gates, lookup, reports, rules  # noqa: F401
+from ledgerloom.plans import gates, lookup, reports, rules, shapes  # noqa: F401
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 
