@@ -52,13 +52,25 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+def cut(df: DataFrame, what: str = "cut", row_group: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    row_group: bytes of a row group, for tables of large rows, as a reader holds that much at a time.
+    """
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(cut_off: DataFrame) -> None:
+    """Delete the table of ``cut`` that this is; nothing may read it any more."""
+    files = cut_off.inputFiles()
+    if files:
+        spark = cut_off.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def maybe_in(rows: DataFrame, key: str, asked: DataFrame, bits: int = BITS, name: str | None = None) -> DataFrame:
     """Rows whose key may be among asked's: all that are, and few others while asked has far fewer keys than bits.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dedup, ogg, packing, pii, token_counts, topk, toxicity, warc
+from . import chat, clustering, mixing, near_dedup, ogg, packing, pii, quality, token_counts, topk, toxicity, warc, whitening
 from .common import new_path, table
 
 THRESHOLD = 0.3
@@ -69,7 +69,52 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_topk, op3_near_dedup, op4_mixing, op5_warc, op6_packing, op7_pii, op8_toxicity, op9_ogg, op10_token_counts)}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def kept_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, table(spark, sf_dir, "labels"), kept_out)
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", F.coalesce(kept_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_chat, op2_topk, op3_near_dedup, op4_mixing, op5_warc, op6_packing, op7_pii, op8_toxicity, op9_ogg, op10_token_counts, op11_clusters, op12_whitening, op13_quality)
+}
+
+
+def clusters_sql(rounds: int = 10) -> str:
+    """SQL of op11_clusters: each round as a table of assignments and one of centroids."""
+    nearest = """(SELECT v.row, v.w, c.cluster, list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance,
+                    row_number() OVER (PARTITION BY v.row ORDER BY list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.cluster) AS place
+                  FROM v CROSS JOIN c{r} c)"""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+             WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), w) - 1 AS INTEGER) AS cluster, w FROM v
+             ORDER BY sha256('3:' || vec_id) NULLS LAST, w LIMIT 8)""",
+    ]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT cluster, w FROM {nearest.format(r=r)} WHERE place = 1)")
+        parts.append(f"""m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM
+             (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster)""")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, CAST(coalesce(m.w, c.w) AS BIGINT[]) AS w FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster)")
+    parts.append(f"f AS (SELECT row, cluster, distance FROM {nearest.format(r=rounds)} WHERE place = 1)")
+    return "WITH " + ",\n".join(parts) + f"""
+        SELECT v.vec_id, f.cluster, CAST(f.distance AS BIGINT) AS distance, CAST(sum(f.distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(f.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.w, ',')) AS centroid_sha256
+        FROM f JOIN v ON f.row = v.row JOIN c{rounds} c ON f.cluster = c.cluster"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": """
@@ -87,4 +132,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
         FROM o""",
+    "op11_clusters": clusters_sql(),
 }
