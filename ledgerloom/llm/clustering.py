@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, settled
 from .topk import quantise
 
 BLOCK, LEAF = 2048, 16
@@ -172,14 +172,18 @@ def clusters(df: DataFrame, k: int = 8, rounds: int = 10, scale: int = 1024, wid
     centroids = np.array([r["w"] for r in vectors.orderBy(first.asc_nulls_last(), "w").limit(k).collect()], np.int64).reshape(-1, width)
     if not len(centroids):
         return spark.createDataFrame([], f"`{key}` {vectors.schema['id'].dataType.simpleString()}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
-    grown = cut(trees(vectors, width), "trees", row_group=16 << 20)
-    for _ in range(rounds):
-        after = moved(grown, centroids)
-        if (after == centroids).all():
-            break  # all later rounds would give the same
-        centroids = after
-    found = cut(assigned(grown, centroids, key), "assigned")
-    discard(grown)
+
+    def last() -> DataFrame:
+        nonlocal centroids
+        grown = cut(trees(vectors, width), "trees", row_group=16 << 20)
+        for _ in range(rounds):
+            after = moved(grown, centroids)
+            if (after == centroids).all():
+                break  # all later rounds would give the same
+            centroids = after
+        return assigned(grown, centroids, key)
+
+    found = settled(spark, last, "assigned")
     inertia = {r[0]: int(r[1]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)"))).collect()}
     fits = lambda x: x if x < 1 << 63 else None
     rows = [(c, fits(x), fits(sum(inertia.values())), hashlib.sha256(",".join(map(str, centroids[c].tolist())).encode()).hexdigest()) for c, x in inertia.items()]

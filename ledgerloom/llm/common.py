@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,23 +53,65 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Tables that ``cut`` has written inside of the innermost ``settled``.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("_WRITTEN", default=None)
+
+
 def cut(df: DataFrame, what: str = "cut", row_group: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
 
     row_group: bytes of a row group, for tables of large rows, as a reader holds that much at a time.
     """
     path = new_path(df.sparkSession, what)
+    held = _WRITTEN.get()
+    if held is not None:
+        held.append(path)
     (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(cut_off: DataFrame) -> None:
-    """Delete the table of ``cut`` that this is; nothing may read it any more."""
-    files = cut_off.inputFiles()
-    if files:
-        spark = cut_off.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str = "cut") -> DataFrame:
+    """``cut(make(), what)``; all other tables that make has cut are deleted then, so nothing but its result may read them."""
+    outer = _WRITTEN.set([])
+    try:
+        path, df = new_path(spark, what), make()
+        df.write.parquet(path)
+    finally:
+        inner = _WRITTEN.get()
+        _WRITTEN.reset(outer)
+        for old in inner:
+            delete(spark, old)
+    held = _WRITTEN.get()
+    if held is not None:
+        held.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], row_bytes: int, all_bytes: int, held_out=None, text: str = "text", key: str = "doc_id", label: str = "label") -> tuple[list[tuple[bytes, int]], float]:
+    """((text, label) of a bounded sample, share of label 1 among all labels), by ids whose label is 0 or 1 and that are not held out.
+
+    In an order by hash, at most most[y] ids of each label; of their rows those with a text of at most row_bytes, until all_bytes
+    of that label are reached. A row is used whole or not at all.
+    """
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
+    if held_out is not None:
+        known = known.where(~held_out(F.col("id")))
+    counts = dict(known.groupBy("y").agg(F.count("*")).collect())
+    spread, size = F.xxhash64("id"), F.octet_length("t").cast("long")
+    first = [known.where(F.col("y") == y).orderBy(spread, "id").limit(n) for y, n in most.items()]
+    some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
+    some = some.join(F.broadcast(first[0].union(first[1])), "id").where(size <= row_bytes)
+    # The sample's rows stand in two lines, as many as their ids, but for ids that repeat.
+    line = Window.partitionBy("y").orderBy(spread, "id", "t")
+    rows = some.withColumn("so_far", F.sum(size).over(line)).withColumn("place", F.row_number().over(line))
+    limit = F.when(F.col("y") == 1, most[1]).otherwise(most[0])
+    rows = [(r["id"], r["y"], r["t"].encode()) for r in rows.where((F.col("so_far") <= all_bytes) & (F.col("place") <= limit)).collect()]
+    return [(t, y) for _, y, t in sorted(rows)], counts.get(1, 0) / sum(counts.values()) if counts else 0.0
 
 
 def maybe_in(rows: DataFrame, key: str, asked: DataFrame, bits: int = BITS, name: str | None = None) -> DataFrame:

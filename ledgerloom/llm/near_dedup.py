@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, running_total
+from .common import cut, maybe_in, running_total, settled
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -45,8 +45,7 @@ MASK_WORDS = 32
 
 _r = np.random.default_rng(20240229)
 _LETTER = _r.integers(0, 2**64, 256, np.uint64)
-_STEP = np.uint64(int(_r.integers(0, 2**62)) * 2 + 1)
-_STEP_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+_LETTER[[32, *range(9, 14)]] = 0
 _PLACE = _r.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: The bins that an empty bin asks, in turn.
 _ASKED = _r.integers(0, BINS, (4000, BINS))
@@ -58,10 +57,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+#: Factors of a byte by its place in the word, without a pattern: powers of one number would collide on some words whatever the number.
+_WEIGHT = _mixed(np.arange(1 << 12, dtype=np.uint64) + np.uint64(int(_r.integers(0, 2**62)))) | np.uint64(1)
+
+
+def _weights(place: np.ndarray) -> np.ndarray:
+    out = _WEIGHT[np.minimum(place, len(_WEIGHT) - 1)]
+    far = np.flatnonzero(place >= len(_WEIGHT))
+    out[far] = _mixed(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return out
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -73,8 +77,12 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * _powers(_STEP, len(raw)))])
-    word = _mixed((total[ends] - total[starts]) * _powers(_STEP_BACK, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+    if len(starts):
+        place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+        sums = np.add.reduceat(_LETTER[raw[starts[0] :]] * _weights(place), starts - starts[0])  # blanks add nothing
+    else:
+        sums = np.empty(0, np.uint64)
+    word = _mixed(sums + (ends - starts).astype(np.uint64))
     first = np.searchsorted(starts, ends_at - [len(t) + 1 for t in texts])
     last = np.searchsorted(starts, ends_at)
     n = len(word)
@@ -223,6 +231,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    return settled(docs.sparkSession, lambda: _near_duplicates(docs, text, key), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = cut(sketches(docs, text, key), "sketches")
     live = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut(live.groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")

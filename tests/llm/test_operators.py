@@ -588,3 +588,30 @@ def test_packing_ids(spark, docs):
         assert at == len(ids)
     n = len({x.sequence_id for x in rows})
     assert n * 2048 < 1.02 * sum(x.length for x in rows) + 2048
+
+
+def test_word_hashes_of_patterned_words():
+    """Words of one length that differ by a pattern in which sums of powers modulo 2^64 collide."""
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 4096, 8192):
+        a, b = near_dedup.shingle_sets([word[:n].encode(), other[:n].encode()])
+        assert a.tolist() != b.tolist()
+    # A word's hash does not depend on where it stands or on blanks around it.
+    one = near_dedup.shingle_sets([b"  a bc\td ef  ghi", b"a bc d ef ghi ", b"x a bc d ef ghi"])
+    assert one[0].tolist() == one[1].tolist() and set(one[0].tolist()) < set(one[2].tolist())
+
+
+def test_settled_tables_are_deleted(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    df = spark.range(10)
+    out = common.settled(spark, lambda: common.settled(spark, lambda: common.cut(df).union(common.cut(df)), "inner"), "outer")
+    assert out.count() == 20 and {p.name.split("-")[0] for p in set(folder.iterdir()) - before} == {"outer"}
+    with pytest.raises(ZeroDivisionError):
+        common.settled(spark, lambda: (common.cut(df), 1 // 0))
+    assert {p.name.split("-")[0] for p in set(folder.iterdir()) - before} == {"outer"}
