@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, maybe_in
+from .common import cut, maybe_in, settled
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive and bounded forms: linear time on any text. A number's chain is taken only where 14 to 19 digits end it.
@@ -121,10 +121,26 @@ def text_key(text: Column) -> Column:
 
 
 def base(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, text_key, found, rest: the base spans of each row, and its text without what they cover."""
+    """keep, text_key, found: the base spans of each row."""
     t = F.coalesce(F.col(text), F.lit(""))
-    b = docs.select(*keep, t.alias("_t")).select(*keep, text_key(F.col("_t")).alias("text_key"), entities(F.col("_t")).alias("found"), "_t")
-    return b.select(*keep, "text_key", "found", blanked(F.col("_t"), F.col("found")).alias("rest"))
+    return docs.select(*keep, t.alias("_t")).select(*keep, text_key(F.col("_t")).alias("text_key"), entities(F.col("_t")).alias("found"))
+
+
+class Texts:
+    """The texts of docs without what their base spans cover, made anew from docs wherever they are read: no copy of them is written.
+
+    Entities are sought again only in texts that may hold some, by a bounded filter over the keys of those that do.
+    """
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, text: str):
+        t = F.coalesce(F.col(text), F.lit(""))
+        self.docs, self.named = docs.select(t.alias("_t")).select(text_key(F.col("_t")).alias("text_key"), "_t"), rows.where(F.size("found") > 0).select("text_key")
+
+    def rest(self, asked: DataFrame | None = None) -> DataFrame:
+        """text_key, rest; with asked, of texts that may be among its keys."""
+        some = self.docs if asked is None else maybe_in(self.docs, "text_key", asked)
+        plain = F.translate("_t", MASK, " ")
+        return maybe_in(some, "text_key", self.named, name="_may").select("text_key", F.when(F.col("_may"), blanked(F.col("_t"), entities(F.col("_t")))).otherwise(plain).alias("rest"))
 
 
 def terms(rest: Column) -> Column:
@@ -140,23 +156,16 @@ def places(texts: DataFrame) -> DataFrame:
     return each.withColumn("end", before.cast("int")).select("text_key", (F.col("end") - F.char_length("match")).alias("start"), "end", "match")
 
 
-def terms_of_texts(rows: DataFrame) -> DataFrame:
-    """term: each distinct text's distinct terms. Only texts that may occur more than once are shuffled to count them once."""
-    repeated = cut(rows.groupBy("text_key").agg(F.count("*").alias("k")).where("k > 1").select("text_key"), "repeated")
-    told = maybe_in(rows.select("text_key", "rest"), "text_key", repeated, name="_may").select("text_key", "_may", terms(F.col("rest")).alias("terms"))
-    return told.where("not _may").select("terms").union(told.where("_may").dropDuplicates(["text_key"]).select("terms")).select(F.explode("terms").alias("term"))
-
-
-def disclosing(rows: DataFrame) -> DataFrame:
-    """entity, term of each disclosure; rows as base() gives them."""
+def disclosing(rows: DataFrame, texts: Texts) -> tuple[DataFrame, DataFrame]:
+    """(entity and term of each disclosure; text_key and term of each text that has a term which may be one). rows as base() gives them."""
     total = float(max(rows.select("text_key").distinct().count(), 1))
     named = F.array_distinct(F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
     of = cut(rows.where(F.size("found") > 0).select("text_key", F.explode(named).alias("entity")).distinct(), "entities")
     n_e = of.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= LEAST_TEXTS) & (F.log2(F.lit(total) / F.col("n_e")) >= LEAST_BITS))
     of = cut(of.join(n_e, "entity"), "supported")
-    texts = of.select("text_key").distinct()
-    held = maybe_in(rows.where(F.size("found") > 0).select("text_key", "rest"), "text_key", texts).select("text_key", terms(F.col("rest")).alias("terms"))
-    words = cut(held.join(texts, "text_key", "left_semi").dropDuplicates(["text_key"]), "words").select("text_key", F.explode("terms").alias("term"))
+    keys = of.select("text_key").distinct()
+    held = texts.rest(keys).select("text_key", terms(F.col("rest")).alias("terms"))
+    words = cut(held.join(keys, "text_key", "left_semi").dropDuplicates(["text_key"]), "words").select("text_key", F.explode("terms").alias("term"))
     # A little more than the bound, for rounding; the exact test comes below.
     most = of.agg(F.max(F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - LEAST_SHARE))).alias("most")).first()["most"] or 0.0
     m_t = cut(words.groupBy("term").agg(F.count("*").alias("m_t")).where((F.col("m_t") >= LEAST_TEXTS) & (F.col("m_t") <= most * 1.000001)), "rare")
@@ -165,22 +174,28 @@ def disclosing(rows: DataFrame) -> DataFrame:
     enough = F.col("n_te") >= F.col("m_t") * F.pow(F.col("n_e") / F.lit(total), F.lit(1 - LEAST_SHARE)) * 0.999999
     both = cut(rare.join(of, "text_key").where(may).groupBy("entity", "term", "n_e", "m_t").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= LEAST_TEXTS) & enough).drop("m_t"), "pairs")
     sought = cut(both.select("term").distinct(), "sought")
-    # Words that are not sought go before they are counted, and counts are made within tasks first.
-    n_t = maybe_in(terms_of_texts(rows), "term", sought).groupBy("term").agg(F.count("*").alias("n_t"))
+    # Words that are not sought go before anything is shuffled; copies of a text count once.
+    each = texts.rest().select("text_key", F.explode(terms(F.col("rest"))).alias("term"))
+    hits = cut(maybe_in(each, "term", sought).join(sought, "term", "left_semi").select("text_key", "term").distinct(), "hits")
+    n_t = hits.groupBy("term").agg(F.count("*").alias("n_t"))
     tells = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
-    return cut(both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(total) / F.col("n_e"))).select("entity", "term"), "disclosing")
+    return both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(total) / F.col("n_e"))).select("entity", "term"), hits
+
+
+def marked(rows: DataFrame, texts: Texts) -> DataFrame:
+    """text_key, terms (array<struct<start,end,match>>) of texts with a disclosing term."""
+    pairs, hits = disclosing(rows, texts)
+    told = cut(pairs.select("term").distinct(), "told")
+    risky = cut(hits.join(told, "term", "left_semi").select("text_key").distinct(), "risky")
+    held = texts.rest(risky).join(risky, "text_key", "left_semi").dropDuplicates(["text_key"])
+    spans = places(held).withColumn("term", F.lower("match")).join(told, "term", "left_semi")
+    return spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("terms"))
 
 
 def disclosures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(rows, terms): keep, text_key, found of each row; text_key, terms (array<struct<start,end,match>>) of texts that have any."""
-    rows = cut(base(docs, text, keep), "entities")
-    told = cut(disclosing(rows).select("term").distinct(), "told")
-    each = rows.select("text_key", F.explode(terms(F.col("rest"))).alias("term"))
-    risky = cut(maybe_in(each, "term", told).join(told, "term", "left_semi").select("text_key").distinct(), "risky")
-    texts = maybe_in(rows.select("text_key", "rest"), "text_key", risky).join(risky, "text_key", "left_semi").dropDuplicates(["text_key"])
-    marked = places(texts).withColumn("term", F.lower("match")).join(told, "term", "left_semi")
-    spans = marked.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("terms"))
-    return rows.drop("rest"), cut(spans, "terms")
+    rows = cut(base(docs, text, keep), "spans")
+    return rows, settled(docs.sparkSession, lambda: marked(rows, Texts(docs, rows, text)), "terms")
 
 
 def digest(rows: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
@@ -203,15 +218,20 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
 
 
-def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with text sanitised, all other columns kept whatever their names; rows without a span are unchanged."""
+def _labels(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """_of, _spans: start, end and label of all spans of each text that has any."""
     rows, told = disclosures(docs, text, (key,))
     no_span = F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int,kind:string,match:string>>")
     labels = F.transform(F.coalesce("found", no_span), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
     no_term = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>")
     of_terms = F.transform(F.coalesce("terms", no_term), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["match"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("")).alias("label")))
     spans = rows.where(F.size("found") > 0).select("text_key", "found").dropDuplicates(["text_key"]).join(told, "text_key", "full_outer")
-    spans = cut(spans.select(F.col("text_key").alias("_of"), F.array_sort(F.concat(labels, of_terms)).alias("_spans")), "spans")
+    return spans.select(F.col("text_key").alias("_of"), F.array_sort(F.concat(labels, of_terms)).alias("_spans"))
+
+
+def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with text sanitised, all other columns kept whatever their names; rows without a span are unchanged."""
+    spans = settled(docs.sparkSession, lambda: _labels(docs, text, key), "labels")
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text"), text_key(F.coalesce(F.col(text), F.lit(""))).alias("_of"))
     keyed = maybe_in(keyed, "_of", spans, name="_may")
     # Only texts that may hold a span are shuffled.
