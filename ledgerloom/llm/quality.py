@@ -16,15 +16,13 @@ get equal scores. Other columns are carried along, but for one named ``score``,
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .common import labelled_sample
 from .words import by_bytes
 
 SPAN, EMBED, FILTERS, HIDDEN = 8, 8, 16, 16
@@ -176,19 +174,8 @@ def scores(net: Network | float, texts: list[bytes]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, held_out=None, text: str = "text", key: str = "doc_id", label: str = "quality") -> Network | float:
     """A network from the labelled rows whose id is not held out."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
-    if held_out is not None:
-        known = known.where(~held_out(F.col("id")))
-    spread, rows, counts = F.xxhash64("id"), [], []
-    for y in (0, 1):
-        mine = known.where(F.col("y") == y)
-        counts.append(mine.count())
-        ids = mine.orderBy(spread, "id").limit(SAMPLE)
-        some = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id")
-        # The sample's rows in one line, at most SAMPLE but for ids that repeat.
-        sized = some.where(F.octet_length("t") <= ROW_BYTES).withColumn("so_far", F.sum(F.octet_length("t").cast("long")).over(Window.orderBy(spread, "id", "t")))
-        rows += [(r["t"].encode(), y) for r in sized.where(F.col("so_far") <= SAMPLE_BYTES).orderBy("so_far").collect()]
-    return fit(rows, counts[1] / sum(counts) if sum(counts) else 0.0)
+    rows, share = labelled_sample(docs, labels, {0: SAMPLE, 1: SAMPLE}, ROW_BYTES, SAMPLE_BYTES, held_out, text, key, label)
+    return fit(rows, share)
 
 
 def score(docs: DataFrame, net: Network | float, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A word's input is a learned vector of the word (vocabulary of the sample, else "unknown") beside the mean of learned vectors
 of its character trigrams. Texts are cut into windows of 32 words, each 24 after the last, so that all overlap; a
-document's score is that of its worst window. Training is on a bounded sample: each labelled document gives the window that scores
+document's score is that of its worst window. Training is on a bounded sample, of which a row is used whole or not at all: each labelled document gives the window that scores
 worst for it, at first by how strongly its words go with the label, then by the network, and one more window.
 
 Null and empty texts are one empty window. Unlabelled rows are scored like others. Labels that are null or belong to no
@@ -20,16 +20,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import labelled_sample
 from .words import by_bytes
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD, CHAR, GRAMS = 8, 8, 8, 4096
-#: The fit's bounded sample: rows of label 1 and 0, and words of the vocabulary. Of a text above SLICES * SLICE characters, it has
-#: so many slices, evenly spread over the whole text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, VOCABULARY = 600, 1500, 20_000
-SLICES, SLICE = 64, 1000
+#: The fit's bounded sample: rows of label 1 and 0, bytes of a row's text and of each label's texts in all; words of the vocabulary.
+SAMPLE_TOXIC, SAMPLE_CLEAN, ROW_BYTES, SAMPLE_BYTES, VOCABULARY = 600, 1500, 200_000, 6_000_000, 20_000
 BATCH_BYTES = 1_000_000
 KEPT_WORDS = 60_000
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -264,20 +262,8 @@ def scores(net: Network | float, texts: list[bytes]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, held_out=None, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Network | float:
     """A network from the labelled rows whose id is not held out."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
-    if held_out is not None:
-        known = known.where(~held_out(F.col("id")))
-    x = known.agg(F.count("*"), F.sum("y")).first()
-    share = float((x[1] or 0) / x[0]) if x[0] else 0.0
-    spread = F.xxhash64("id")
-    ids = known.where("y = 1").orderBy(spread, "id").limit(SAMPLE_TOXIC).union(known.where("y = 0").orderBy(spread, "id").limit(SAMPLE_CLEAN))
-    n, t = F.char_length(text), F.col(text)
-    slices = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(t, (i * (n - SLICE) / (SLICES - 1)).cast("int") + 1, F.lit(SLICE))), " ")
-    some = docs.where(t.isNotNull()).select(F.col(key).alias("id"), F.when(n <= SLICES * SLICE, t).otherwise(slices).alias("t")).join(F.broadcast(ids), "id")
-    # Ids that repeat may give more rows than the sample has; which of them stay depends on hashes, not on the ids' size.
-    rows = [r for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in some.where(F.col("y") == y).orderBy(spread, "id", "t").limit(most).collect()]
-    rows.sort(key=lambda r: (r["id"], r["y"], r["t"]))
-    return fit([(r["t"].encode(), r["y"]) for r in rows], share)
+    rows, share = labelled_sample(docs, labels, {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}, ROW_BYTES, SAMPLE_BYTES, held_out, text, key, label)
+    return fit(rows, share)
 
 
 def score(docs: DataFrame, net: Network | float, text: str = "text", key: str = "doc_id") -> DataFrame:
