@@ -158,7 +158,8 @@ def mixed_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source
 
     Words keep the blanks between them; where words were left out, a line break stands. length, if docs has it, is that of the new text.
     """
-    held = cut(docs.select(F.struct("*").alias("_doc"), F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.monotonically_increasing_id().alias("_row")), "rows")
+    rest = [F.col(c) for c in docs.columns if c != text]
+    held = cut(docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_doc"), F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"), F.col(source).alias("_source"), F.monotonically_increasing_id().alias("_row")), "rows")
     named, spans = mix(held, text="_text", key="_key", source="_source", **options)
     n = named.select("row", F.ceil(F.col("source_size") / options.get("block", BLOCK)).alias("n")).where("n > 0")
     passes = spans.join(n, "row").select("row", F.floor(F.col("slot") / F.col("n")).alias("turn"), "start", "words")
