@@ -78,3 +78,29 @@ def test_stages(spark):
         ends = np.cumsum([n for _, n in sorted(parts)])
         assert [a for a, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
     assert len(by) * 2048 < 1.02 * sum(r.length for r in out) + 2048
+
+
+def test_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and ids, extra columns, empty tables, stage by stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, `_may` int"
+    words = [f"{a}{b}" for a in "klmnprstvw" for b in ("ara", "eno", "ilu", "opi", "uma")]
+    long = " ".join(words)
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (3, long + " zz", "en", "s", 1), (4, long, "en", "t", 1), (None, long, "fr", "s", 1), (None, None, None, "s", None), (5, " ".join(reversed(words)), "en", None, 1)]
+    docs = spark.createDataFrame([(*r, 0.5, "x", 1) for r in rows], kind)
+    columns = list(pipeline.COLUMNS)
+    stages = dict(pipeline.STAGES)
+    docs = stages["toxicity"](spark, docs, SMALL)
+    assert docs.columns == columns
+    kept = stages["near_dedup"](spark, common.cut(docs), SMALL)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == columns and got == Counter({(1, None): 1, (2, ""): 1, (3, long): 1, (None, long): 1, (None, None): 1, (5, rows[-1][1]): 1})
+    kept = common.cut(kept)
+    clean = common.cut(stages["pii"](spark, kept, SMALL))
+    assert clean.count() == 6 and clean.columns == columns and {r.doc_id: r.text for r in clean.where("doc_id <= 2").collect()} == {1: None, 2: ""}
+    mixed = common.cut(stages["mixing"](spark, clean, SMALL))
+    assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= {3, 5, None} and all(r.text for r in mixed.collect())
+    assert stages["packing"](spark, mixed, SMALL).count() >= mixed.count()
+    none = spark.createDataFrame([], kind)
+    for name, stage in pipeline.STAGES:
+        none = common.cut(stage(spark, none, SMALL))
+        assert none.count() == 0, name
