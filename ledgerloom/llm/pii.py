@@ -156,8 +156,15 @@ def places(texts: DataFrame) -> DataFrame:
     return each.withColumn("end", before.cast("int")).select("text_key", (F.col("end") - F.char_length("match")).alias("start"), "end", "match")
 
 
-def disclosing(rows: DataFrame, texts: Texts) -> tuple[DataFrame, DataFrame]:
-    """(entity and term of each disclosure; text_key and term of each text that has a term which may be one). rows as base() gives them."""
+def terms_of_texts(rows: DataFrame, texts: Texts) -> DataFrame:
+    """term: each distinct text's distinct terms. Only texts that may occur more than once are shuffled to count them once."""
+    repeated = cut(rows.groupBy("text_key").agg(F.count("*").alias("k")).where("k > 1").select("text_key"), "repeated")
+    told = maybe_in(texts.rest(), "text_key", repeated, name="_may").select("text_key", "_may", terms(F.col("rest")).alias("terms"))
+    return told.where("not _may").select("terms").union(told.where("_may").dropDuplicates(["text_key"]).select("terms")).select(F.explode("terms").alias("term"))
+
+
+def disclosing(rows: DataFrame, texts: Texts) -> DataFrame:
+    """entity, term of each disclosure; rows as base() gives them."""
     total = float(max(rows.select("text_key").distinct().count(), 1))
     named = F.array_distinct(F.transform("found", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))))
     of = cut(rows.where(F.size("found") > 0).select("text_key", F.explode(named).alias("entity")).distinct(), "entities")
@@ -174,19 +181,17 @@ def disclosing(rows: DataFrame, texts: Texts) -> tuple[DataFrame, DataFrame]:
     enough = F.col("n_te") >= F.col("m_t") * F.pow(F.col("n_e") / F.lit(total), F.lit(1 - LEAST_SHARE)) * 0.999999
     both = cut(rare.join(of, "text_key").where(may).groupBy("entity", "term", "n_e", "m_t").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= LEAST_TEXTS) & enough).drop("m_t"), "pairs")
     sought = cut(both.select("term").distinct(), "sought")
-    # Words that are not sought go before anything is shuffled; copies of a text count once.
-    each = texts.rest().select("text_key", F.explode(terms(F.col("rest"))).alias("term"))
-    hits = cut(maybe_in(each, "term", sought).join(sought, "term", "left_semi").select("text_key", "term").distinct(), "hits")
-    n_t = hits.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Words that are not sought go before they are counted, and counts are made within tasks first.
+    n_t = maybe_in(terms_of_texts(rows, texts), "term", sought).groupBy("term").agg(F.count("*").alias("n_t"))
     tells = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
-    return both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(total) / F.col("n_e"))).select("entity", "term"), hits
+    return both.join(n_t, "term").where(tells >= LEAST_SHARE * F.log2(F.lit(total) / F.col("n_e"))).select("entity", "term")
 
 
 def marked(rows: DataFrame, texts: Texts) -> DataFrame:
     """text_key, terms (array<struct<start,end,match>>) of texts with a disclosing term."""
-    pairs, hits = disclosing(rows, texts)
-    told = cut(pairs.select("term").distinct(), "told")
-    risky = cut(hits.join(told, "term", "left_semi").select("text_key").distinct(), "risky")
+    told = cut(disclosing(rows, texts).select("term").distinct(), "told")
+    each = texts.rest().select("text_key", F.explode(terms(F.col("rest"))).alias("term"))
+    risky = cut(maybe_in(each, "term", told).join(told, "term", "left_semi").select("text_key").distinct(), "risky")
     held = texts.rest(risky).join(risky, "text_key", "left_semi").dropDuplicates(["text_key"])
     spans = places(held).withColumn("term", F.lower("match")).join(told, "term", "left_semi")
     return spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "match"))).alias("terms"))
