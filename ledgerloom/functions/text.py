@@ -132,6 +132,11 @@ def digest(lines: Column) -> Column:
 
 
 def column_letter(i: Column) -> Column:
-    """A for 0, Z for 25, AA for 26, up to ZZ."""
-    letter = lambda x: F.char((x + 65).cast("long"))
-    return F.when(i < 26, letter(i)).otherwise(F.concat(letter(F.floor(i / 26) - 1), letter(i % 26)))
+    """A for 0, Z for 25, AA for 26, AAA for 702 and so on; a long has at most 14 letters."""
+
+    def put(acc: Column, _: Column) -> Column:
+        more = F.concat(F.char(F.pmod(acc["n"] - 1, F.lit(26)) + 65), acc["s"])
+        return F.struct(F.when(acc["n"] > 0, F.call_function("div", acc["n"] - 1, F.lit(26))).otherwise(0).cast("long").alias("n"), F.when(acc["n"] > 0, more).otherwise(acc["s"]).alias("s"))
+
+    zero = F.struct((i + 1).cast("long").alias("n"), F.lit("").alias("s"))
+    return F.when(i >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), zero, put, lambda acc: acc["s"]))

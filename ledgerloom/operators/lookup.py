@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shapes import is_done
+
 
 
 def lasting(df: DataFrame) -> DataFrame:
@@ -103,18 +105,35 @@ def effort_against_allocation(logged: DataFrame, allocation: DataFrame, keys: Se
 # --- search -------------------------------------------------------------------
 
 
-def row_search(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], keep: int | None, least: float = 0.0) -> DataFrame:
-    """[A20 T01 R10] key, share: the idf of the terms that a row holds (as substrings) over that of all, idf = ln((1 + N) / (1 + df)); without keep, all rows with a hit."""
-    b = rows.select(key, blob.alias("_b"))
-    hit = [F.contains("_b", F.lit(t)) for t in terms]
-    n = b.agg(F.count("*").alias("n"), *[F.count_if(h).alias(f"d{i}") for i, h in enumerate(hit)]).first()  # one row of counts
-    idf = [F.log((F.lit(1.0) + n["n"]) / (1 + n[f"d{i}"])) for i in range(len(terms))]
+def term_masks(rows: DataFrame, key: str, blob: Column, terms: Sequence[str]) -> DataFrame:
+    """key, mask: the terms (up to 63) that a row holds as substrings, a bit for each; blob is computed once a row, and once for all that follows."""
+    mask = F.transform(F.array(blob), lambda b: sum((F.when(F.contains(b, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(terms)), F.lit(0).cast("long")))
+    return lasting(rows.select(key, F.get(mask, F.lit(0)).alias("mask")))
+
+
+def shares(masks: DataFrame, key: str, n_terms: int) -> DataFrame:
+    """[A20 T01] key, share: the idf of the terms that a row holds over that of all, idf = ln((1 + N) / (1 + df)); rows with a hit."""
+    holds = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    n = masks.agg(F.count("*").alias("n"), *[F.count_if(holds(i)).alias(f"d{i}") for i in range(n_terms)]).first()  # one row of counts
+    idf = [F.log((F.lit(1.0) + n["n"]) / (1 + n[f"d{i}"])) for i in range(n_terms)]
     total = F.coalesce(F.nullif(sum(idf, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    some = b.where(F.array_contains(F.array(*hit), True)).select(key, F.round(sum((F.when(h, i).otherwise(0.0) for h, i in zip(hit, idf)), F.lit(0.0)) / total, 9).alias("share"))
-    some = some.where(F.col("share") >= least)
+    return masks.where("mask <> 0").select(key, F.round(sum((F.when(holds(i), x).otherwise(0.0) for i, x in enumerate(idf)), F.lit(0.0)) / total, 9).alias("share"))
+
+
+def row_search(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], keep: int | None) -> DataFrame:
+    """[A20 T01] key, share of the best rows by share, ties by key; without keep, all rows with a hit."""
+    some = shares(term_masks(rows, key, blob, terms), key, len(terms))
     return some if keep is None else some.orderBy(F.desc("share"), key).limit(keep)
 
 
+def fallback(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], column_words: Sequence[str] = (), least: float = 0.6) -> DataFrame:
+    """[R10] key, share of the rows of the highest share, if that is at least ``least``; column_words are no terms, and below two terms nothing is found."""
+    asked = [t for t in terms if t not in column_words]
+    if len(asked) < 2:
+        return rows.select(key, F.lit(None).cast("double").alias("share")).limit(0)
+    return top_ties(row_search(rows, key, blob, asked, None), "share").where(F.col("share") >= least)
+
+
 def top_ties(scored: DataFrame, score: str) -> DataFrame:
     """[T02] Only the rows of the highest score."""
     return scored.join(F.broadcast(scored.agg(F.max(score).alias(score))), score)  # one row
@@ -215,12 +234,18 @@ def registered(registry: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 
 def intake(incoming: DataFrame, registry: DataFrame, key: str) -> DataFrame:
-    """[G09] key, decision: duplicate (the digest is known elsewhere), initial, no_op (same digest) or reingest."""
-    now = registry.where("current").select(key, F.col("digest").alias("_d"))
+    """[G09] key, decision of incoming (key, digest, semantic, confirmed) against registry (key, version, current, digest, semantic).
+
+    In this order: the digest is that of several versions (``review``) or of one, whatever document's (``duplicate``); the key is unknown
+    (``initial_ingest``); it is known but nobody has confirmed it (``identity_review``); the semantic digest is that of the current
+    version (``no_op``); else ``reingest``.
+    """
+    now = registry.where("current").select(key, F.col("semantic").alias("_s"))
+    known = registry.select(key).distinct().withColumn("_k", F.lit(1))
     held = registry.groupBy("digest").agg(F.count("*").alias("_n"))
-    j = incoming.join(now, key, "left").join(held, "digest", "left")
-    d = F.when(F.col("_d") == F.col("digest"), "no_op").when(F.col("_n").isNotNull(), "duplicate").when(F.col("_d").isNull(), "initial").otherwise("reingest")
-    return j.select(key, d.alias("decision"))
+    j = incoming.join(known, key, "left").join(now, key, "left").join(held, "digest", "left")
+    d = F.when(F.col("_n") > 1, "review").when(F.col("_n") == 1, "duplicate").when(F.col("_k").isNull(), "initial_ingest").when(~F.col("confirmed"), "identity_review")
+    return j.select(key, d.when(F.col("_s") == F.col("semantic"), "no_op").otherwise("reingest").alias("decision"))
 
 
 def history_faults(registry: DataFrame, key: str) -> DataFrame:
@@ -330,10 +355,17 @@ def compliance(people: DataFrame, off: DataFrame, replied: DataFrame, logged: Da
     return j.select(key, F.when(F.col("_r").isNotNull(), "reported").when(F.col("_l").isNotNull(), "proven").otherwise("missing").alias("verdict"))
 
 
-def reconciled(overtime: DataFrame, risks: DataFrame, key: str) -> DataFrame:
-    """[J26] key, verdict of each entry of overtime: match (a risk that is decided), open, or unknown."""
-    r = risks.groupBy(key).agg(F.max(F.col("status") == "Done").alias("_done"))
-    return overtime.select(key).distinct().join(r, key, "left").select(key, F.when(F.col("_done"), "match").when(F.col("_done").isNotNull(), "open").otherwise("unknown").alias("verdict"))
+def reconciled(excess: DataFrame, overtime: DataFrame, risks: DataFrame) -> DataFrame:
+    """[J26] person, task, day, hours, verdict of hours to be explained.
+
+    overtime: person, day, hours; risks: person, task, status. ``match``: overtime of this person, day and number of hours, and a risk of this
+    person and task that is Done; ``open``: such overtime, and a risk that isn't Done; ``unknown``: all else.
+    """
+    paid = overtime.select("person", "day", F.col("hours").alias("_h")).distinct()
+    known = excess.join(paid, ["person", "day"], "left").groupBy("person", "task", "day", "hours").agg(F.bool_or(F.abs(F.col("hours") - F.col("_h")) <= 0.01).alias("_paid"))
+    risk = risks.groupBy("person", "task").agg(F.bool_or(F.col("status") == "Done").alias("_done"))
+    verdict = F.when(F.col("_paid") & F.col("_done"), "match").when(F.col("_paid") & F.col("_done").isNotNull(), "open").otherwise("unknown")
+    return known.join(risk, ["person", "task"], "left").select("person", "task", "day", "hours", verdict.alias("verdict"))
 
 
 def decided(risks: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -350,13 +382,32 @@ def calendar_late(tasks: DataFrame, at: Column) -> DataFrame:
     return tasks.where(~F.col("is_done") & ((day > F.col("plan_end")) | ((day == F.col("plan_end")) & (F.hour(at) >= 17))))
 
 
-def log_line_faults(line: Column) -> Column:
-    """The faults of a report's line of fields between pipes: too few fields, a start that isn't DD-MM-YYYY in shape, Done without an end."""
-    p = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
+# What an open task's empty end is written as, and what may stand before a line.
+NO_END = ("", "-", "--", "x", "?", "n/a", "chưa", "chưa xong", "tbd")
+BEFORE_LINE = r"^(?:\s+|[-–*•>`]+|\d+[.)]\s+)+"
+
+
+def clean_line(line: Column) -> Column:
+    """A report's line without list marks, emphasis and a leading bar; a bar at its end stays."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"\s+$", ""), r"(?<=[^*`])[*`]+$", ""), BEFORE_LINE, ""), r"^\s*\|\s*", "")
+
+
+def log_line_faults(line: Column, example: str | None = None) -> Column:
+    """The faults of a line ``id | re-estimate | start | end | actual | status | note``, joined by commas: none for a valid line.
+
+    Null where the line is no log line: without a bar, without a digit in its first field, or the example itself. Faults: ``fields`` (fewer than
+    six bars), ``estimate``, ``actual``, ``status`` (empty), ``start`` (not of the shape DD-MM-YYYY), ``end`` (not of that shape where the status is
+    done; where it isn't, a date of another shape).
+    """
+    whole = clean_line(line)
+    p = F.transform(F.split(whole, r"\|"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
     date = r"^\d{2}-\d{2}-\d{4}$"
-    done = F.lower(F.coalesce(F.get(p, F.lit(3)), F.lit(""))) == "done"
-    start, end = F.coalesce(F.get(p, F.lit(4)), F.lit("")), F.coalesce(F.get(p, F.lit(5)), F.lit(""))
-    return F.concat_ws(",", F.when(F.size(p) < 7, "fields"), F.when(~start.rlike(date), "start"), F.when(done & ~end.rlike(date), "end"))
+    empty = lambda name, i: F.when((F.size(p) > i) & (at(i) == ""), name)
+    late = F.when(is_done(at(5)), ~at(3).rlike(date)).otherwise(~F.lower(at(3)).isin(*NO_END) & at(3).rlike(r"\d\s*[-/.]\s*\d") & ~at(3).rlike(date))
+    faults = F.concat_ws(",", F.when(F.size(p) < 7, "fields"), empty("estimate", 1), empty("actual", 4), empty("status", 5), F.when(~at(2).rlike(date), "start"), F.when(late, "end"))
+    told = F.contains(whole, F.lit("|")) & at(0).rlike(r"\d")
+    return F.when(told if example is None else told & (whole != clean_line(F.lit(example))), faults)
 
 
 def cascaded_delays(tasks: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:

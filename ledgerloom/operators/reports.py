@@ -154,7 +154,7 @@ def chapter_marks(headings: DataFrame) -> DataFrame:
 def sections(docs: DataFrame, marks: DataFrame, least_front: int = 400) -> DataFrame:
     """[W15] doc, start, title, body: slices from mark to mark, covering the text; docs: doc, text; marks: doc, start, title.
 
-    Fewer than two marks give none. What precedes the first mark is a section (title null) if ``least_front`` characters long.
+    Fewer than two marks give none. What precedes the first mark is a section (title null) if it has ``least_front`` characters without the white space around it.
     """
     by = Window.partitionBy("doc")
     told = marks.withColumn("_to", F.lead("start").over(by.orderBy("start"))).withColumn("_k", F.count("*").over(by)).withColumn("_first", F.min("start").over(by)).where("_k > 1")
@@ -163,9 +163,11 @@ def sections(docs: DataFrame, marks: DataFrame, least_front: int = 400) -> DataF
     told = told.select("doc", F.explode(F.when((F.col("start") == F.col("_first")) & (F.col("start") > 0), F.concat(front, spans)).otherwise(spans)).alias("s")).select("doc", "s.*")
     size = F.coalesce("_to", F.char_length("text").cast("long")) - F.col("start")
     cut = told.join(docs.select("doc", "text"), "doc").select("doc", "start", "title", F.substring("text", (F.col("start") + 1).cast("int"), size.cast("int")).alias("body"))
-    return cut.where(F.col("title").isNotNull() | (F.char_length(F.trim("body")) >= least_front))
+    return cut.where(F.col("title").isNotNull() | (F.char_length(F.regexp_replace("body", AROUND, "")) >= least_front))
 
 
+#: White space at both ends, of any kind.
+AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 LINE_ENDS = "(?<=\\n)|(?<=\\r)(?!\\n)|(?<=[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029])"
 BOUNDARY = r"(?U)^\s*(?:\[\[page \d+\]\]\s*)?$"
 

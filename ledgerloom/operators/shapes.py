@@ -66,12 +66,21 @@ def meeting(url: Column) -> Column:
     return F.coalesce(at("google_meet", MEET), at("zoom", ZOOM))
 
 
+def plain_decimal(value: Column, shift: int = 0) -> Column:
+    """The shortest decimal text that stands for value * 10^shift, without exponent or closing zeros; never rounded. Null unless finite."""
+    parts = F.split(F.upper(value.cast("string")), "E")
+    head = F.split(F.regexp_replace(parts[0], "^-", ""), r"\.")
+    digits = F.concat(head[0], F.coalesce(F.get(head, F.lit(1)), F.lit("")))
+    point = F.char_length(head[0]) + F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0)) + shift
+    whole = F.when(point <= 0, F.lit("0")).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.repeat(F.lit("0"), F.greatest(point - F.char_length(digits), F.lit(0)))))
+    rest = F.concat(F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.char_length(digits)))
+    text = F.regexp_replace(F.regexp_replace(F.concat(whole, F.lit("."), rest), r"\.?0*$", ""), r"^0+(?=\d)", "")
+    return F.when(parts[0].rlike(r"^-?\d"), F.concat(F.regexp_extract(parts[0], "^-?", 0), text))
+
+
 def numeric_forms(value: Column, unit: Column) -> Column:
-    """[X07] array<string>: the number as a plain decimal and, of a ratio, as a percentage too. Up to 10 decimals."""
-    plain = lambda v: F.regexp_replace(F.regexp_replace(v.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    exact = value.cast("decimal(30,10)")
-    forms = F.array_compact(F.array(plain(exact), F.when(unit == "ratio", plain((exact * 100).cast("decimal(32,10)")))))
-    return F.array_distinct(forms)
+    """[X07] array<string>: the number as a plain decimal and, of a ratio, as a percentage too; all its digits, however many."""
+    return F.array_distinct(F.array_compact(F.array(plain_decimal(value), F.when(unit == "ratio", plain_decimal(value, 2)))))
 
 
 def closed_value(values: Sequence[str], text: Column) -> Column:

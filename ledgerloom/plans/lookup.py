@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import core, lookup
@@ -90,26 +91,30 @@ SHARES = f"""
     s AS (SELECT doc_id, round(({HITS}) / ({" + ".join(f"d{i}" for i in range(len(ASKED)))}), 9) AS share FROM b, n WHERE {" OR ".join(f"contains(b, '{t}')" for t in ASKED)})"""
 
 
-def shares(spark, sf_dir, keep=None, least=0.0):
-    return lookup.row_search(table(spark, sf_dir, "documents"), "doc_id", text.fold(F.coalesce("text", F.lit(""))), ASKED, keep, least)
+def folded():
+    return text.fold(F.coalesce("text", F.lit("")))
 
 
 @query(f"WITH {SHARES} SELECT doc_id, share FROM s ORDER BY share DESC, doc_id LIMIT 6")
 def row_search_top(spark, sf_dir):
     """The six best rows."""
-    return shares(spark, sf_dir, 6)
+    return lookup.row_search(table(spark, sf_dir, "documents"), "doc_id", folded(), ASKED, 6)
 
 
 @query(f"WITH {SHARES} SELECT doc_id, share FROM s WHERE share = (SELECT max(share) FROM s)")
 def row_search_ties(spark, sf_dir):
     """All rows of the highest share."""
-    return lookup.top_ties(shares(spark, sf_dir), "share")
+    return lookup.top_ties(lookup.row_search(table(spark, sf_dir, "documents"), "doc_id", folded(), ASKED, None), "share")
 
 
-@query(f"WITH {SHARES} SELECT doc_id, share FROM s WHERE share >= 0.2")
+@query(f"""
+    WITH b AS (SELECT doc_id, {FOLDED} AS b FROM documents), h AS (SELECT doc_id, contains(b, 'license') AS l, contains(b, 'the') AS n FROM b),
+         i AS (SELECT ln((1.0 + count(*)) / (1 + count(*) FILTER (WHERE l))) AS l, ln((1.0 + count(*)) / (1 + count(*) FILTER (WHERE n))) AS n FROM h),
+         s AS (SELECT doc_id, round((CASE WHEN h.l THEN i.l ELSE 0 END + CASE WHEN h.n THEN i.n ELSE 0 END) / (i.l + i.n), 9) AS share FROM h, i WHERE h.l OR h.n)
+    SELECT doc_id, share FROM s WHERE share = (SELECT max(share) FROM s) AND share >= 0.6""")
 def cell_fallback(spark, sf_dir):
-    """Rows whose share of the idf is high enough."""
-    return shares(spark, sf_dir, None, 0.2)
+    """The rows that hold most of what is asked, if that is enough; the word of a column does not count."""
+    return lookup.fallback(table(spark, sf_dir, "documents"), "doc_id", folded(), ("license", "text", "the"), ("text",))
 
 
 @query("""
@@ -212,11 +217,21 @@ def register_version(spark, sf_dir):
     return lookup.registered(registry(spark, sf_dir), incoming(spark, sf_dir), "doc")
 
 
-@query(f"""
-    WITH {REGISTRY} SELECT i.doc, CASE WHEN n.digest = i.digest THEN 'no_op' WHEN i.digest IN (SELECT digest FROM r) THEN 'duplicate' WHEN n.digest IS NULL THEN 'initial' ELSE 'reingest' END AS decision
-    FROM i LEFT JOIN r n ON i.doc = n.doc AND n.current""")
+@query("""
+    WITH r AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AS current, CASE WHEN o_orderkey % 50 = 0 THEN 'twice' ELSE 'd' || o_orderkey END AS digest, o_orderstatus AS semantic FROM orders),
+         i AS (SELECT c_custkey AS doc, CASE c_custkey % 4 WHEN 0 THEN coalesce('d' || (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey), 'new') WHEN 1 THEN CASE WHEN c_custkey % 8 = 1 THEN 'twice' ELSE 'new' END ELSE 'new' END AS digest, c_custkey % 3 <> 0 AS confirmed FROM customer)
+    SELECT doc, CASE WHEN (SELECT count(*) FROM r WHERE r.digest = i.digest) > 1 THEN 'review' WHEN (SELECT count(*) FROM r WHERE r.digest = i.digest) = 1 THEN 'duplicate' WHEN doc NOT IN (SELECT doc FROM r) THEN 'initial_ingest'
+           WHEN NOT confirmed THEN 'identity_review' WHEN EXISTS (SELECT 1 FROM r WHERE r.doc = i.doc AND r.current AND r.semantic = 'F') THEN 'no_op' ELSE 'reingest' END AS decision FROM i""")
 def intake_decision(spark, sf_dir):
-    return lookup.intake(incoming(spark, sf_dir), registry(spark, sf_dir), "doc")
+    """G09, all six decisions: a customer is a document, its orders the versions, told apart by status."""
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey")
+    digest = F.when(F.col("o_orderkey") % 50 == 0, "twice").otherwise(F.concat(F.lit("d"), F.col("o_orderkey").cast("string")))
+    registry = o.select(F.col("o_custkey").alias("doc"), F.row_number().over(w.orderBy("o_orderkey")).alias("version"), (F.row_number().over(w.orderBy(F.desc("o_orderkey"))) == 1).alias("current"), digest.alias("digest"), F.col("o_orderstatus").alias("semantic"))
+    first = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.min("o_orderkey").alias("first"))
+    given = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc")).join(first, "doc", "left")
+    digest = F.when((F.col("doc") % 4 == 0) & F.col("first").isNotNull(), F.concat(F.lit("d"), F.col("first").cast("string"))).when(F.col("doc") % 8 == 1, "twice").otherwise("new")
+    return lookup.intake(given.select("doc", digest.alias("digest"), F.lit("F").alias("semantic"), (F.col("doc") % 3 != 0).alias("confirmed")), registry, "doc")
 
 
 @query(f"""
@@ -351,10 +366,18 @@ def report_compliance(spark, sf_dir):
 
 
 @query("""
-    WITH r AS (SELECT o_custkey, max(o_orderstatus = 'F') AS d FROM orders GROUP BY 1) SELECT c_custkey AS person, CASE WHEN d THEN 'match' WHEN d IS NOT NULL THEN 'open' ELSE 'unknown' END AS verdict FROM customer LEFT JOIN r ON c_custkey = o_custkey""")
+    WITH e AS (SELECT o_custkey AS person, o_orderkey AS task, CAST(o_orderdate AS DATE) AS day, 1.0 + o_orderkey % 4 AS hours, o_orderkey AS k, o_orderstatus AS s FROM orders),
+         o AS (SELECT person, day, CASE WHEN k % 5 = 0 THEN hours + 0.5 ELSE hours END AS hours FROM e WHERE k % 3 <> 0), r AS (SELECT CASE WHEN k % 11 = 0 THEN person + 1 ELSE person END AS person, task, s = 'F' AS done FROM e WHERE k % 7 <> 0)
+    SELECT person, task, day, hours, CASE WHEN NOT EXISTS (SELECT 1 FROM o WHERE o.person = e.person AND o.day = e.day AND o.hours = e.hours) THEN 'unknown'
+           WHEN EXISTS (SELECT 1 FROM r WHERE r.person = e.person AND r.task = e.task AND done) THEN 'match' WHEN EXISTS (SELECT 1 FROM r WHERE r.person = e.person AND r.task = e.task) THEN 'open' ELSE 'unknown' END AS verdict FROM e""")
 def overtime_reconciliation(spark, sf_dir):
-    risks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), F.when(F.col("o_orderstatus") == "F", "Done").otherwise("Open").alias("status"))
-    return lookup.reconciled(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person")), risks, "person")
+    """Orders are hours to be explained; some have no overtime, other hours, no risk, or another person's."""
+    k = F.col("o_orderkey")
+    e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), k.alias("task"), F.col("o_orderdate").cast("date").alias("day"), (F.lit(1.0) + k % 4).alias("hours"), F.col("o_orderstatus").alias("s"))
+    t = F.col("task")
+    paid = e.where(t % 3 != 0).select("person", "day", F.when(t % 5 == 0, F.col("hours") + 0.5).otherwise(F.col("hours")).alias("hours"))
+    risks = e.where(t % 7 != 0).select(F.when(t % 11 == 0, F.col("person") + 1).otherwise(F.col("person")).alias("person"), "task", F.when(F.col("s") == "F", "Done").otherwise("Open").alias("status"))
+    return lookup.reconciled(e.drop("s"), paid, risks)
 
 
 @query("""
@@ -377,12 +400,17 @@ def late_by_calendar(spark, sf_dir):
 
 
 @query("""
-    WITH l AS (SELECT l_orderkey, l_linenumber, l_linenumber >= 5 AS short, l_returnflag = 'R' AS bad, l_linestatus = 'F' AND l_linenumber % 2 = 0 AS no_end FROM lineitem)
-    SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN short THEN 'fields' END, CASE WHEN bad THEN 'start' END, CASE WHEN no_end THEN 'end' END) AS faults FROM l""")
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 1 THEN concat_ws(',', CASE WHEN l_linenumber >= 5 THEN 'fields' END, CASE WHEN l_linenumber = 3 THEN 'estimate' END, CASE WHEN l_tax = 0 THEN 'actual' END,
+           CASE WHEN l_discount = 0 THEN 'status' END, CASE WHEN l_returnflag = 'R' THEN 'start' END, CASE WHEN l_linestatus = 'F' AND l_discount > 0 AND l_linenumber % 4 <> 2 OR l_linenumber % 4 = 3 THEN 'end' END) END AS faults FROM lineitem""")
 def log_line_check(spark, sf_dir):
-    n, d = F.col("l_linenumber"), F.date_format("l_shipdate", "dd-MM-yyyy")
-    fields = [F.col("l_orderkey").cast("string"), F.lit("task"), F.lit("8"), F.when(F.col("l_linestatus") == "F", " Done ").otherwise("Open"), F.when(F.col("l_returnflag") == "R", F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise(d), F.when(n % 2 == 0, "").otherwise(d)]
-    line = F.concat(F.concat_ws("|", *fields), F.when(n < 5, "|note").otherwise(""))
+    """lines in the rules' order with list marks and bars before them; ends empty, as ``-``, as dates of either shape. Every fiftieth has no digit in its first field."""
+    n, d, back = F.col("l_linenumber"), F.date_format("l_shipdate", "dd-MM-yyyy"), F.date_format("l_shipdate", "yyyy-MM-dd")
+    first = F.when(F.col("l_quantity") > 1, F.col("l_orderkey").cast("string")).otherwise("xong")
+    end = F.when(n % 4 == 2, d).when(n % 4 == 3, back).when(n % 4 == 1, "-").otherwise("")
+    status = F.when(F.col("l_discount") == 0, "").when(F.col("l_linestatus") == "F", " đã hoàn thành ✅ ").otherwise("hoàn thành 90%")
+    fields = [first, F.when(n == 3, " ").otherwise("8h"), F.when(F.col("l_returnflag") == "R", back).otherwise(d), end, F.when(F.col("l_tax") == 0, "").otherwise(" 7.5"), status]
+    mark = F.when(F.col("l_returnflag") == "A", "- ").when(F.col("l_returnflag") == "N", "|").otherwise("  2) ")
+    line = F.concat(mark, F.concat_ws("|", *fields), F.when(n < 5, "|").otherwise(""))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", lookup.log_line_faults(line).alias("faults"))
 
 
@@ -451,10 +479,13 @@ def manifest_digest(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(line).alias("l")).select("o_custkey", text.digest(F.col("l")).alias("digest"))
 
 
-@query("SELECT p_partkey, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(64 + i // 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END AS letter FROM (SELECT p_partkey, p_partkey % 702 AS i FROM part)")
+PLACE = [(26 ** (k + 1) - 1) // 25 for k in range(5)]
+
+
+@query(f"SELECT p_partkey, {' || '.join(f"CASE WHEN p_partkey + 1 >= {PLACE[k]} THEN chr(CAST(65 + (p_partkey + 1 - {PLACE[k]}) // {26**k} % 26 AS INTEGER)) ELSE '' END" for k in reversed(range(5)))} AS letter FROM part")
 def column_letters(spark, sf_dir):
     """P03."""
-    return table(spark, sf_dir, "part").select("p_partkey", text.column_letter(F.col("p_partkey") % 702).alias("letter"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.column_letter(F.col("p_partkey")).alias("letter"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(q, '\\b(cap nhat|sua|tao|doi|update|create|delete|remove|add|xoa)\\b') OR regexp_matches(q, '^\\s*(ghi|log)\\b') THEN 'action' WHEN regexp_matches(r, 'vì sao|tại sao|nguyên nhân|đánh giá|nhận xét|giải thích') THEN 'open' WHEN regexp_matches(r, 'tài liệu|sheet|wiki|master schedule|resource plan|summary') THEN 'document' WHEN regexp_matches(r, 'ai |task|sprint|effort|giờ|status|trạng thái|bao nhiêu|ngày') THEN 'structured' ELSE 'document' END AS route FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS r, strip_accents(replace(lower(coalesce(text, '')), 'đ', 'd')) AS q FROM conversations)".replace("\\\\", "\\"))

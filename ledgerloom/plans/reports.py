@@ -157,14 +157,14 @@ def chapter_marks(spark, sf_dir):
 @query("""
     WITH d AS (SELECT doc_id AS doc, coalesce(text, '') AS text FROM documents), m AS (SELECT doc, text, 350 + 700 * k AS start, 'part ' || k AS title FROM (SELECT doc, text, unnest(range(0, (length(text) - 350 + 699) // 700)) AS k FROM d WHERE length(text) > 350)),
          w AS (SELECT *, lead(start) OVER (PARTITION BY doc ORDER BY start) AS next, count(*) OVER (PARTITION BY doc) AS n FROM m),
-         s AS (SELECT doc, start, title, substr(text, start + 1, coalesce(next, length(text)) - start) AS body FROM w WHERE n > 1 UNION ALL SELECT doc, 0, NULL, substr(text, 1, 350) FROM w WHERE n > 1 AND start = 350)
+         s AS (SELECT doc, start, title, substr(text, start + 1, coalesce(next, length(text)) - start) AS body FROM w WHERE n > 1 UNION ALL SELECT doc, 0, NULL, substr(text, 1, 350) FROM w WHERE n > 1 AND start = 350 AND length(regexp_replace(substr(text, 1, 350), '^\\s+|\\s+$', '', 'g')) >= 350)
     SELECT doc, start, title, length(body) AS size, sha256(body) AS digest FROM s""")
 def document_sections(spark, sf_dir):
-    """A mark at character 350 and at each 700 more, as titles are not in these texts."""
+    """A mark at character 350 and at each 700 more, as titles are not in these texts; a front with a blank at its end is too short."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.ceil((F.char_length("text") - 350) / 700).cast("int")
     marks = d.where(F.char_length("text") > 350).select("doc", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("doc", (F.lit(350) + 700 * F.col("k")).cast("long").alias("start"), F.concat(F.lit("part "), F.col("k").cast("string")).alias("title"))
-    return reports.sections(d, marks, least_front=0).select("doc", "start", "title", F.char_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("digest"))
+    return reports.sections(d, marks, least_front=350).select("doc", "start", "title", F.char_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("digest"))
 
 
 @query("""

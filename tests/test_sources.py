@@ -26,5 +26,5 @@ def test_inventory(spark, tmp_path):
     for name, raw in (("a.bin", b"%PDF-1.7"), ("d/b.xlsx", b"PK\x03\x04abc"), ("c.TXT", b"hi"), ("noext", b"\x00")):
         (tmp_path / name).write_bytes(raw)
     got = {r.file: (r.size, r.kind, r.sha256) for r in files.inventory(spark, str(tmp_path)).collect()}
-    assert {k: v[:2] for k, v in got.items()} == {"a.bin": (8, "pdf"), "b.xlsx": (7, "zip"), "c.TXT": (2, "txt"), "noext": (1, "binary")}
+    assert {k: v[:2] for k, v in got.items()} == {"a.bin": (8, "pdf"), "b.xlsx": (7, "xlsx"), "c.TXT": (2, "text/plain"), "noext": (1, "binary")}
     assert got["c.TXT"][2] == hashlib.sha256(b"hi").hexdigest()
