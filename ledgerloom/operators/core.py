@@ -230,7 +230,11 @@ def bm25(docs: DataFrame, words: Sequence[str], keep: int, key: str = "doc_id",
     return j.groupBy("doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc").limit(keep)
 
 
-def mutual(edges: DataFrame) -> DataFrame:
-    """[J11] Edges a, b without their counterpart."""
+def mutual(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """[J11] Edges a, b without their counterpart; with pages (b), also kind: ``dangling`` where the target is no page, else ``one_way``."""
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return edges.join(back, ["a", "b"], "left_anti")
+    left = edges.join(back, ["a", "b"], "left_anti")
+    if pages is None:
+        return left
+    known = pages.select("b").distinct().withColumn("_p", F.lit(True))
+    return left.join(known, "b", "left").select("a", "b", F.when(F.col("_p"), "one_way").otherwise("dangling").alias("kind"))

@@ -219,20 +219,26 @@ def found_by_id(rows: DataFrame, asked: DataFrame, key: str, place: str) -> Data
 
 
 def registered(registry: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """[K20 G09] key, version, current, supersedes of the registry after incoming rows (key, from_version, digest).
+    """[K20] key, version, current, supersedes, digest of the registry after incoming rows (key, from_version, digest); the next registry.
 
     A row whose from_version is the current version closes it and opens the next, unless the digest is the same; a row of an unknown
-    key opens version 1; a row that expects another version changes nothing.
+    key opens version 1; a row that expects another version changes nothing and is among ``refused``.
     """
     now = registry.where("current").select(key, F.col("version").alias("_v"), F.col("digest").alias("_d"))
     known = registry.select(key).distinct().withColumn("_k", F.lit(1))
     j = incoming.join(now, key, "left").join(known, key, "left")
     fresh = j.where(F.col("_k").isNull() | ((F.col("from_version") == F.col("_v")) & ~F.col("digest").eqNullSafe(F.col("_d"))))
-    made = fresh.select(key, (F.coalesce("_v", F.lit(0)) + 1).alias("version"), F.lit(True).alias("current"), F.col("_v").alias("supersedes"))
-    old = registry.join(made.select(key).withColumn("_m", F.lit(1)), key, "left").select(key, "version", (F.col("current") & F.col("_m").isNull()).alias("current"), "supersedes")
+    made = fresh.select(key, (F.coalesce("_v", F.lit(0)) + 1).alias("version"), F.lit(True).alias("current"), F.col("_v").alias("supersedes"), "digest")
+    old = registry.join(made.select(key).withColumn("_m", F.lit(1)), key, "left").select(key, "version", (F.col("current") & F.col("_m").isNull()).alias("current"), "supersedes", "digest")
     return old.union(made)
 
 
+def refused(registry: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """[K20] key, from_version, now of incoming rows of known keys that expect another version than the current one (``now``, null if none is)."""
+    now = registry.groupBy(key).agg(F.max(F.when(F.col("current"), F.col("version"))).alias("now"))
+    return incoming.join(now, key).where(~F.col("from_version").eqNullSafe(F.col("now"))).select(key, "from_version", "now").distinct()
+
+
 def intake(incoming: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """[G09] key, decision of incoming (key, digest, semantic, confirmed) against registry (key, version, current, digest, semantic).
 

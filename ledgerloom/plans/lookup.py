@@ -211,12 +211,19 @@ def incoming(spark, sf_dir):
 
 
 @query(f"""
-    WITH {REGISTRY}, m AS (SELECT i.doc, n.version AS v FROM i LEFT JOIN r n ON i.doc = n.doc AND n.current WHERE i.doc NOT IN (SELECT doc FROM r) OR (from_version = n.version AND i.digest <> n.digest))
-    SELECT doc, version, current AND doc NOT IN (SELECT doc FROM m) AS current, supersedes FROM r UNION ALL SELECT doc, CAST(coalesce(v, 0) + 1 AS INTEGER), true, v FROM m""")
+    WITH {REGISTRY}, m AS (SELECT i.doc, n.version AS v, i.digest FROM i LEFT JOIN r n ON i.doc = n.doc AND n.current WHERE i.doc NOT IN (SELECT doc FROM r) OR (from_version = n.version AND i.digest <> n.digest))
+    SELECT doc, version, current AND doc NOT IN (SELECT doc FROM m) AS current, supersedes, digest FROM r UNION ALL SELECT doc, CAST(coalesce(v, 0) + 1 AS INTEGER), true, v, digest FROM m""")
 def register_version(spark, sf_dir):
     return lookup.registered(registry(spark, sf_dir), incoming(spark, sf_dir), "doc")
 
 
+@query(f"""
+    WITH {REGISTRY} SELECT i.doc, from_version, n.version AS now FROM i JOIN r ON i.doc = r.doc LEFT JOIN r n ON n.doc = i.doc AND n.current WHERE from_version IS DISTINCT FROM n.version GROUP BY ALL""")
+def refused_registrations(spark, sf_dir):
+    """Rows that expect another version than the current one; registering them changes nothing."""
+    return lookup.refused(registry(spark, sf_dir), incoming(spark, sf_dir), "doc")
+
+
 @query("""
     WITH r AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AS current, CASE WHEN o_orderkey % 50 = 0 THEN 'twice' ELSE 'd' || o_orderkey END AS digest, o_orderstatus AS semantic FROM orders),
          i AS (SELECT c_custkey AS doc, CASE c_custkey % 4 WHEN 0 THEN coalesce('d' || (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey), 'new') WHEN 1 THEN CASE WHEN c_custkey % 8 = 1 THEN 'twice' ELSE 'new' END ELSE 'new' END AS digest, c_custkey % 3 <> 0 AS confirmed FROM customer)
@@ -446,11 +453,12 @@ def edge_attributes(spark, sf_dir):
 
 @query("""
     WITH e AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders UNION ALL SELECT c_custkey, c_nationkey FROM customer)
-    SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a)""")
+    SELECT a, b, CASE WHEN b IN (SELECT c_custkey FROM customer) THEN 'one_way' ELSE 'dangling' END AS kind FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a)""")
 def unreciprocated_links(spark, sf_dir):
-    """Links of customers to orders, and some links back."""
+    """Links of customers to orders, and some links back; customers are the pages."""
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"))
     back = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").cast("long").alias("b"))
-    return core.mutual(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).union(back))
+    return core.mutual(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).union(back), pages)
 
 
 @query(f"SELECT doc_id, sha256({FOLDED}) AS folded FROM documents")

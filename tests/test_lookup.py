@@ -37,3 +37,21 @@ def test_pins_come_first(spark):
 
 def test_next_id_starts_at_one(spark):
     assert lookup.next_id(spark.createDataFrame([], "id string"), "id").collect()[0].next_id == "R-01"
+
+
+def test_a_registry_can_be_registered_into_again(spark):
+    registry = spark.createDataFrame([("a", 1, True, None, "x")], "doc string, version int, current boolean, supersedes int, digest string")
+    come = lambda *rows: spark.createDataFrame(list(rows), "doc string, from_version int, digest string")
+    first = come(("a", 1, "y"), ("b", None, "z"), ("c", 3, "w"))
+    then = lookup.registered(registry, first, "doc")
+    assert lookup.refused(registry, first, "doc").collect() == []
+    second = come(("a", 1, "q"), ("b", 1, "z2"), ("c", 1, "w"))
+    assert [tuple(r) for r in lookup.refused(then, second, "doc").collect()] == [("a", 1, 2)]
+    after = lookup.registered(then, second, "doc")
+    assert sorted(tuple(r) for r in after.where("current").collect()) == [("a", 2, True, 1, "y"), ("b", 2, True, 1, "z2"), ("c", 1, True, None, "w")] and after.count() == 5
+
+
+def test_dangling_and_one_way_links(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "nowhere")], "a string, b string")
+    pages = spark.createDataFrame([("a",), ("b",), ("c",)], "b string")
+    assert sorted(tuple(r) for r in core.mutual(edges, pages).collect()) == [("a", "c", "one_way"), ("c", "nowhere", "dangling")]
