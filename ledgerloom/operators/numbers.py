@@ -76,9 +76,13 @@ PLACES = 1000
 FOUND = "side int, kind string, at long, token string, value string, unit string"
 
 
+_UNIT_WORDS, _TOKEN, _DATE, _DOTTED, _CLAUSES, _SECTION, _DIGITS = map(re.compile, (UNIT_WORDS, TOKEN, DATE, DOTTED, CLAUSES, SECTION, r"\d+"))
+_MASKS, _LINE_MARKS = [re.compile(p) for p in MASKS], [re.compile(p) for p in LINE_MARKS]
+
+
 def unit_at(text: str, at: int) -> str | None:
     """[X08] The unit that stands at a place, on the same line: of two words if they are one, else of the first."""
-    m = re.compile(UNIT_WORDS).match(text, at)
+    m = _UNIT_WORDS.match(text, at)
     if not m:
         return None
     first = m[1].lower()
@@ -87,7 +91,7 @@ def unit_at(text: str, at: int) -> str | None:
 
 def worth(token: str) -> str:
     """One spelling of a number or a date; a number as a plain decimal with all its digits."""
-    if re.fullmatch(DATE, token):
+    if _DATE.fullmatch(token):
         return f"date:{token}"
     bare = token.strip().rstrip(".,")
     marks = [c for c in bare if c in ".,"]
@@ -99,13 +103,35 @@ def worth(token: str) -> str:
     return plain.rstrip("0").rstrip(".") if "." in plain else plain
 
 
-def masked(text: str) -> list[tuple[int, int]]:
+def stretches(text: str) -> list[list[int]]:
+    """Lines with digits, joined where they meet, each with the five lines of text before it, from where a name of up to five parts can reach into it."""
+    out: list[list[int]] = []
+    m = _DIGITS.search(text)
+    while m:
+        a, b, back = m.start(), text.find("\n", m.end()), 0
+        b = len(text) if b < 0 else b
+        floor = out[-1][1] if out else 0
+        while a > floor and back < 6:
+            begin = text.rfind("\n", 0, a) + 1
+            back += not text[begin:a].isspace() and begin < a
+            a = begin if back > 5 or begin == 0 else begin - 1
+        a = text.rfind("\n", 0, a) + 1
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+        m = _DIGITS.search(text, b)
+    return out
+
+
+def masked(text: str, a: int = 0, b: int | None = None) -> list[tuple[int, int]]:
     """[X09] Spans that name things: by pattern, numbers of lines that no unit follows, and rows of clause numbers up to the first with a unit."""
-    spans = [m.span() for p in MASKS for m in re.finditer(p, text)]
-    spans += [m.span(1) for p in LINE_MARKS for m in re.finditer(p, text) if unit_at(text, m.end()) is None]
-    for m in re.finditer(CLAUSES, text):
+    b = len(text) if b is None else b
+    spans = [m.span() for p in _MASKS for m in p.finditer(text, a, b)]
+    spans += [m.span(1) for p in _LINE_MARKS for m in p.finditer(text, a, b) if unit_at(text, m.end()) is None]
+    for m in _CLAUSES.finditer(text, a, b):
         spans.append(m.span(1))
-        for n in re.compile(r"\d+").finditer(text, *m.span(2)):
+        for n in _DIGITS.finditer(text, *m.span(2)):
             if unit_at(text, n.end()) is not None:
                 break
             spans.append(n.span())
@@ -113,23 +139,27 @@ def masked(text: str) -> list[tuple[int, int]]:
 
 
 def tokens(text: str) -> Iterator[tuple]:
-    """[X10] (kind, at, token, value, unit): numbers outside the masked spans, and as ``identifier`` the dotted ones inside."""
-    spans = masked(text)
-    joined: list[list[int]] = []
-    for a, b in sorted(spans):
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(b, joined[-1][1])
-        else:
-            joined.append([a, b])
-    starts = [a for a, _ in joined]
-    for m in re.finditer(TOKEN, text):
-        # Of spans that lie apart, the last one to begin before the token's end is the only one that can reach into it.
-        i = bisect_right(starts, m.end() - 1) - 1
-        if i < 0 or joined[i][1] <= m.start():
-            yield "number", m.start(), m[0], worth(m[0]), unit_at(text, m.end())
-    for a, b in set(spans):
-        for m in re.compile(DOTTED).finditer(text, a, b):
-            yield "identifier", m.start(), m[0], worth(m[0]), None
+    """[X10] (kind, at, token, value, unit): numbers outside the masked spans, and as ``identifier`` the dotted ones inside.
+
+    Only stretches with digits are searched, as a span without any hides no number.
+    """
+    for begin, end in stretches(text):
+        spans = masked(text, begin, end)
+        joined: list[list[int]] = []
+        for a, b in sorted(spans):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        starts = [a for a, _ in joined]
+        for m in _TOKEN.finditer(text, begin, end):
+            # Of spans that lie apart, the last one to begin before the token's end is the only one that can reach into it.
+            i = bisect_right(starts, m.end() - 1) - 1
+            if i < 0 or joined[i][1] <= m.start():
+                yield "number", m.start(), m[0], worth(m[0]), unit_at(text, m.end())
+        for a, b in set(spans):
+            for m in _DOTTED.finditer(text, a, b):
+                yield "identifier", m.start(), m[0], worth(m[0]), None
 
 
 def number_tokens(texts: DataFrame, key: str, *columns: Column) -> DataFrame:
@@ -188,9 +218,9 @@ def windows(text: str, place: str) -> list[str]:
     words = place.split()
     if not words:
         return []
-    out, section = [], re.compile(SECTION)
+    out = []
     for m in re.finditer(r"\s+".join(map(re.escape, words)), text, re.I):
-        end = section.search(text, m.end())
+        end = _SECTION.search(text, m.end())
         out.append(text[m.start() : min(end.start() if end else len(text), m.start() + SECTION_MOST)])
     return out
 

@@ -1,5 +1,6 @@
 """Numbers in texts: golden cases of masks, units and spellings, the two gates, and the one pass against a plain version over documents."""
 
+import random
 import re
 
 import pytest
@@ -94,6 +95,20 @@ def test_a_section_ends_where_the_next_begins():
     assert numbers.windows("abc", " ") == [] and numbers.windows("a.c abc", "a.c") == ["a.c abc"]
 
 
+def test_stretches_hide_no_name():
+    """Names whose parts lie on lines of their own, blank lines between, far from other digits."""
+    r = random.Random(7)
+    parts = ["Lần", "ban", "hành", ":", "1.0", "2.1", "Điều", "và", ",", "5", "giờ", "x", "[[a", "b]]", "raw/q", "7.4.", "Phiên", "bản", "v2"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) + r.choice(["\n", "\n \n", "\n\n\n", " ", "\r\n"]) + "y\n" * r.choice([0, 0, 0, 0, 9]) for _ in range(r.randrange(1, 14)))
+        spans = numbers.masked(t)
+        want = [(m.start(), m[0]) for m in re.finditer(numbers.TOKEN, t) if not any(m.start() < b and a < m.end() for a, b in spans)]
+        found = list(numbers.tokens(t))
+        assert [x[1:3] for x in found if x[0] == "number"] == want, t
+        named = sorted({(m.start(), m[0]) for a, b in spans for m in re.compile(numbers.DOTTED).finditer(t, a, b)})
+        assert sorted({x[1:3] for x in found if x[0] == "identifier"}) == named, t
+
+
 def test_one_pass_against_a_plain_version(spark):
     """Spans kept apart and each token held against all of them; documents, with lines that begin with numbers put in between."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.concat(F.lit("2.1 Text\n3. x\n4,5 giờ\n"), F.coalesce("text", F.lit("")), F.lit("\nĐiều 3, 4 và 5 ngày")).alias("text"))
