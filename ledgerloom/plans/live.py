@@ -74,3 +74,48 @@ def stored_messages(spark, sf_dir):
     table = store.Store(spark, f"{folder}/table", "message_key", "seq", 16)
     table.follow(store.messages(events, F.lit("0")), f"{folder}/state")
     return table.read()
+
+
+@query("""
+    WITH e AS (SELECT user_id, (epoch_us(ts) // 1000) AS "at", event_id, event_type, event_id % 3 AS idx, event_type = 'purchase' AND event_id % 20 = 0 AS direct FROM events),
+         f AS (SELECT user_id, min({'at': "at", 'id': event_id}) AS first FROM e WHERE direct GROUP BY 1),
+         p AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id, idx ORDER BY "at", event_id) AS before FROM e LEFT JOIN f USING (user_id) WHERE NOT direct AND (first IS NULL OR {'at': "at", 'id': event_id} < first))
+    SELECT user_id, "at", event_id, idx, event_type AS text FROM p WHERE before IS DISTINCT FROM event_type UNION ALL SELECT user_id, "at", event_id, idx, event_type FROM e WHERE direct""")
+def preferred_source(spark, sf_dir):
+    """ST11: a user is a room; some purchases are its direct stream, all other events are polled."""
+    e = live.table_stream(spark, f"{sf_dir}/events.parquet")
+    direct = (F.col("event_type") == "purchase") & (F.col("event_id") % 20 == 0)
+    rows = e.select(F.col("user_id").alias("key"), live.millis(F.col("ts")).alias("at"), F.col("event_id").alias("row"), direct.alias("direct"), (F.col("event_id") % 3).alias("idx"), F.col("event_type").alias("text"))
+    return live.run_available(live.preferred(rows)).select(F.col("key").alias("user_id"), "at", F.col("row").alias("event_id"), "idx", "text")
+
+
+@query("""
+    WITH e AS (SELECT user_id, (epoch_us(ts) // 1000) AS "at", event_id, event_type IN ('view', 'error') AS result, left('abababab', event_id % 7) AS t, left('abababab', CAST(floor(value) AS BIGINT) % 7) || CASE WHEN event_id % 4 = 0 THEN 'x' ELSE '' END AS made_for FROM events),
+         x AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY user_id ORDER BY "at", event_id), '') AS before FROM e WHERE NOT result),
+         v AS (SELECT user_id, "at", event_id, t, sum(CASE WHEN starts_with(t, before) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY "at", event_id) AS version FROM x),
+         m AS (SELECT e.*, v.t AS now, v.version AS version, row_number() OVER (PARTITION BY e.event_id ORDER BY v."at" DESC, v.event_id DESC) AS back FROM e LEFT JOIN v ON e.user_id = v.user_id AND {'at': v."at", 'id': v.event_id} < {'at': e."at", 'id': e.event_id} WHERE result)
+    SELECT user_id, "at", event_id, coalesce(version, 0)::BIGINT AS version, starts_with(coalesce(now, ''), made_for) AS fresh FROM m WHERE back = 1""")
+def fresh_results(spark, sf_dir):
+    """ST13: a user's events set a text of up to six letters, views and errors are results for a text of their own length."""
+    e = live.table_stream(spark, f"{sf_dir}/events.parquet")
+    letters = lambda n: F.substring(F.lit("abababab"), F.lit(1), n.cast("int"))
+    made_for = F.concat(letters(F.floor("value") % 7), F.when(F.col("event_id") % 4 == 0, "x").otherwise(""))
+    rows = e.select(F.col("user_id").alias("key"), live.millis(F.col("ts")).alias("at"), F.col("event_id").alias("row"), F.col("event_type").isin("view", "error").alias("result"), letters(F.col("event_id") % 7).alias("text"), made_for.alias("made_for"))
+    return live.run_available(live.fresh_results(rows)).select(F.col("key").alias("user_id"), "at", F.col("row").alias("event_id"), "version", "fresh")
+
+
+@query("""
+    WITH e AS (SELECT user_id || ':' || (event_id // 10) % 40 AS k, event_id, event_type, event_id % 10 < 9 AS early FROM events),
+         b AS (SELECT k, max(event_id) AS event_id, min(event_id) AS created FROM e WHERE early GROUP BY 1), n AS (SELECT k, max(event_id) AS event_id, min(event_id) AS created FROM e GROUP BY 1),
+         t AS (SELECT 'backlog' AS part, * FROM b UNION ALL SELECT 'live', * FROM (SELECT * FROM n EXCEPT SELECT * FROM b))
+    SELECT part, k, event_id, event_type, created FROM t JOIN e USING (k, event_id)""")
+def late_subscriber(spark, sf_dir):
+    """ST12: nine tenths of the events are merged before someone joins, who gets them as a backlog and then only what the rest changed."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat_ws(":", "user_id", F.floor(F.col("event_id") / 10) % 40).alias("k"), "event_id", "event_type")
+    table = store.Store(spark, f"{live.shared_folder(spark)}/events-{uuid.uuid4().hex}", "k", "event_id", 16)
+    parts, seen = [], None
+    for batch, part in enumerate(("backlog", "live")):
+        table.merge(e.where((F.col("event_id") % 10 < 9) == (part == "backlog")), batch)
+        seen, rows = table.changes(seen)
+        parts.append(rows.select(F.lit(part).alias("part"), "k", "event_id", "event_type", "created"))
+    return parts[0].union(parts[1])

@@ -149,6 +149,50 @@ class Idle(StatefulProcessor):
         yield _frame([(key[0], n, last, text.strip())], "key n last text")
 
 
+class Precedence(StatefulProcessor):
+    """A key's polled segments pass as they are new or changed, until its direct source speaks; from then on only that one does."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.direct = handle.getValueState("direct", "on boolean")
+        self.seen = handle.getMapState("seen", "idx long", "text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        direct, out = self.direct.exists(), []
+        for at, row, own, idx, text in _rows(rows, "at", "row", "direct", "idx", "text"):
+            place, text = (int(idx),), text or ""
+            if own and not direct:
+                direct = True
+                self.direct.update((True,))
+                self.seen.clear()  # nothing is polled any more
+            if direct:
+                passes = bool(own)
+            else:
+                passes = not self.seen.containsKey(place) or self.seen.getValue(place)[0] != text
+                if passes:
+                    self.seen.updateValue(place, (text,))
+            if passes:
+                out.append((key[0], int(at), int(row), int(idx), text))
+        yield _frame(out, "key at row idx text")
+
+
+class Fresh(StatefulProcessor):
+    """Results of slow work on a text that goes on growing: one counts while the text still begins with what it was made for."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.text = handle.getValueState("text", "text string, version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        (now, version), out = self.text.get() if self.text.exists() else ("", 0), []
+        for at, row, result, text, made_for in _rows(rows, "at", "row", "result", "text", "made_for"):
+            if result:
+                out.append((key[0], int(at), int(row), version, now.startswith(made_for or ""), text))
+                continue
+            version += not (text or "").startswith(now)
+            now = text or ""
+        self.text.update((now, version))
+        yield _frame(out, "key at row version fresh text")
+
+
 def _keyed(stream: DataFrame, processor: StatefulProcessor, out: str, lateness: str | None = None) -> DataFrame:
     """lateness: for timers by the column ``at``, how far a batch's rows may lie behind those of earlier batches; Spark leaves out rows that lie further."""
     if lateness:
@@ -190,6 +234,23 @@ def idle_flushed(stream: DataFrame, idle: int = IDLE, lateness: str = LATENESS)
     return _keyed(stream.select("key", "at", "row", "final", "token"), Idle(idle), "key long, n long, last long, text string", lateness)
 
 
+def preferred(stream: DataFrame) -> DataFrame:
+    """[ST11] key, at, row, idx, text that pass; stream: key long, at long, row long (order at equal times), direct boolean, idx long, text string.
+
+    All direct rows pass. Polled ones pass if their segment is new or its text another one, and none once the key has a direct row.
+    """
+    return _keyed(stream.select("key", "at", "row", "direct", "idx", "text"), Precedence(), "key long, at long, row long, idx long, text string")
+
+
+def fresh_results(stream: DataFrame) -> DataFrame:
+    """[ST13] key, at, row, version, fresh, text of every result; stream: key long, at long, row long, result boolean, text string, made_for string.
+
+    A row that isn't a result sets its key's text (null or empty: it is gone). A result is fresh while that text begins with ``made_for``, so
+    growth alone does not outdate it. version counts the texts that did not continue the one before; results are told with the one they met.
+    """
+    return _keyed(stream.select("key", "at", "row", "result", "text", "made_for"), Fresh(), "key long, at long, row long, version long, fresh boolean, text string")
+
+
 def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and not spark.sparkContext.master.startswith("local"):

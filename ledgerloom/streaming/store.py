@@ -60,12 +60,28 @@ class Store:
         manifest = self.manifest()
         if manifest is None:
             raise ValueError(f"nothing has been merged into {self.path}")
-        return self._folders(manifest, sorted(manifest["folders"]))
+        return self._folders(manifest, sorted(manifest["folders"])).drop("_batch")
+
+    def changes(self, after: int | None = None) -> tuple[int | None, DataFrame | None]:
+        """[ST12] (newest batch, rows that batches above ``after`` wrote and none overwrote since); without ``after``, the whole backlog.
+
+        Who asks with no batch and from then on with the last one it got, and upserts what it gets, holds what the table holds, without gap,
+        however many batches came between. Only buckets written since are read, whatever has been vacuumed. Nothing merged yet: two Nones.
+        """
+        manifest = self.manifest()
+        if manifest is None:
+            return None, None
+        least = -1 if after is None else after
+        # A folder's name begins with the batch that wrote it.
+        touched = sorted(b for b, f in manifest["folders"].items() if int(f.rsplit("/", 2)[1].split("-")[0]) > least)
+        return manifest["batch"], self._folders(manifest, touched).where(F.col("_batch") > least).drop("_batch")
 
     def _latest(self, rows: DataFrame) -> DataFrame:
-        rest = [c for c in rows.columns if c not in (self.key, self.order, "created")]
-        best = rows.groupBy(self.key).agg(F.max(F.struct(self.order, *rest)).alias("_row"), F.min("created").alias("created"))
-        return best.select(self.key, "_row.*", "created")
+        rest = [c for c in rows.columns if c not in (self.key, self.order, "created", "_batch")]
+        best = rows.groupBy(self.key).agg(F.max(F.struct(self.order, *rest, "_batch")).alias("_row"), F.min(F.struct("created", "_batch")).alias("_first"))
+        # A late and older row changes what the key's row says of its first one.
+        batch = F.greatest("_row._batch", "_first._batch").alias("_batch")
+        return best.select(self.key, *[F.col(f"_row.{c}").alias(c) for c in (self.order, *rest)], batch, F.col("_first.created").alias("created"))
 
     def merge(self, rows: DataFrame, batch: int) -> bool:
         """Upsert a batch; False if it has been merged before."""
@@ -73,7 +89,7 @@ class Store:
         if manifest is not None and batch <= manifest["batch"]:
             return False
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        fresh = self._latest(rows.withColumn("created", F.col(self.order)))
+        fresh = self._latest(rows.withColumn("_batch", F.lit(batch).cast("long")).withColumn("created", F.col(self.order)))
         schema = fresh.schema
         if manifest is not None and StructType.fromJson(manifest["schema"]).fieldNames() != schema.fieldNames():
             raise ValueError("the batch has other columns than the stored table")

@@ -81,6 +81,46 @@ def test_silence_flushes_unless_a_tail_is_forming(spark, tmp_path):
     assert sorted((k, n, last - 5, text) for k, n, last, text in got) == [(1, 0, 100, "one two"), (1, 1, 2800, "three"), (1, 2, 5400, "four"), (2, 0, 0, "open")]
 
 
+def test_the_direct_source_ends_the_polling_of_its_room(spark, tmp_path):
+    kind = "key long, at long, row long, direct boolean, idx long, text string"
+    parts = [
+        [(1, 10, 1, False, 0, "a"), (1, 20, 2, False, 0, "a"), (1, 30, 3, False, 1, None), (2, 10, 4, False, 0, "p")],
+        [(1, 40, 5, False, 0, "ab"), (1, 45, 6, True, 7, "x"), (1, 45, 7, False, 0, "abc"), (2, 20, 8, False, 0, "p"), (2, 30, 9, False, 1, "")],
+        [(1, 50, 10, False, 5, "late poll"), (1, 60, 11, True, 7, "x"), (2, 40, 12, False, 0, "q")],
+    ]
+    got = live.run_available(live.preferred(batches(spark, tmp_path / "s", parts, kind))).collect()
+    assert sorted((x.row, x.key, x.idx, x.text) for x in got) == [(1, 1, 0, "a"), (3, 1, 1, ""), (4, 2, 0, "p"), (5, 1, 0, "ab"), (6, 1, 7, "x"), (9, 2, 1, ""), (11, 1, 7, "x"), (12, 2, 0, "q")]
+
+
+def test_results_for_a_text_that_has_gone_are_stale(spark, tmp_path):
+    kind = "key long, at long, row long, result boolean, text string, made_for string"
+    parts = [
+        [(1, 10, 1, False, "good mor", None), (2, 10, 2, True, "early", "good")],
+        [(1, 20, 3, False, "good morning", None), (1, 30, 4, True, "still it", "good mor"), (1, 40, 5, True, "another", "good night")],
+        [(1, 50, 6, False, None, None), (1, 60, 7, True, "finished", "good morning"), (1, 70, 8, False, "next", None), (1, 80, 9, True, "next one", "next"), (1, 90, 10, True, "for nothing", None)],
+    ]
+    got = live.run_available(live.fresh_results(batches(spark, tmp_path / "s", parts, kind))).collect()
+    assert sorted((x.row, x.version, x.fresh) for x in got) == [(2, 0, False), (4, 0, True), (5, 0, False), (7, 1, False), (9, 1, True), (10, 1, True)]
+
+
+def test_who_joins_late_gets_the_backlog_and_then_all_changes(spark, tmp_path):
+    import random
+
+    table = store.Store(spark, f"{tmp_path}/t", "k", "seq", 4)
+    assert table.changes() == (None, None)
+    r, held, seen = random.Random(3), {}, None
+    for batch in range(9):
+        rows = [(r.randrange(40), r.randrange(1000) * 10 + batch, f"b{batch}") for _ in range(r.choice([0, 3, 30]))]
+        table.merge(spark.createDataFrame(rows, "k long, seq long, v string"), batch)
+        if batch == 5:
+            table.vacuum()
+        if batch in (2, 3, 6, 8):
+            seen, new = table.changes(seen)
+            held.update({x.k: tuple(x) for x in new.collect()})
+            assert seen == batch and held == {x.k: tuple(x) for x in table.read().collect()}
+    assert table.changes(8)[0] == 8 and not table.changes(8)[1].collect()
+
+
 EVENTS = "channel string, ts string, thread_ts string, text string, bot boolean, subtype string, edited boolean, seq long"
 
 
