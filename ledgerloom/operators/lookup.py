@@ -416,17 +416,16 @@ def log_line_faults(line: Column, example: str | None = None) -> Column:
     return F.when(told if example is None else told & (whole != clean_line(F.lit(example))), faults)
 
 
-def cascaded_delays(tasks: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
+def cascaded_delays(tasks: DataFrame, links: DataFrame) -> DataFrame:
     """[G14] task, delay: own delay or the largest delay of what it waits for (links: task, on), to the fixpoint; cycles end as delays are bounded by the largest."""
     now = tasks.select("task", "delay")
-    for _ in range(rounds):
+    while True:
         passed_on = links.join(now.select(F.col("task").alias("on"), F.col("delay").alias("_d")), "on").groupBy("task").agg(F.max("_d").alias("_d"))
         then = now.join(passed_on, "task", "left").select("task", F.greatest("delay", F.coalesce("_d", F.col("delay"))).alias("delay"), (F.col("_d") > F.col("delay")).alias("_up"))
         then = lasting(then)
-        if not then.where("_up").take(1):
-            return then.drop("_up")
         now = then.drop("_up")
-    raise RuntimeError("no fixpoint within the rounds")
+        if not then.where("_up").take(1):
+            return now
 
 
 # --- graph --------------------------------------------------------------------
