@@ -1,6 +1,6 @@
 import pytest
 from compare import same
-from ledgerloom.plans import changes, gates, index, live, lookup, numbers, reports, rules, shapes, similar  # noqa: F401
+from ledgerloom.plans import answers, changes, gates, index, live, lookup, numbers, reports, rules, shapes, similar  # noqa: F401
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 
