@@ -76,11 +76,12 @@ def has_wanted(want: Column, cells: Column) -> Column:
 def tiered(questions: DataFrame, key: str, question: str, tiers: Sequence[Tier]) -> DataFrame:
     """[R07] key, tier, rule, outcome (found, no, missing), answer, hits: one row for each question.
 
-    Every tier is a function of the open questions (key, plain) that returns key, rule, outcome, answer, hits of those it settles, each once. They are
+    Every tier is a function of the open questions (key, plain, asked: as said) that returns key, rule, outcome, answer, hits of those it settles, each once. They are
     taken away by an anti-join, so that no tier works on what another has settled; what stays open is missing, by the tier after the last. Keys
     must be unique; a null text is a question without words.
     """
-    left = lasting(questions.select(key, text.fold(F.coalesce(question, F.lit(""))).alias("plain")))
+    asked = F.coalesce(question, F.lit(""))
+    left = lasting(questions.select(key, text.fold(asked).alias("plain"), asked.alias("asked")))
     settled = None
     for i, tier in enumerate(tiers):
         got = lasting(tier(left).select(key, F.lit(i + 1).alias("tier"), "rule", "outcome", F.col("answer").cast("string").alias("answer"), F.col("hits").cast("long").alias("hits")))
