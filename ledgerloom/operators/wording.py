@@ -148,11 +148,13 @@ def listed_strings(raw: Column, n: Column) -> Column:
     """
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
     body = F.when(F.regexp_like(raw, F.lit(r"(?s)```(?:json)?\s*.*?```")), fenced).otherwise(raw)
-    span = F.regexp_extract(body, r"(?s)(\[.*\])", 1)  # from the first to the last bracket
-    got = F.from_json(span, "array<string>", {"allowSingleQuotes": "false"})
-    kinds = F.try_variant_get(F.try_parse_json(span), "$", "array<variant>")
+    # From the first to the last bracket, within one more list: what follows a list's end would else be passed over.
+    span = F.concat(F.lit("["), F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.lit("]"))
+    whole = F.from_json(span, "array<array<string>>", {"allowSingleQuotes": "false"})
+    parts = F.try_variant_get(F.try_parse_json(span), "$", "array<variant>")
+    got, kinds = F.get(whole, F.lit(0)), F.try_variant_get(F.get(parts, F.lit(0)), "$", "array<variant>")
     said = F.transform(got, lambda x, i: F.when(x.isNull(), "None").when(F.schema_of_variant(F.get(kinds, i)) == "BOOLEAN", F.initcap(x)).otherwise(x))
-    return F.when(kinds.isNotNull() & (F.size(kinds) == n) & (F.size(got) == n), said)
+    return F.when((F.size(parts) == 1) & (F.size(whole) == 1) & (F.size(kinds) == n) & (F.size(got) == n), said)
 
 
 def _short(x: Column) -> Column:
