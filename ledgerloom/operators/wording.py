@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .lookup import lasting
 
 # White space and line ends, articles, clauses at a line's start and within a line, the table of contents, page marks, marked gaps, the sources' heading.
 S, LINE_END = r"[\s\x1c-\x1f\x85\p{Z}]", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -97,26 +98,28 @@ def noise(segments: DataFrame, meeting: str, at: str, expected: DataFrame | None
     segments: meeting, at (unique in it), lang, text. expected: meeting, lang, the languages that were told for meetings; a meeting without any has its most
     frequent one (of equal ones the first by name). Language and repetition count only for segments of fewer than ``short`` words that share no word of
     four or more letters with the segment before or after them: a second, third language that joins the talk stays. Repeated: the same letters
-    and digits ``times`` times or more in the meeting. In doubt a segment stays; so do null and empty ones. A meeting's order is one task's window.
+    and digits ``times`` times or more in the meeting. In doubt a segment stays; so do null and empty ones. A meeting's order is one task's window, to which
+    only each segment's distinct words go.
     """
     plain = text.fold(F.coalesce("text", F.lit("")))
-    d = segments.withColumn("_plain", plain).withColumn("_words", F.array_distinct(F.regexp_extract_all("_plain", F.lit("[a-z0-9]{4,}"), F.lit(0)))).withColumn("_sign", F.regexp_replace("_plain", r"[^\p{L}\p{N}]", ""))
-    w = Window.partitionBy(meeting).orderBy(at)
-    alone = lambda by: ~F.coalesce(F.arrays_overlap("_words", by), F.lit(False))
+    d = segments.select(F.col(meeting).alias("_m"), F.col(at).alias("_at"), "lang", plain.alias("_plain"))
     d = d.withColumn("_n", F.size(F.regexp_extract_all("_plain", F.lit(r"[^\s\p{Z}]+"), F.lit(0))))
-    d = d.withColumn("_b", F.lag("_words").over(w)).withColumn("_a", F.lead("_words").over(w)).withColumn("_bs", F.lag("_sign").over(w)).withColumn("_as", F.lead("_sign").over(w))
+    sign = F.when(F.col("_n") < short, F.regexp_replace("_plain", r"[^\p{L}\p{N}]", ""))
+    d = d.select("_m", "_at", "lang", "_n", F.col("_plain").rlike(CANNED).alias("_canned"), sign.alias("_sign"), F.array_distinct(F.regexp_extract_all("_plain", F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("_words"))
+    w = Window.partitionBy("_m").orderBy("_at")
     # A neighbour that says the same is no talk that the phrase belongs to.
-    apart = F.when(F.col("_bs").eqNullSafe(F.col("_sign")), True).otherwise(alone("_b")) & F.when(F.col("_as").eqNullSafe(F.col("_sign")), True).otherwise(alone("_a"))
-    d = d.withColumn("_odd", (F.col("_n") > 0) & (F.col("_n") < short) & apart).drop("_words", "_b", "_a", "_bs", "_as")
-    counts = segments.where("lang is not null").groupBy(meeting, "lang").agg(F.count("*").alias("n"))
-    usual = counts.groupBy(meeting).agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang")).select(meeting, F.array("lang").alias("_langs"))
+    apart = [(side("_sign").over(w) == F.col("_sign")) | ~F.arrays_overlap("_words", side("_words").over(w)) for side in (F.lag, F.lead)]
+    apart = [F.coalesce(a, F.lit(True)) for a in apart]
+    d = lasting(d.select("_m", "_at", "lang", "_canned", "_sign", (F.col("_n").between(1, short - 1) & apart[0] & apart[1]).alias("_odd")))
+    counts = d.where("lang is not null").groupBy("_m", "lang").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("_m").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang")).select("_m", F.array("lang").alias("_langs"))
     if expected is not None:
-        told = expected.groupBy(meeting).agg(F.collect_set("lang").alias("_langs"))
-        usual = told.unionByName(usual.join(told, meeting, "left_anti"))
-    again = d.where("_odd").groupBy(meeting, "_sign").agg(F.count("*").alias("_again"))
-    d = d.join(usual, meeting, "left").join(again, [meeting, "_sign"], "left")
-    why = F.when(F.col("_plain").rlike(CANNED), "canned").when(F.col("_odd") & ~F.array_contains("_langs", F.col("lang")), "language").when(F.col("_odd") & (F.col("_again") >= times), "repeated")
-    return d.select(*segments.columns, why.alias("noise"))
+        told = expected.groupBy(F.col(meeting).alias("_m")).agg(F.collect_set("lang").alias("_langs"))
+        usual = told.unionByName(usual.join(told, "_m", "left_anti"))
+    again = d.where("_odd").groupBy("_m", "_sign").agg(F.count("*").alias("_again"))
+    why = F.when(F.col("_canned"), "canned").when(F.col("_odd") & ~F.array_contains("_langs", F.col("lang")), "language").when(F.col("_odd") & (F.col("_again") >= times), "repeated")
+    noisy = d.where("_canned or _odd").join(usual, "_m", "left").join(again, ["_m", "_sign"], "left").select("_m", "_at", why.alias("noise")).where("noise is not null")
+    return segments.join(noisy, F.col(meeting).eqNullSafe(F.col("_m")) & F.col(at).eqNullSafe(F.col("_at")), "left").select(*[segments[c] for c in segments.columns], "noise")
 
 
 # --- answers and lists ------------------------------------------------------------
