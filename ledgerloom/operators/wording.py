@@ -108,8 +108,7 @@ def noise(segments: DataFrame, meeting: str, at: str, expected: DataFrame | None
     d = d.select("_m", "_at", "lang", "_n", F.col("_plain").rlike(CANNED).alias("_canned"), sign.alias("_sign"), F.array_distinct(F.regexp_extract_all("_plain", F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("_words"))
     w = Window.partitionBy("_m").orderBy("_at")
     # A neighbour that says the same is no talk that the phrase belongs to.
-    apart = [(side("_sign").over(w) == F.col("_sign")) | ~F.arrays_overlap("_words", side("_words").over(w)) for side in (F.lag, F.lead)]
-    apart = [F.coalesce(a, F.lit(True)) for a in apart]
+    apart = [F.coalesce(side("_sign").over(w) == F.col("_sign"), F.lit(False)) | F.coalesce(~F.arrays_overlap("_words", side("_words").over(w)), F.lit(True)) for side in (F.lag, F.lead)]
     d = lasting(d.select("_m", "_at", "lang", "_canned", "_sign", (F.col("_n").between(1, short - 1) & apart[0] & apart[1]).alias("_odd")))
     counts = d.where("lang is not null").groupBy("_m", "lang").agg(F.count("*").alias("n"))
     usual = counts.groupBy("_m").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang")).select("_m", F.array("lang").alias("_langs"))
