@@ -159,7 +159,7 @@ def listed_strings(raw: Column, n: Column) -> Column:
     return F.when((F.size(parts) == 1) & (F.size(whole) == 1) & (F.size(kinds) == n) & (F.size(got) == n), said)
 
 
-def _short(x: Column) -> Column:
+def short_number(x: Column) -> Column:
     """A double by at most six significant digits."""
     e = F.format_string("%.5e", x)
     power = F.regexp_extract(e, r"e([+-][0-9]+)$", 1).cast("int")
@@ -175,6 +175,6 @@ def cell_text(number: Column, shown_as: Column, day: Column, flag: Column, said:
     tiny = F.round(F.abs(r) * 1000000).cast("long")
     small = F.concat(F.when(r < 0, "-").otherwise(""), F.when(tiny < 10, F.concat(tiny.cast("string"), F.lit("e-06"))).otherwise(F.concat(F.regexp_replace((tiny / 10).cast("string"), r"\.0$", ""), F.lit("e-05"))))
     part = F.when(r == 0, F.when(number < 0, "-0.0").otherwise("0.0")).when(F.abs(r) < 0.0001, small).otherwise(F.regexp_replace(F.regexp_replace(r.cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.$", ".0"))
-    digits = F.when(F.contains(F.coalesce(shown_as, F.lit("")), F.lit("%")), F.concat(_short(number * 100), F.lit("%"))).when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(part)
+    digits = F.when(F.contains(F.coalesce(shown_as, F.lit("")), F.lit("%")), F.concat(short_number(number * 100), F.lit("%"))).when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(part)
     words = F.replace(F.regexp_replace(said, rf"^{S}+|{S}+$", ""), F.lit("\n"), F.lit(" "))
     return F.when(day.isNotNull(), F.date_format(day, "yyyy-MM-dd")).when(flag.isNotNull(), F.initcap(flag.cast("string"))).when(number.isNotNull(), digits).when(said != "", words)

@@ -1,6 +1,6 @@
 import pytest
 from compare import same
-from ledgerloom.plans import answers, changes, front, gates, index, live, lookup, numbers, reports, rules, shapes, similar, tabs, wording  # noqa: F401
+from ledgerloom.plans import answers, changes, front, gates, index, live, lookup, numbers, outputs, reports, rules, shapes, similar, tabs, wording  # noqa: F401
 from ledgerloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 
