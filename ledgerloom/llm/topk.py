@@ -56,8 +56,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, key: str = "vec_id",
     cores = rows.sparkSession.sparkContext.defaultParallelism
     qbs, cbs = max(1, math.ceil(n_q / query_block)), max(1, math.ceil(n_c / row_block), min(4 * cores, math.ceil(n_c / 1024)))
     number = F.monotonically_increasing_id()
-    q = q.withColumn("row", number).withColumn("qb", F.pmod("row", F.lit(qbs))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cbs - 1))))
-    c = c.withColumn("cb", F.pmod(number, F.lit(cbs))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qbs - 1))))
+    # Both sides' blocks are of one type: a cogroup does not cast its keys, and an int and a long go to different partitions.
+    of, each = lambda c, n: F.pmod(c, F.lit(n)).cast("long"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumn("row", number).withColumn("qb", of("row", qbs)).withColumn("cb", each(cbs))
+    c = c.withColumn("cb", of(number, cbs)).withColumn("qb", each(qbs))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({x: np.empty(0, np.int64) for x in ("row", "query_id", "vec_id", "score")})

@@ -111,6 +111,13 @@ def test_top_k(spark):
         s = sorted(((sum(a * b for a, b in zip(q[i], v)), j) for j, v in every if j != i), key=lambda x: (-x[0], x[1]))[:5]
         want += [(i, k + 1, j, x) for k, (x, j) in enumerate(s)]
     assert sorted(got) == sorted(want)
+    # Where no partitions are put together, a block's two sides must still meet.
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert sorted(tuple(x) for x in topk.top_k(df.where("vec_id % 50 = 0"), df, query_block=2, row_block=30).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
 def sets(rows):
