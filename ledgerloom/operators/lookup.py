@@ -95,8 +95,8 @@ def coverage_audit(cells: DataFrame, covered: DataFrame, sheet: str, cell: Seque
 
 
 def effort_against_allocation(logged: DataFrame, allocation: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """[A31] keys, logged, allocated, verdict: over, under or even; who is in one table only has 0 hours in the other."""
-    total = lambda df, name: df.groupBy(*keys).agg(F.sum("hours").alias(name))
+    """[A31] keys, logged, allocated, verdict: over, under or even, of hours rounded to 4 places; who is in one table only has 0 hours in the other."""
+    total = lambda df, name: df.groupBy(*keys).agg(F.round(F.sum("hours"), 4).alias(name))
     j = total(logged, "logged").join(total(allocation, "allocated"), list(keys), "full_outer").fillna(0.0, ["logged", "allocated"])
     d = F.col("logged") - F.col("allocated")
     return j.withColumn("verdict", F.when(d > 0.01, "over").when(d < -0.01, "under").otherwise("even"))

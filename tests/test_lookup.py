@@ -55,3 +55,14 @@ def test_dangling_and_one_way_links(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "nowhere")], "a string, b string")
     pages = spark.createDataFrame([("a",), ("b",), ("c",)], "b string")
     assert sorted(tuple(r) for r in core.mutual(edges, pages).collect()) == [("a", "c", "one_way"), ("c", "nowhere", "dangling")]
+
+
+def test_effort_is_compared_as_rounded(spark):
+    cases = [
+        ([18.17, 2.97, 8.64, 17.66, 4.09], [7.24, 13.13, 16.82, 3.47, 10.86], "even"),  # 51.53 and 51.52, whose sums as they are lie farther apart
+        ([19.09, 9.64, 11.0, 6.9, 13.61], [19.91, 14.61, 10.23, 6.18, 9.3], "over"),
+        ([10.99, 12.07, 11.61, 10.48, 6.51], [7.05, 3.73, 19.88, 1.78, 19.23], "under"),
+    ]
+    rows = lambda side: spark.createDataFrame([(k, h) for k, c in enumerate(cases) for h in c[side]], "k int, hours double").coalesce(1)
+    got = {r.k: r.verdict for r in lookup.effort_against_allocation(rows(0), rows(1), ["k"]).collect()}
+    assert got == {k: c[2] for k, c in enumerate(cases)}
