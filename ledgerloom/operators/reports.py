@@ -187,11 +187,12 @@ def chunk_starts(text: Column, limit: int = 12000) -> Column:
 def thread_context(lines: DataFrame, most: int = 7000) -> DataFrame:
     """[T07] thread, context: a thread's lines in order, cut at ``most`` characters; lines: thread, seq, line.
 
-    Lines that begin beyond the cut are left out before lines meet, so no thread is gathered whole.
+    Lines that begin beyond the cut are left out before lines meet, so no thread is gathered whole; of lines with one seq the smaller comes first. The
+    line that follows ``most`` characters is kept, as it is what tells that the thread is cut.
     """
     size = F.char_length("line") + 1
-    at = F.coalesce(F.sum(size).over(Window.partitionBy("thread").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = lines.where("line is not null").withColumn("_at", at).where(F.col("_at") <= most)
+    at = F.coalesce(F.sum(size).over(Window.partitionBy("thread").orderBy("seq", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = lines.where("line is not null").withColumn("_at", at).where(F.col("_at") <= most + 1)
     whole = near.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("_at", "seq", "line"))).alias("l")).select("thread", F.array_join("l.line", "\n").alias("t"))
     mark = "\n[history truncated]"
     return whole.select("thread", F.when(F.char_length("t") > most, F.concat(F.substring("t", 1, most - len(mark)), F.lit(mark))).otherwise(F.col("t")).alias("context"))

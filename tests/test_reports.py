@@ -62,6 +62,10 @@ def test_reuse_override_and_context(spark):
     lines = spark.createDataFrame([("a", i, "0123456789") for i in range(20)] + [("b", 1, "short"), ("c", 1, None)], "thread string, seq int, line string")
     got = {r.thread: r.context for r in reports.thread_context(lines, 60).collect()}
     assert got["b"] == "short" and "c" not in got and len(got["a"]) == 60 and got["a"] == "\n".join(["0123456789"] * 6)[:40] + "\n[history truncated]"
+    # What comes after exactly as many characters as may stand is a cut as well; a line that is all there is none.
+    full = spark.createDataFrame([("a", 1, "x" * 20), ("a", 2, "y" * 39), ("a", 3, ""), ("b", 1, "z" * 60)], "thread string, seq int, line string")
+    got = {r.thread: r.context for r in reports.thread_context(full, 60).collect()}
+    assert got == {"a": "x" * 20 + "\n" + "y" * 19 + "\n[history truncated]", "b": "z" * 60}
 
 
 def test_wide_lists_and_confidence(spark):
