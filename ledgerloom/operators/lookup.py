@@ -126,12 +126,19 @@ def row_search(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], ke
     return some if keep is None else some.orderBy(F.desc("share"), key).limit(keep)
 
 
-def fallback(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], column_words: Sequence[str] = (), least: float = 0.6) -> DataFrame:
-    """[R10] key, share of the rows of the highest share, if that is at least ``least``; column_words are no terms, and below two terms nothing is found."""
+def fallback_shares(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], column_words: Sequence[str] = (), least: float = 0.6) -> DataFrame:
+    """[R10] key, share, found of all rows with a hit: found are those of the highest share, if that is at least ``least``; column_words are no terms, and below two terms nothing is found."""
     asked = [t for t in terms if t not in column_words]
+    scored = row_search(rows, key, blob, asked, None)
     if len(asked) < 2:
-        return rows.select(key, F.lit(None).cast("double").alias("share")).limit(0)
-    return top_ties(row_search(rows, key, blob, asked, None), "share").where(F.col("share") >= least)
+        return scored.withColumn("found", F.lit(False))
+    top = F.broadcast(scored.agg(F.max("share").alias("_top")))  # one row
+    return scored.join(top).select(key, "share", ((F.col("share") == F.col("_top")) & (F.col("_top") >= least)).alias("found"))
+
+
+def fallback(rows: DataFrame, key: str, blob: Column, terms: Sequence[str], column_words: Sequence[str] = (), least: float = 0.6) -> DataFrame:
+    """[R10] key, share of the rows that ``fallback_shares`` finds."""
+    return fallback_shares(rows, key, blob, terms, column_words, least).where("found").drop("found")
 
 
 def top_ties(scored: DataFrame, score: str) -> DataFrame:

@@ -107,14 +107,10 @@ def row_search_ties(spark, sf_dir):
     return lookup.top_ties(lookup.row_search(table(spark, sf_dir, "documents"), "doc_id", folded(), ASKED, None), "share")
 
 
-@query(f"""
-    WITH b AS (SELECT doc_id, {FOLDED} AS b FROM documents), h AS (SELECT doc_id, contains(b, 'license') AS l, contains(b, 'the') AS n FROM b),
-         i AS (SELECT ln((1.0 + count(*)) / (1 + count(*) FILTER (WHERE l))) AS l, ln((1.0 + count(*)) / (1 + count(*) FILTER (WHERE n))) AS n FROM h),
-         s AS (SELECT doc_id, round((CASE WHEN h.l THEN i.l ELSE 0 END + CASE WHEN h.n THEN i.n ELSE 0 END) / (i.l + i.n), 9) AS share FROM h, i WHERE h.l OR h.n)
-    SELECT doc_id, share FROM s WHERE share = (SELECT max(share) FROM s) AND share >= 0.6""")
+@query(f"WITH {SHARES} SELECT doc_id, share, share = (SELECT max(share) FROM s) AND share >= 0.6 AS found FROM s")
 def cell_fallback(spark, sf_dir):
-    """The rows that hold most of what is asked, if that is enough; the word of a column does not count."""
-    return lookup.fallback(table(spark, sf_dir, "documents"), "doc_id", folded(), ("license", "text", "the"), ("text",))
+    """All rows that hold some of what is asked, and whether they are found: those that hold most, if that is enough. The word of a column does not count."""
+    return lookup.fallback_shares(table(spark, sf_dir, "documents"), "doc_id", folded(), (*ASKED, "text"), ("text",))
 
 
 @query("""

@@ -112,3 +112,10 @@ def test_not_empty_and_as_sql_at_another_size(spark, name):
     from ledgerloom.plans import catalogue, gates, lookup, reports, rules, shapes  # noqa: F401
 
     assert not same(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], "/root/testdata/sf0.01")
+
+
+def test_fallback_tells_all_rows_with_a_hit(spark):
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (4, "delta"), (5, "x alpha betas"), (6, None)], "id int, t string")
+    ask = lambda *a: sorted((r.id, r.found) for r in lookup.fallback_shares(rows, "id", F.coalesce("t", F.lit("")), *a).collect())
+    assert ask(["alpha", "beta"]) == [(1, True), (2, False), (5, True)]
+    assert ask(["beta", "delta", "zeta"]) == [(1, False), (4, False), (5, False)] and ask(["alpha", "day"], ["day"]) == [(1, False), (2, False), (5, False)]
