@@ -74,9 +74,10 @@ def asked_cells(spark, sf_dir):
     said = F.when(kind == 0, "Trạng thái và ưu tiên?").when(kind == 1, "Sprint đầu tiên bắt đầu ngày nào?").when(kind == 2, "Ai phụ trách").when(kind == 3, "Còn lại bao nhiêu...").when(kind == 4, "authentication start").otherwise("Những người nào làm task ở SPRINT ĐẦU")
     cell = lambda label, c: F.struct(F.lit(label).alias("label"), c.cast("string").alias("value"))
     cells = F.array(cell("Status", F.col("o_orderstatus")), cell("Priority", F.col("o_orderpriority")), cell("Plan Start Date", F.date_format("o_orderdate", "yyyy-MM-dd")), cell("Related Assignee", F.col("o_custkey")), cell("Remaining(h)", F.lit("")))
-    plain = text.fold(said)
-    shown = F.array_join(F.transform(front.asked_cells(cells, plain), lambda c: F.concat_ws("=", c["label"], c["value"])), ";")
-    return o.select("o_orderkey", front.wants_list(plain).alias("lists"), F.array_join(front.asked_fields(plain), ",").alias("fields"), shown.alias("cells"), front.with_aliases(said).alias("asked"))
+    # All that follows reads the folded question, which has a projection of its own.
+    d = o.select("o_orderkey", said.alias("said"), cells.alias("cells")).withColumn("plain", text.fold(F.col("said")))
+    shown = F.array_join(F.transform(front.asked_cells(F.col("cells"), F.col("plain")), lambda c: F.concat_ws("=", c["label"], c["value"])), ";")
+    return d.select("o_orderkey", front.wants_list(F.col("plain")).alias("lists"), F.array_join(front.asked_fields(F.col("plain")), ",").alias("fields"), shown.alias("cells"), front.with_aliases(F.col("said")).alias("asked"))
 
 
 @query("""

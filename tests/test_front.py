@@ -117,3 +117,9 @@ def test_follow_ups(spark):
     people = spark.createDataFrame([("An",), ("[QC] Lan",), ("ĐôNT$",)], "person string")
     got = {x.id: x.rewritten for x in front.follow_ups(q, "id", "s", ["i"], people, "person").collect()}
     assert got == {f"{s}{i}": w for i, s, _, w in said}
+
+
+def test_a_question_is_searched_once_a_field(spark):
+    cells = F.array(*[F.struct(F.lit(n).alias("label"), F.lit("x").alias("value")) for n in ("Status", "PIC")])
+    plan = spark.createDataFrame([("trang thai",)], "q string").select(front.asked_cells(cells, text.fold(F.col("q"))).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("tinh trang") == 1 and plan.count("translate(lower(q") == 1
