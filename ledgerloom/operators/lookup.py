@@ -412,15 +412,20 @@ def log_line_faults(line: Column, example: str | None = None) -> Column:
     six bars), ``estimate``, ``actual``, ``status`` (empty), ``start`` (not of the shape DD-MM-YYYY), ``end`` (not of that shape where the status is
     done; where it isn't, a date of another shape).
     """
-    whole = clean_line(line)
-    p = F.transform(F.split(whole, r"\|"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
     date = r"^\d{2}-\d{2}-\d{4}$"
-    empty = lambda name, i: F.when((F.size(p) > i) & (at(i) == ""), name)
-    late = F.when(is_done(at(5)), ~at(3).rlike(date)).otherwise(~F.lower(at(3)).isin(*NO_END) & at(3).rlike(r"\d\s*[-/.]\s*\d") & ~at(3).rlike(date))
-    faults = F.concat_ws(",", F.when(F.size(p) < 7, "fields"), empty("estimate", 1), empty("actual", 4), empty("status", 5), F.when(~at(2).rlike(date), "start"), F.when(late, "end"))
-    told = F.contains(whole, F.lit("|")) & at(0).rlike(r"\d")
-    return F.when(told if example is None else told & (whole != clean_line(F.lit(example))), faults)
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def told(whole: Column, p: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit(""))
+        empty = lambda name, i: F.when((F.size(p) > i) & (at(i) == ""), name)
+        late = F.when(is_done(at(5)), ~at(3).rlike(date)).otherwise(~F.lower(at(3)).isin(*NO_END) & at(3).rlike(r"\d\s*[-/.]\s*\d") & ~at(3).rlike(date))
+        faults = F.concat_ws(",", F.when(F.size(p) < 7, "fields"), empty("estimate", 1), empty("actual", 4), empty("status", 5), F.when(~at(2).rlike(date), "start"), F.when(late, "end"))
+        is_line = F.contains(whole, F.lit("|")) & at(0).rlike(r"\d")
+        return F.when(is_line if example is None else is_line & (whole != clean_line(F.lit(example))), faults)
+
+    fields = lambda whole: F.transform(F.split(whole, r"\|"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    # A line is cleaned and cut once, whatever looks at its fields.
+    return once(clean_line(line), lambda whole: once(fields(whole), lambda p: told(whole, p)))
 
 
 def cascaded_delays(tasks: DataFrame, links: DataFrame) -> DataFrame:

@@ -119,3 +119,8 @@ def test_fallback_tells_all_rows_with_a_hit(spark):
     ask = lambda *a: sorted((r.id, r.found) for r in lookup.fallback_shares(rows, "id", F.coalesce("t", F.lit("")), *a).collect())
     assert ask(["alpha", "beta"]) == [(1, True), (2, False), (5, True)]
     assert ask(["beta", "delta", "zeta"]) == [(1, False), (4, False), (5, False)] and ask(["alpha", "day"], ["day"]) == [(1, False), (2, False), (5, False)]
+
+
+def test_a_line_is_cut_once(spark):
+    plan = spark.createDataFrame([("1 | 2",)], "line string").select(lookup.log_line_faults(F.col("line")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
