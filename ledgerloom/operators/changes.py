@@ -127,7 +127,9 @@ def rescheduled(tasks: DataFrame, monday: Column, per_day: int = DAY_MINUTES) ->
         begins = F.when(F.col("done"), F.col("release")).otherwise(F.max(F.col("ready") - F.col("before")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
         t = t.withColumn("begins", begins).withColumn("ends", F.col("begins") + F.col("minutes"))
         morning = t.join(held, F.col("task") == F.col("_on"), "left_semi").select(F.col("task").alias("_on"), (F.ceil(F.col("ends") / per_day) * per_day).cast("long").alias("_ready"))
-        now = t.join(morning, F.col("blocker") == F.col("_on"), "left").drop("_on")
+        # Tasks without a blocker have keys of their own, as rows with a null key would all go to one task.
+        own = F.when(F.col("blocker").isNull(), F.struct(F.lit(True).alias("none"), F.col("task").alias("on"))).otherwise(F.struct(F.lit(False).alias("none"), F.col("blocker").alias("on")))
+        now = t.withColumn("_own", own).join(morning.select("_ready", F.struct(F.lit(False).alias("none"), F.col("_on").alias("on")).alias("_on")), F.col("_own") == F.col("_on"), "left").drop("_on", "_own")
         waits = ~F.col("done") & (F.col("_ready") > F.col("ready"))
         t = lasting(now.withColumn("_up", F.coalesce(waits, F.lit(False))).withColumn("ready", F.when(waits, F.col("_ready")).otherwise(F.col("ready"))).drop("_ready"))
         if not t.where("_up").take(1):

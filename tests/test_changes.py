@@ -89,3 +89,18 @@ def test_chains_against_one_task_after_the_other(spark):
         if role == "BE":
             back[group] = begins + minutes
     assert {k: x.begins for k, x in moved(spark, r.sample(rows, len(rows))).items()} == want
+
+
+def test_tasks_without_a_blocker_are_many_tasks_work(spark):
+    rows = [(i, i % 3, i // 3, i // 3, "FE", 0, 60, False) for i in range(300)]
+    tasks = spark.createDataFrame(rows, "task long, place long, person long, grp long, role string, release long, minutes long, done boolean")
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        out = changes.rescheduled(tasks, F.lit("2026-07-27").cast("date"))
+        assert out.where("blocker is null").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
