@@ -95,7 +95,7 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: Column, name: C
     kind, of = texts.schema[key].dataType.simpleString(), names.schema[name_id].dataType.simpleString()
     asked = names.select(name.alias("name"), F.col(name_id).alias("id")).where((F.char_length("name") >= max(1, least)) & F.col("id").isNotNull())
     # Distinct names in parts of bounded numbers and characters, told apart by a hash.
-    size = asked.agg(F.count_distinct("name").alias("n"), F.sum(F.char_length("name")).alias("c")).first()
+    size = asked.agg(F.count_distinct("name").alias("n"), F.count("*").alias("ids"), F.sum(F.char_length("name")).alias("c")).first()
     parts = 1 + max(size["n"] // PART_NAMES, (size["c"] or 0) // PART_CHARS)
     rows = texts.select(F.col(key).alias("key"), text.alias("text")).where("text is not null")
 
@@ -127,7 +127,10 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: Column, name: C
     for i in range(parts):
         own = sorted(r[0] for r in asked.where(part == i).select("name").distinct().collect())  # of bounded size
         hits = found(own) if hits is None else hits.union(found(own))
-    return hits.join(asked.distinct(), "name").select(F.col("key").alias(key), F.col("id").cast(of).alias(name_id)).distinct()
+    # A frequent name would be one task's join; ids of a dictionary that one automaton holds go to the texts instead.
+    ids = asked.distinct()
+    ids = F.broadcast(ids) if parts == 1 and size["ids"] <= PART_NAMES else ids
+    return hits.join(ids, "name").select(F.col("key").alias(key), F.col("id").cast(of).alias(name_id)).distinct()
 
 
 def longest_mentions(found: DataFrame, key: str, name: str) -> DataFrame:

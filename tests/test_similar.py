@@ -72,3 +72,16 @@ def test_sheet_digest_sees_values_alone(spark):
 @pytest.mark.parametrize("name", ["near_duplicate_files", "mentioned_names", "sheet_digests"])
 def test_as_sql(spark, name):
     assert not same(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], "/root/testdata/sf0.01")
+
+
+def test_ids_of_few_names_are_sent_to_the_texts(spark):
+    texts = spark.createDataFrame([(i, "a the x") for i in range(50)], "doc long, t string")
+    names = spark.createDataFrame([("the", 1), ("the", 2), ("zed", 3)], "name string, id int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = similar.mentions(texts, names, "doc", F.col("t"), F.col("name"), "id")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == [(i, k) for i in range(50) for k in (1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
