@@ -267,7 +267,9 @@ def declaration_faults(declared: DataFrame, documents: DataFrame, id_: str, doc:
     d = declared.select(id_, doc, F.trim("place").alias("place"), F.when(unit != "", canon).alias("wanted"), F.coalesce(day, numeric_forms(F.col("number"), canon), F.array().cast("array<string>")).alias("forms"))
     d = d.withColumn("place", F.when(F.col("place") != "", F.col("place")))
     state = documents.select(F.col(doc).alias("_doc"), F.coalesce("current", F.lit(False)).alias("current"), F.coalesce("ocr", F.lit(False)).alias("ocr"))
-    d = d.join(state, F.col(doc) == F.col("_doc"), "left")
+    # Facts that cite no document meet none; in the join, their null keys would all go to one task.
+    cited = d.where(F.col(doc).isNotNull()).join(state, F.col(doc) == F.col("_doc"), "left")
+    d = cited.unionByName(d.where(F.col(doc).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema]))
     fit = d.where("size(forms) > 0 and current and not ocr")
     seen = placed_numbers(documents, fit, doc, text).select(F.col(doc).alias("_d"), F.col("place").alias("_p"), "found", F.col("value").alias("_v"), F.col("unit").alias("_u"))
     # Every number of a place meets its declarations; a place's numbers are distinct, and the join is by document and place.

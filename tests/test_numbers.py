@@ -121,3 +121,19 @@ def test_one_pass_against_a_plain_version(spark):
     got = numbers.number_tokens(docs, "doc_id", F.col("text")).where("kind = 'number'").collect()
     assert len(want) > 200 and sorted((x.doc_id, x.at, x.token, x.unit or "") for x in got) == sorted((*w[:3], w[3] or "") for w in want)
     assert not numbers.number_tokens(docs.limit(0), "doc_id", F.col("text")).collect()
+
+
+def test_facts_without_a_document_are_not_joined(spark):
+    documents = spark.createDataFrame([(1, "Điều 1. 5 giờ", True, False)], "doc long, body string, current boolean, ocr boolean")
+    declared = spark.createDataFrame([(i, 5.0, None, "hour", None if i else 1, None) for i in range(200)], "id long, number double, day string, unit string, doc long, place string")
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        plan = numbers.declaration_faults(declared, documents, "id", "doc", F.col("body"))
+        assert {r.id: r.faults for r in plan.collect()} == {i: ["no_source"] if i else [] for i in range(200)}
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
