@@ -150,28 +150,38 @@ class Idle(StatefulProcessor):
 
 
 class Precedence(StatefulProcessor):
-    """A key's polled segments pass as they are new or changed, until its direct source speaks; from then on only that one does."""
+    """A key's polled segments pass as they are new or changed, until its direct source speaks; from then on only that one does.
+
+    The state is asked once a segment and batch and told what changed once at the batch's end, as each call crosses to the JVM.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.direct = handle.getValueState("direct", "on boolean")
         self.seen = handle.getMapState("seen", "idx long", "text string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        direct, out = self.direct.exists(), []
+        before, out = self.direct.exists(), []
+        direct, known, now, changed = before, not before and self.seen.exists(), {}, {}
         for at, row, own, idx, text in _rows(rows, "at", "row", "direct", "idx", "text"):
-            place, text = (int(idx),), text or ""
-            if own and not direct:
-                direct = True
-                self.direct.update((True,))
-                self.seen.clear()  # nothing is polled any more
+            idx, text = int(idx), text or ""
+            direct = direct or bool(own)
             if direct:
                 passes = bool(own)
             else:
-                passes = not self.seen.containsKey(place) or self.seen.getValue(place)[0] != text
+                if idx not in now:
+                    now[idx] = self.seen.getValue((idx,))[0] if known and self.seen.containsKey((idx,)) else None
+                passes = now[idx] != text
                 if passes:
-                    self.seen.updateValue(place, (text,))
+                    now[idx] = changed[idx] = text
             if passes:
-                out.append((key[0], int(at), int(row), int(idx), text))
+                out.append((key[0], int(at), int(row), idx, text))
+        if direct and not before:
+            self.direct.update((True,))
+            if known:
+                self.seen.clear()  # nothing is polled any more
+        elif not direct:
+            for idx, text in changed.items():
+                self.seen.updateValue((idx,), (text,))
         yield _frame(out, "key at row idx text")
 
 

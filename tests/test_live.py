@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from ledgerloom.streaming import live, store
 from pyspark.sql import functions as F
@@ -92,6 +93,45 @@ def test_the_direct_source_ends_the_polling_of_its_room(spark, tmp_path):
     assert sorted((x.row, x.key, x.idx, x.text) for x in got) == [(1, 1, 0, "a"), (3, 1, 1, ""), (4, 2, 0, "p"), (5, 1, 0, "ab"), (6, 1, 7, "x"), (9, 2, 1, ""), (11, 1, 7, "x"), (12, 2, 0, "q")]
 
 
+class Counted(dict):
+    """A map state or a value state that counts what it is asked and told."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("exists", "clear", "containsKey", "getValue", "updateValue", "update"):
+            self.calls += 1
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return len(self) > 0
+
+    def containsKey(self, k):
+        return k in self
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def update(self, v):
+        self["on"] = v
+
+
+def test_a_batch_asks_the_state_once_a_segment(spark):
+    held = Counted(), Counted()
+    p = live.Precedence()
+    p.init(type("Handle", (), {"getValueState": lambda *a: held[0], "getMapState": lambda *a: held[1]})())
+    batch = lambda rows: [tuple(r)[1:] for f in p.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["at", "row", "direct", "idx", "text"])]), None) for r in f.itertuples(index=False)]
+    assert len(batch([(i, i, False, i % 2, f"{i // 4}") for i in range(100)])) == 50 and held[1] == {(0,): ("24",), (1,): ("24",)}
+    assert batch([(100, 100, False, 1, "24"), (101, 101, False, 2, None)]) == [(101, 101, 2, "")]
+    assert held[0].calls + held[1].calls <= 12
+    assert batch([(102, 102, True, 9, "x"), (103, 103, False, 0, "y")]) == [(102, 102, 9, "x")] and not held[1]
+    assert batch([(104, 104, False, 0, "y")]) == []
+
+
 def test_results_for_a_text_that_has_gone_are_stale(spark, tmp_path):
     kind = "key long, at long, row long, result boolean, text string, made_for string"
     parts = [
