@@ -140,3 +140,14 @@ def test_clauses_against_python(spark):
     got = {x.id: x.c for x in wording.with_clauses(df, "t", "c").collect()}
     bad = [(t, got[i], plain(t)) for i, t in enumerate(texts) if got[i] != plain(t)]
     assert not bad, json.dumps(bad[0], ensure_ascii=False)
+
+
+def test_clauses_are_found_in_one_reading_of_a_text(spark):
+    text = "Mục lục Điều 9\x0b9.9 x 3.1 early\r\n## ĐIỀU 03  - **03.010** 3.2.1: x see MỤC 3.7, khoản\n3.8; no_khoản 3.9 and 3.11x"
+    contents = "[[page 4]]\n"
+    assert wording.clauses(text) == []
+    assert wording.clauses(text.replace("3.1 early", contents + "3.1 early")) == ["3", "3.2.1", "3.7", "3.8", "3.10"]
+    df = spark.createDataFrame([(1, "Điều 1\n1.1 x", "[Not covered: 01.1]")], "k long, source string, page string")
+    d = wording.clause_coverage(df, "k")
+    assert "ArrowEvalPython" in d._jdf.queryExecution().executedPlan().toString()
+    assert tuple(d.first())[1:] == ("fail", False, [], ["1.1"], ["1"], [], [])
