@@ -140,19 +140,24 @@ def cell_tier(key: str, rows: DataFrame, row: str, blob: Column, labels: Column
         searches = asked.select("terms", "columns").distinct()
         words = searches.select("terms", "columns", F.explode("terms").alias("term")).groupBy("terms", "columns", "term").agg(F.count("*").alias("times"))
         table = lasting(rows.select(F.col(row).alias("row"), blob.alias("blob"), (labels if labels is not None else _strings()).alias("labels")))
-        hits = lasting(mentions(table, words.select("term").distinct(), "row", F.col("blob"), F.col("term"), "term", whole=0))
+        hits = mentions(table, words.select("term").distinct(), "row", F.col("blob"), F.col("term"), "term", whole=0)
+        # Rows that hold the same terms, under the same labels, have the same share of every search: they go through it as one, named by the smallest.
+        kinds = hits.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("held"))
+        kinds = kinds.withColumn("labels", _strings()) if labels is None else kinds.join(table.select("row", "labels"), "row")
+        kinds = lasting(kinds.groupBy("held", "labels").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+        holds = kinds.select("row", "n", F.explode("held").alias("term"))
         total = table.agg(F.count("*").alias("n"))
-        weights = words.select("term").distinct().join(hits.groupBy("term").agg(F.count("*").alias("df")), "term", "left").crossJoin(F.broadcast(total))  # one row
+        weights = words.select("term").distinct().join(holds.groupBy("term").agg(F.sum("n").alias("df")), "term", "left").crossJoin(F.broadcast(total))  # one row
         weights = weights.select("term", F.log((F.lit(1.0) + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
         words = lasting(words.join(weights, "term").withColumn("weight", F.col("times") * F.col("idf")))
         full = words.groupBy("terms", "columns").agg(F.sum("weight").alias("full"))
-        scored = words.join(hits, "term").groupBy("terms", "columns", "row").agg(F.sum("weight").alias("part")).join(full, ["terms", "columns"])
-        scored = scored.select("terms", "columns", "row", F.round(F.col("part") / F.when(F.col("full") == 0, 1.0).otherwise(F.col("full")), 9).alias("share"))
+        scored = words.join(holds, "term").groupBy("terms", "columns", "row").agg(F.sum("weight").alias("part"), F.first("n").alias("n")).join(full, ["terms", "columns"])
+        scored = scored.select("terms", "columns", "row", "n", F.round(F.col("part") / F.when(F.col("full") == 0, 1.0).otherwise(F.col("full")), 9).alias("share"))
         if labels is not None:
-            named = scored.where("size(columns) > 0").join(table.select("row", "labels"), "row").where(F.exists("columns", lambda c: F.exists("labels", lambda x: F.contains(x, c)))).select("terms", "columns", "row", "share")
+            named = scored.where("size(columns) > 0").join(kinds.select("row", "labels"), "row").where(F.exists("columns", lambda c: F.exists("labels", lambda x: F.contains(x, c)))).select("terms", "columns", "row", "n", "share")
             scored = scored.where("size(columns) = 0").union(named)
         # The best share of a search, then its ties: two aggregations, so that no search's rows are gathered.
-        ties = scored.groupBy("terms", "columns", "share").agg(F.count("*").alias("hits"), F.min("row").alias("answer"))
+        ties = scored.groupBy("terms", "columns", "share").agg(F.sum("n").alias("hits"), F.min("row").alias("answer"))
         best = ties.groupBy("terms", "columns").agg(F.max(F.struct("share", "hits", "answer")).alias("b")).where(F.col("b.share") >= least)
         return asked.join(best, ["terms", "columns"]).select(key, F.lit("cells").alias("rule"), F.lit("found").alias("outcome"), F.col("b.answer").alias("answer"), F.col("b.hits").alias("hits"))
 

@@ -88,7 +88,8 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: Column, name: C
 
     text and name are compared as they come out of these columns (fold or sign them there). Names below ``least`` characters are left out; those of
     at most ``whole`` must stand as a word of their own ([a-z0-9_], as in folded texts), longer ones anywhere. Names are put into automata of bounded
-    size, so a text is read once for each part of the dictionary, whatever its number of names; equal names all count.
+    size, so a text is read once for each part of the dictionary; where there are more parts than sizes of names (``_maybe_names``), texts are
+    read once a size instead. Equal names all count.
     """
     from itertools import chain
 
@@ -122,6 +123,11 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: Column, name: C
 
         return rows.mapInArrow(run, f"key {kind}, name string")
 
+    if parts > 1:
+        sizes = [r[0] for r in asked.select(F.octet_length("name")).distinct().collect()]
+        if parts > len({n.bit_length() for n in sizes}):
+            maybe = _maybe_names(rows, asked.select("name").distinct(), size["n"], sizes, whole)
+            return maybe.join(asked.distinct(), F.col("bytes") == F.col("name").cast("binary")).select(F.col("key").alias(key), F.col("id").cast(of).alias(name_id)).distinct()
     part = F.pmod(F.xxhash64("name"), F.lit(parts))
     hits = None
     for i in range(parts):
@@ -133,6 +139,58 @@ def mentions(texts: DataFrame, names: DataFrame, key: str, text: Column, name: C
     return hits.join(ids, "name").select(F.col("key").alias(key), F.col("id").cast(of).alias(name_id)).distinct()
 
 
+def _maybe_names(rows: DataFrame, names: DataFrame, n: int, sizes: list[int], whole: int) -> DataFrame:
+    """key, bytes: the parts of each text (key, text) that may be one of the names, each once; all that are, and few others.
+
+    Two marks of each name are broadcast as bits of their crc32, at most 16 MB whatever the dictionary: of the name, and of its end, as long as
+    the largest power of two that the name has room for. A text is read once for each such power; only where an end fits are whole names tried.
+    """
+    bits = 1 << min(27, max(20, (16 * n).bit_length()))
+    whole_name, end = F.col("name").cast("binary"), F.expr("substr(cast(name as binary), -shiftleft(1, length(bin(octet_length(name))) - 1))")
+    marks = names.select(F.explode(F.array(*[F.crc32(c) % bits + 1 for c in (whole_name, end)])).alias("at"))
+    marks = marks.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("b"))
+    filled = bytearray(bits // 8)
+    for k, b in marks.collect():  # 4096 bytes each
+        filled[4096 * (k - 1) : 4096 * k] = b
+    powers: dict[int, list[int]] = {}
+    for x in sorted(sizes):
+        powers.setdefault(1 << (x.bit_length() - 1), []).append(x)
+    held = rows.sparkSession.sparkContext.broadcast((bytes(filled), powers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
+        told, powers = held.value
+        most = 8 * len(told) - 1
+
+        def marked(part: bytes) -> int:
+            h = crc32(part) & most
+            return told[h >> 3] >> (h & 7) & 1
+
+        word = lambda c: c == 95 or (c < 128 and chr(c).isalnum())
+
+        def stands(t: bytes, a: int, b: int) -> bool:
+            if b - a > 4 * whole or len(t[a:b].decode("utf-8", "ignore")) > whole:
+                return True
+            return not ((a and word(t[a - 1])) or (b < len(t) and word(t[b])))
+
+        for b in batches:
+            at, hits = [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                seen = set()
+                for power, own in powers.items():
+                    for end in range(power, len(t) + 1):
+                        h = crc32(t[end - power : end]) & most
+                        if told[h >> 3] >> (h & 7) & 1:
+                            seen.update(t[end - n : end] for n in own if n <= end and marked(t[end - n : end]) and stands(t, end - n, end))
+                at += [i] * len(seen)
+                hits += seen
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(hits, pa.binary())], ["key", "bytes"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"key {kind}, bytes binary")
+
+
 def longest_mentions(found: DataFrame, key: str, name: str) -> DataFrame:
     """[J09] Of the names that a text mentions, those that are no part of a longer one that it mentions; found: key, name."""
     longer = found.select(key, F.col(name).alias("_longer"))

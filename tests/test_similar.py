@@ -85,3 +85,29 @@ def test_ids_of_few_names_are_sent_to_the_texts(spark):
         assert sorted(tuple(r) for r in found.collect()) == [(i, k) for i in range(50) for k in (1, 2)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_text_is_read_once_a_size_of_names(spark, monkeypatch):
+    names = [f"customer#{i:04d}" for i in range(300)] + ["a", "ab", "đức", "đ", "é#", "zz"]
+    texts = {1: "customer#0007customer#0299 customer#0300", 2: "ab-a_ đức xđ", 3: "đ é#zz", 4: "", 5: None, 6: "zcustomer#0001", 7: "_a ab"}
+    whole = lambda n, t: any(t[i : i + len(n)] == n and not (t[max(0, i - 1) : i] + t[i + len(n) : i + len(n) + 1]).strip("-# đéức") for i in range(len(t)))
+    want = {(k, n) for k, t in texts.items() if t for n in names if (n in t if len(n) > 2 else whole(n, t))}
+    t, n = spark.createDataFrame(list(texts.items()), "k int, t string"), spark.createDataFrame([(x,) for x in names], "n string")
+    monkeypatch.setattr(similar, "PART_NAMES", 10)
+    found = similar.mentions(t, n, "k", F.col("t"), F.col("n"), "n")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 8
+
+
+def test_what_lasts_is_made_once(spark):
+    from ledgerloom.operators.lookup import lasting
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    got = lasting(spark.range(7).mapInArrow(run, "id long"))
+    assert sorted(r.id for r in got.collect()) == list(range(7)) and made.value == 7
