@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +129,7 @@ def task_hits(searches: DataFrame, tasks: DataFrame, dims: Sequence[str] = ("rol
     t = lasting(tasks.select("task", "place", "name", "assignee", *[d for d in dims], F.array_compact(F.array(*[tag[d] for d in dims])).alias("_tags")))
     out = ["task", "place", "name", "assignee", "role"]
 
-    values = t.select(F.explode(F.array(*[F.struct(tag[r].alias("tag"), F.lit(r).alias("rel"), F.col(r).alias("value")) for r in rels])).alias("v")).select("v.*").where("value is not null").distinct()
+    values = reduce(DataFrame.union, [t.where(F.col(r).isNotNull()).select(tag[r].alias("tag"), F.lit(r).alias("rel"), F.col(r).alias("value")).distinct() for r in rels])
     values = lasting(values.withColumn("word", text.ascii_words(F.col("value"))))
     of = lambda kind, whole, to: mentions(searches, values.where(kind), "search", F.col("said"), F.col("word"), "tag", whole=whole).groupBy("search").agg(F.array_sort(F.collect_set("tag")).alias(to))
     none = F.array().cast("array<string>")
@@ -148,17 +148,23 @@ def task_hits(searches: DataFrame, tasks: DataFrame, dims: Sequence[str] = ("rol
     shapes = [r[0] for r in p.select("_rels").distinct().collect()]  # no more than sets of dimensions
     hits = by_id
     if shapes:
-        sets = [F.when(F.forall(F.array(*[tag[r] for r in s]), lambda x: x.isNotNull()), F.array_sort(F.array(*[tag[r] for r in s]))) for s in shapes]
-        dealt = t.select(*out, F.explode(F.array_compact(F.array(*sets))).alias("_set")).join(p.select("_set").distinct(), "_set", "left_semi")
-        hits = hits.union(p.join(_first(dealt, ["_set"], limit), "_set").select("search", *out))
+        # Each shape by itself: where few sets are asked for, tasks are cut to the first of each before they are moved.
+        for shape in shapes:
+            whole = reduce(and_, [tag[r].isNotNull() for r in shape])
+            own = p.where(F.col("_rels") == F.array(*map(F.lit, shape)))
+            dealt = t.where(whole).select(*out, F.array_sort(F.array(*[tag[r] for r in shape])).alias("_set")).join(own.select("_set").distinct(), "_set", "left_semi")
+            hits = hits.union(own.join(_first(dealt, ["_set"], limit), "_set").select("search", *out))
 
     # By words of names, where nothing else is named; searches of the same words are one.
     terms = F.filter(F.regexp_extract_all("said", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 3) & ~w.isin(*NOT_NAMES))
     u = lasting(named.where("size(ids) + size(_dims) + size(_people) = 0").select("search", F.array_sort(terms).alias("_terms")).where("size(_terms) > 0"))
     words = u.select("_terms").distinct().select("_terms", F.explode("_terms").alias("term")).groupBy("_terms", "term").agg(F.count("*").alias("times"))
-    held = mentions(t, words.select("term").distinct(), "task", text.ascii_words(F.col("name")), F.col("term"), "term", whole=0)
-    enough = words.join(held, "term").groupBy("_terms", "task").agg(F.sum("times").alias("n")).where(F.col("n") >= F.least(F.lit(2), F.size("_terms")))
-    by_name = _first(enough.join(t, "task"), ["_terms"], limit)
+    # Tasks of the same name are held by the same searches, which get no more than the first of each name.
+    t = t.withColumn("_name", text.ascii_words(F.col("name")))
+    held = mentions(t.select("_name").distinct(), words.select("term").distinct(), "_name", F.col("_name"), F.col("term"), "term", whole=0)
+    enough = lasting(words.join(held, "term").groupBy("_terms", "_name").agg(F.sum("times").alias("n")).where(F.col("n") >= F.least(F.lit(2), F.size("_terms"))))
+    first = _first(t.join(enough.select("_name").distinct(), "_name", "left_semi").select("_name", *out), ["_name"], limit)
+    by_name = _first(enough.join(first, "_name"), ["_terms"], limit)
     return _first(hits.union(u.join(by_name, "_terms").select("search", *out)), ["search"], limit)
 
 
