@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import core, gates
+from .lookup import lasting
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -126,7 +127,11 @@ def status_split(tasks: DataFrame, today: Column) -> DataFrame:
 
 
 def run_rules(tasks: DataFrame, calendar: DataFrame, overtime: DataFrame, today: Column, end: Column, sprint: str, hour: int) -> DataFrame:
-    """[U01] Items of all rules: T1, T2, T4 of tasks, S1, S2 of sprints, M1, M2 of categories, P2, P3, P4 of people."""
+    """[U01] Items of all rules: T1, T2, T4 of tasks, S1, S2 of sprints, M1, M2 of categories, P2, P3, P4 of people.
+
+    Tasks are made once, not once a rule with all their joins, and so is the calendar.
+    """
+    tasks, calendar = lasting(tasks.select("ref", "assignee", "category", "status", "is_done", "plan_start", "plan_end", "estimate", "actual", "remaining", "sprint")), lasting(calendar.select("person", "day", "hours"))
     late = core.overdue(tasks.where("plan_end is not null"), today)
     over = core.overrun(tasks)
     idle = gates.not_started(tasks.where("plan_start is not null"), today)

@@ -74,3 +74,22 @@ def test_wide_lists_and_confidence(spark):
     assert reports.widened(lists.where("false"), "k", "v", "file").columns == ["k", "file_1"]
     c = spark.createDataFrame([(1, 1.0), (1, None), (2, None), (3, 0.0)], "k int, c double").groupBy("k").agg(reports.mean_log(F.col("c")).alias("m"))
     assert [round(r.m, 4) for r in c.orderBy("k").collect()] == [0.0, -0.1, -13.8155]
+
+
+def test_tasks_are_made_once_for_all_rules(spark):
+    from ledgerloom.operators import rules
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    kind = "ref string, assignee string, category string, status string, is_done boolean, plan_start date, plan_end date, estimate double, actual double, remaining double, sprint string"
+    tasks = spark.sql("SELECT 'a' AS ref, CAST(NULL AS string) AS assignee, 'c' AS category, 'Verify bug' AS status, false AS is_done, DATE '2026-01-01' AS plan_start, DATE '2026-01-02' AS plan_end, 2D AS estimate, 4D AS actual, 1D AS remaining, 'S 1' AS sprint").mapInArrow(run, kind)
+    calendar = spark.createDataFrame([("p", None, 8.0)], "person string, day date, hours double")
+    overtime = spark.createDataFrame([], "person string, day date, hours double")
+    day = F.lit("2026-01-10").cast("date")
+    got = {(r.rule, r.ref, r.score) for r in rules.run_rules(tasks, calendar, overtime, day, day, "S 1", 9).collect()}
+    assert got == {("T1", "a", 9), ("T2", "a", 4), ("M1", "c", 3), ("M2", "c", 6), ("P3", "a", 6)} and made.value == 1
