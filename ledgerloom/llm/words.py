@@ -16,8 +16,8 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Words, and pieces, that a worker keeps before it starts that table anew.
-KEPT = 100_000
+#: Words, and pieces, that a worker keeps before it starts that table anew; from the table before, what still occurs is taken over.
+KEPT = 200_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1_000_000
 #: Words whose pieces do not depend on normalisation; a special string has "<|".
@@ -59,6 +59,8 @@ class Words:
         self.letters, self.batched, self.by_words = byte_letters(), batched, by_words(path)
         self.words: dict[bytes, object] = {}
         self.pieces: dict[str, object] = {}
+        self.old_words: dict[bytes, object] = {}
+        self.old_pieces: dict[str, object] = {}
 
     def of(self, ids: list[int]) -> object:
         return array("I", ids).tobytes() if self.join is not sum else len(ids)
@@ -77,19 +79,28 @@ class Words:
             found = self.whole.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [[t] for t in texts], {t: self.of(e.ids) for t, e in zip(texts, found)}
         if len(self.words) > KEPT:
-            self.words = {}
+            self.old_words, self.words = self.words, {}
         if len(self.pieces) > KEPT:
-            self.pieces = {}
+            self.old_pieces, self.pieces = self.pieces, {}
         split = [t.split() for t in texts]
         new = set().union(*split).difference(self.words)
+        known = new.intersection(self.old_words)
+        self.words.update(zip(known, map(self.old_words.__getitem__, known)))
+        new -= known
         plain, other = [], []
         for w in new:
+            if w.isalpha() and len(w) <= 200:  # ASCII letters alone are one piece
+                plain.append((w, (w.decode().lower(),)))
+                continue
             s = w.decode("utf-8", "replace")
             if PLAIN.fullmatch(s):
                 plain.append((w, PIECES.findall(s.lower())))
             else:
                 other.append((w, s))
-        self.encode_pieces(list({p for _, ps in plain for p in ps}.difference(self.pieces)))
+        parts = {p for _, ps in plain for p in ps}.difference(self.pieces)
+        known = parts.intersection(self.old_pieces)
+        self.pieces.update(zip(known, map(self.old_pieces.__getitem__, known)))
+        self.encode_pieces(list(parts - known))
         get, join = self.pieces.__getitem__, self.join
         self.words.update((w, get(ps[0]) if len(ps) == 1 else join(map(get, ps))) for w, ps in plain)
         if other:

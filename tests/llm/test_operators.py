@@ -622,3 +622,17 @@ def test_settled_tables_are_deleted(spark):
     with pytest.raises(ZeroDivisionError):
         common.settled(spark, lambda: (common.cut(df), 1 // 0))
     assert {p.name.split("-")[0] for p in set(folder.iterdir()) - before} == {"outer"}
+
+
+def test_a_new_table_takes_over_the_words_that_still_occur(monkeypatch):
+    from ledgerloom.llm import queries, words
+
+    monkeypatch.setattr(words, "KEPT", 3)
+    library, parts = words.Words(queries.vocabulary(), b"".join, False), [b"one two three four", b"one five", b"one six's", b"two one x1", b"\xc4\x91 one three"]
+    sought, encode = [], library.encode_pieces
+    monkeypatch.setattr(library, "encode_pieces", lambda new: (sought.extend(new), encode(new)))
+    for p in parts:
+        split, kept = library.look_up([p])
+        whole = library.whole.encode(p.decode(), add_special_tokens=False).ids
+        assert b"".join(kept[w] for w in split[0]) == library.of(whole)
+    assert sought.count("one") == 1
