@@ -92,8 +92,8 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str = "cut
     return spark.read.schema(df.schema).parquet(path)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], row_bytes: int, all_bytes: int, held_out=None, text: str = "text", key: str = "doc_id", label: str = "label") -> tuple[list[tuple[bytes, int]], float]:
-    """((text, label) of a bounded sample, share of label 1 among all labels), by ids whose label is 0 or 1 and that are not held out.
+def sample_rows(docs: DataFrame, labels: DataFrame, most: dict[int, int], row_bytes: int, all_bytes: int, held_out=None, text: str = "text", key: str = "doc_id", label: str = "label") -> tuple[DataFrame, float]:
+    """(id, y, t of a bounded sample, share of label 1 among all labels), by ids whose label is 0 or 1 and that are not held out.
 
     In an order by hash, at most most[y] ids of each label; of their rows those with a text of at most row_bytes, until all_bytes
     of that label are reached. A row is used whole or not at all.
@@ -110,8 +110,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: dict[int, int], ro
     line = Window.partitionBy("y").orderBy(spread, "id", "t")
     rows = some.withColumn("so_far", F.sum(size).over(line)).withColumn("place", F.row_number().over(line))
     limit = F.when(F.col("y") == 1, most[1]).otherwise(most[0])
-    rows = [(r["id"], r["y"], r["t"].encode()) for r in rows.where((F.col("so_far") <= all_bytes) & (F.col("place") <= limit)).collect()]
-    return [(t, y) for _, y, t in sorted(rows)], counts.get(1, 0) / sum(counts.values()) if counts else 0.0
+    kept = rows.where((F.col("so_far") <= all_bytes) & (F.col("place") <= limit)).select("id", "y", "t")
+    return kept, counts.get(1, 0) / sum(counts.values()) if counts else 0.0
+
+
+def labelled_sample(*args, **named) -> tuple[list[tuple[bytes, int]], float]:
+    """((text, label) in the order of ids, share): ``sample_rows`` as a list."""
+    kept, share = sample_rows(*args, **named)
+    return [(t, y) for _, y, t in sorted((r["id"], r["y"], r["t"].encode()) for r in kept.collect())], share
 
 
 def maybe_in(rows: DataFrame, key: str, asked: DataFrame, bits: int = BITS, name: str | None = None) -> DataFrame:

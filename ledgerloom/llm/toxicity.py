@@ -12,6 +12,7 @@ Repeated rows get equal scores. Other columns are carried along, but for one nam
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample
+from .common import sample_rows
 from .words import by_bytes
 
 WINDOW, STRIDE = 32, 24
@@ -262,8 +263,15 @@ def scores(net: Network | float, texts: list[bytes]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, held_out=None, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Network | float:
     """A network from the labelled rows whose id is not held out."""
-    rows, share = labelled_sample(docs, labels, {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}, ROW_BYTES, SAMPLE_BYTES, held_out, text, key, label)
-    return fit(rows, share)
+    rows, share = sample_rows(docs, labels, {0: SAMPLE_CLEAN, 1: SAMPLE_TOXIC}, ROW_BYTES, SAMPLE_BYTES, held_out, text, key, label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(r["id"], r["y"], r["t"].encode()) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(t, y) for _, y, t in sorted(held)], share))], pa.binary())], ["net"])
+
+    # The bounded sample meets in one task, not on the driver, which gets the parameters only: words and arrays of the fit would stay in its memory.
+    made = rows.coalesce(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(made["net"]) if made else share  # without rows there may be no task
 
 
 def score(docs: DataFrame, net: Network | float, text: str = "text", key: str = "doc_id") -> DataFrame:

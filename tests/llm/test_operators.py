@@ -551,6 +551,16 @@ def test_training_uses_no_held_out_label_and_reads_long_texts(spark):
     assert not toxicity.score(docs.limit(0), nets[0]).collect()
 
 
+def test_training_is_not_the_drivers(spark, monkeypatch):
+    """The sample's fit runs in a task: its texts and arrays stay out of the driver's memory."""
+    import os
+
+    monkeypatch.setattr(toxicity, "fit", lambda rows, share: float(os.getpid()) + len(rows) / 1000)
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(8)], "doc_id long, text string")
+    told = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"))
+    assert int(told) != os.getpid() and round(told % 1 * 1000) == 8
+
+
 def test_warc_ties_and_sizes(spark):
     """Null ids, repeated rows, ties on the largest id, files of bounded size, clashing columns."""
     common.ship(spark)
