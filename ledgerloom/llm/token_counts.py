@@ -1,8 +1,8 @@
 """Operator 10, token counts: batch encoding in an Arrow function that returns lengths only.
 
 Each Arrow batch is cut into parts of about equal bytes; the texts of a part are split at ASCII white space, a safe
-boundary (see :mod:`.words`), and the distinct words of the part are encoded in one call. Long texts are thus no
-larger a unit than short ones.
+boundary (see :mod:`.words`), and a word is encoded when it first occurs. Long texts are thus no larger a unit than
+short ones.
 
 Null texts and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each. Other columns are not read.
 """

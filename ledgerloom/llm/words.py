@@ -4,7 +4,7 @@ The vocabulary's normaliser turns white space into one blank and its splitter dr
 white space, and special strings hold none: cutting there is safe. A text's tokens are those of its words in order.
 A word of plain Latin letters, digits and ASCII signs is cut further into the splitter's own pieces, which the
 library's merges then encode; any other word (other scripts, combining marks, special strings) goes through the
-whole library. Bounded tables keep what words and pieces gave. A vocabulary file with another normaliser or splitter, or with
+whole library. Bounded tables keep what words and pieces gave, each made when it is first looked up. A vocabulary file with another normaliser or splitter, or with
 special strings that aren't named below, is used through the library alone, text by text.
 """
 
@@ -20,8 +20,8 @@ from collections.abc import Callable, Iterable
 KEPT = 200_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1_000_000
-#: Words whose pieces do not depend on normalisation; a special string has "<|".
-PLAIN = re.compile(r"(?!.*<\|)[!-~À-įı-ſ]{1,200}")
+#: Words whose pieces do not depend on normalisation, if they hold no "<|", as special strings do.
+PLAIN = re.compile(r"[!-~À-įı-ſ]{1,200}")
 #: The splitter's pattern over such words in lower case.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
@@ -45,68 +45,68 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Table(dict):
+    """A bounded table of what ``make`` gives for a key, filled by look-ups."""
+
+    def __init__(self, make: Callable, old: dict | None = None):
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def renewed(self) -> Table:
+        """This table, or where it is full a new one that takes over from it what still occurs."""
+        if len(self) <= KEPT:
+            return self
+        self.old = {}
+        return Table(self.make, self)
+
+
 class Words:
-    """word -> what ``of`` makes of lists of ids, parts put together by ``join``."""
+    """word -> what ``of`` makes of lists of ids (with numbers: how many they are), parts put together by ``join``."""
 
-    def __init__(self, path: str, join: Callable, batched: bool):
+    def __init__(self, path: str, join: Callable, numbers: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.join = Tokenizer.from_file(path), join
+        self.whole, self.join, self.numbers = Tokenizer.from_file(path), join, numbers
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.bare = Tokenizer(self.whole.model)  # the merges alone: no normaliser, no splitter
-        self.letters, self.batched, self.by_words = byte_letters(), batched, by_words(path)
-        self.words: dict[bytes, object] = {}
-        self.pieces: dict[str, object] = {}
-        self.old_words: dict[bytes, object] = {}
-        self.old_pieces: dict[str, object] = {}
+        self.merges = self.whole.model.tokenize  # the merges alone: no normaliser, no splitter
+        self.letters, self.by_words = byte_letters(), by_words(path)
+        self.words, self.pieces = Table(self.of_word), Table(self.of_piece)
 
     def of(self, ids: list[int]) -> object:
-        return array("I", ids).tobytes() if self.join is not sum else len(ids)
+        return len(ids) if self.numbers else array("I", ids).tobytes()
 
     def encode_pieces(self, new: list[str]) -> None:
-        shown = [p.encode().decode("latin-1").translate(self.letters) for p in new]
-        if self.batched:
-            self.pieces.update(zip(new, map(len, self.bare.encode_batch_fast(shown, add_special_tokens=False))))
-        else:
-            tokenize = self.whole.model.tokenize
-            self.pieces.update((p, self.of([t.id for t in tokenize(s)])) for p, s in zip(new, shown))
+        for p in new:
+            found = self.merges(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))
+            self.pieces[p] = len(found) if self.numbers else array("I", [t.id for t in found]).tobytes()
+
+    def of_piece(self, piece: str) -> object:
+        self.encode_pieces([piece])
+        return self.pieces[piece]
+
+    def of_word(self, word: bytes) -> object:
+        if word.isalpha() and len(word) <= 200:  # ASCII letters alone are one piece
+            return self.pieces[word.lower().decode()]
+        s = word.decode("utf-8", "replace")
+        if PLAIN.fullmatch(s) and "<|" not in s:
+            return self.join(map(self.pieces.__getitem__, PIECES.findall(s.lower())))
+        return self.of(self.whole.encode_batch_fast([s], add_special_tokens=False)[0].ids)
 
     def look_up(self, texts: list[bytes]) -> tuple[list[list[bytes]], dict]:
-        """The words of each text, and a table that has them all."""
+        """The words of each text, and a table that gives each of them, by its ``__getitem__``."""
         if not self.by_words:
             found = self.whole.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [[t] for t in texts], {t: self.of(e.ids) for t, e in zip(texts, found)}
-        if len(self.words) > KEPT:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) > KEPT:
-            self.old_pieces, self.pieces = self.pieces, {}
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.words)
-        known = new.intersection(self.old_words)
-        self.words.update(zip(known, map(self.old_words.__getitem__, known)))
-        new -= known
-        plain, other = [], []
-        for w in new:
-            if w.isalpha() and len(w) <= 200:  # ASCII letters alone are one piece
-                plain.append((w, (w.decode().lower(),)))
-                continue
-            s = w.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s):
-                plain.append((w, PIECES.findall(s.lower())))
-            else:
-                other.append((w, s))
-        parts = {p for _, ps in plain for p in ps}.difference(self.pieces)
-        known = parts.intersection(self.old_pieces)
-        self.pieces.update(zip(known, map(self.old_pieces.__getitem__, known)))
-        self.encode_pieces(list(parts - known))
-        get, join = self.pieces.__getitem__, self.join
-        self.words.update((w, get(ps[0]) if len(ps) == 1 else join(map(get, ps))) for w, ps in plain)
-        if other:
-            found = self.whole.encode_batch_fast([s for _, s in other], add_special_tokens=False)
-            self.words.update((w, self.of(e.ids)) for (w, _), e in zip(other, found))
-        return split, self.words
+        self.words, self.pieces = self.words.renewed(), self.pieces.renewed()
+        return [t.split() for t in texts], self.words
 
 
 _OPEN: dict[tuple, Words] = {}

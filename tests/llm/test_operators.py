@@ -646,3 +646,14 @@ def test_a_new_table_takes_over_the_words_that_still_occur(monkeypatch):
         whole = library.whole.encode(p.decode(), add_special_tokens=False).ids
         assert b"".join(kept[w] for w in split[0]) == library.of(whole)
     assert sought.count("one") == 1
+
+
+def test_the_old_table_of_words_is_asked_but_never_run_through():
+    class Asked(dict):
+        def __iter__(self):
+            raise AssertionError("run through")
+
+    library = words.Words(queries.vocabulary(), b"".join, False)
+    split, kept = library.look_up([b"one two,"])
+    kept.old = Asked({b"one": b"x"})
+    assert [kept[w] for w in split[0]] == [b"x", library.of(library.whole.encode("two,", add_special_tokens=False).ids)]
