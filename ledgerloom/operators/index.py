@@ -7,50 +7,88 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import re
+import sys
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 SCHEMA = "inverted-index/v1"
 BUCKETS, SALTS = 64, 8
 K1, B = 1.5, 0.75
+#: Postings that a task hands on at a time.
+LOT = 100_000
 
 
 class StaleIndex(ValueError):
     """The index was made from other documents."""
 
 
-def input_digest(docs: DataFrame, key: str, text: str) -> str:
-    """[K05] A digest of the rows' ids and texts, whatever their order: sums of two hashes, and their number."""
+def input_state(docs: DataFrame, key: str, text: str) -> tuple[str, int]:
+    """[K05] A digest of the rows' ids and texts, whatever their order: sums of two hashes, and their number; that number."""
     row = [F.xxhash64(F.lit(i), key, text).cast("decimal(38,0)") for i in (1, 2)]
     sums = docs.agg(F.count("*"), *[F.sum(r) for r in row]).first()
-    return hashlib.sha256(",".join(str(s) for s in sums).encode()).hexdigest()
+    return hashlib.sha256(",".join(str(s) for s in sums).encode()).hexdigest(), sums[0]
+
+
+_WORD = re.compile("[a-z0-9]+")
+
+
+def counted_words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, dl, term, tf: each document's distinct words, how often they occur in it, and its number of words; counted where the text is read."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, dl, term, tf = [], [], [], []
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+            def lot(b: pa.RecordBatch = b) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], ["doc", "dl", "term", "tf"])
+
+            for i, t in enumerate(b.column(1)):
+                n = Counter(_WORD.findall(t.as_py()))
+                at += [i] * len(n)
+                dl += [n.total()] * len(n)
+                term += n
+                tf += n.values()
+                if len(at) >= LOT:
+                    yield lot()
+                    at, dl, term, tf = [], [], [], []
+            yield lot()
+
+    # Spark lowers the letters, as its SQL does.
+    said = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.lower(text).alias("text"))
+    return said.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, dl int, term string, tf long")
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def stored(spark: SparkSession, path: str, doc: str) -> DataFrame:
+    return spark.read.schema(f"term string, doc {doc}, dl int, tf long, bucket int").parquet(f"{path}/postings")
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> dict:
     """[K03 K05] Write postings (term, doc, tf, dl) by buckets of terms, sorted by term, and the manifest; returns the manifest.
 
-    A bucket lies in several files, so that a frequent term is no single task's. Documents without text have no postings but count.
+    A bucket lies in several files, so that a frequent term is no single task's. Each row of docs has postings of its own. Documents without text have no postings but count.
     """
     spark = docs.sparkSession
-    said = docs.select(F.col(key).alias("doc"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("ws"))
-    stats = said.agg(F.count("*").alias("n"), F.sum(F.size("ws")).alias("words")).first()
-    each = said.select("doc", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
-    postings = each.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc")
-    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
-    manifest = {"schema": SCHEMA, "input": input_digest(docs, key, text), "documents": stats["n"], "words": stats["words"] or 0, "doc": each.schema["doc"].dataType.simpleString()}
+    postings = counted_words(docs, key, text).select("term", "doc", "dl", "tf", bucket_of(F.col("term")).alias("bucket"))
+    postings.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
+    kind = docs.schema[key].dataType.simpleString()
+    words = stored(spark, path, kind).agg(F.sum("tf")).first()[0]
+    digest, n = input_state(docs, key, text)
+    manifest = {"schema": SCHEMA, "input": digest, "documents": n, "words": words or 0, "doc": kind}
     spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).coalesce(1).write.text(f"{path}/manifest")  # last: without it there is no index
     return manifest
 
@@ -71,14 +109,15 @@ def search(spark: SparkSession, path: str, words: Sequence[str], keep: int, docs
     With docs, an index of other documents is refused. With allowed (doc), the best are sought among the first 8 * keep.
     """
     told = manifest_of(spark, path)
-    if docs is not None and input_digest(docs, key, text) != told["input"]:
+    if docs is not None and input_state(docs, key, text)[0] != told["input"]:
         raise StaleIndex(f"{path} was made from other documents")
     terms = sorted({w.lower() for w in words})
-    schema = f"term string, doc {told['doc']}, dl int, tf long, bucket int"
     if not terms or not told["words"]:
         return spark.createDataFrame([], f"doc {told['doc']}, score double")
     buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).collect()})
-    held = spark.read.schema(schema).parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    held = stored(spark, path, told["doc"]).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    # Rows of one id and length count as one document, as in the search without an index; only the asked words' postings are shuffled for it.
+    held = held.groupBy("term", "doc", "dl").agg(F.sum("tf").alias("tf"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = told["documents"], told["words"] / told["documents"]
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

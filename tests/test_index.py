@@ -24,6 +24,27 @@ def test_index_gives_what_the_search_gives(spark, tmp_path):
     assert told["documents"] == docs.count()
 
 
+def test_words_are_counted_where_texts_are_read(spark, tmp_path, monkeypatch):
+    """One shuffle, of a document's distinct words; also where a text has more words than are handed on at a time, capitals that grow when lowered, or none."""
+    monkeypatch.setattr(index, "LOT", 3)
+    given = [(1, "A b a B a c d"), (2, None), (3, ""), (4, "\u0130x \u212a9 -"), (5, "a")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    wanted = {(1, 7, "a", 3), (1, 7, "b", 2), (1, 7, "c", 1), (1, 7, "d", 1), (4, 3, "i", 1), (4, 3, "x", 1), (4, 3, "k9", 1), (5, 1, "a", 1)}
+    counted = index.counted_words(docs, "doc_id", "text")
+    assert {tuple(r) for r in counted.collect()} == wanted and "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    told = index.build(docs, f"{tmp_path}/i")
+    assert (told["documents"], told["words"]) == (5, 11)
+    assert {(r.doc, r.dl, r.term, r.tf) for r in index.stored(spark, f"{tmp_path}/i", "bigint").collect()} == wanted
+
+
+def test_rows_of_one_id_count_as_without_an_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (1, "a a c"), (2, "c d"), (None, "a"), (None, "a"), (3, "d d d d")], "doc_id long, text string")
+    index.build(docs, f"{tmp_path}/i")
+    for words in (["a"], ["a", "c"]):
+        want = core.bm25(docs, words, 9).collect()
+        assert want and index.search(spark, f"{tmp_path}/i", words, 9, docs).collect() == want
+
+
 def test_stale_index_is_refused(spark, tmp_path):
     kind = "doc_id long, text string"
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], kind)
