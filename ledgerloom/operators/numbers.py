@@ -44,6 +44,11 @@ MASKS = (
     r"\b\d{1,2}\.\d{1,2},(?=\s|$)",
     r"\b2\.\d+\.Sprint",
 )
+#: For each mask, texts of which one is in all that it can match, in every case that counts; without any, it is not tried. Clauses are found with their rows.
+NEEDS = (
+    ("[[",), ("`",), ("raw/", "wiki/"), ("/",), (".",), (), ("o", "O", "ec", "Ec", "eC", "EC", "cv", "Cv", "cV", "CV"), ("[[page ",), ("v",), ("Phi",),
+    ("ban",), ("ve", "Ve", "vE", "VE"), ("§",), ("",), ("-",), ("print",), ("bậc",), (".",), (",",), (".Sprint",),
+)
 # Numbers of clauses and of list items that begin a line, and rows of clause numbers.
 LINE_MARKS = (r"(?m)^[ \t>|*\-#]*\*{0,2}(\d+(?:[.,]\d+){1,3})\*{0,2}[.):]?(?=\s|$)", r"(?m)^[ \t>|*\-#]*\*{0,2}(\d{1,3})\*{0,2}[.)](?=\s|$)")
 CLAUSES = r"(?i:Điều|Chương|Mục|Khoản|Điểm)\s*(\d+(?:\s*[-–]\s*\d+)?)((?:\s*(?:,|và|hoặc)\s*\d+(?:\s*[-–]\s*\d+)?)*)"
@@ -77,7 +82,7 @@ FOUND = "side int, kind string, at long, token string, value string, unit string
 
 
 _UNIT_WORDS, _TOKEN, _DATE, _DOTTED, _CLAUSES, _SECTION, _DIGITS = map(re.compile, (UNIT_WORDS, TOKEN, DATE, DOTTED, CLAUSES, SECTION, r"\d+"))
-_MASKS, _LINE_MARKS = [re.compile(p) for p in MASKS], [re.compile(p) for p in LINE_MARKS]
+_MASKS, _LINE_MARKS = [(re.compile(p), need) for p, need in zip(MASKS, NEEDS, strict=True) if need], [re.compile(p) for p in LINE_MARKS]
 
 
 def unit_at(text: str, at: int) -> str | None:
@@ -91,6 +96,8 @@ def unit_at(text: str, at: int) -> str | None:
 
 def worth(token: str) -> str:
     """One spelling of a number or a date; a number as a plain decimal with all its digits."""
+    if token.isdigit() and token.isascii():
+        return token.lstrip("0") or "0"
     if _DATE.fullmatch(token):
         return f"date:{token}"
     bare = token.strip().rstrip(".,")
@@ -127,10 +134,15 @@ def stretches(text: str) -> list[list[int]]:
 def masked(text: str, a: int = 0, b: int | None = None) -> list[tuple[int, int]]:
     """[X09] Spans that name things: by pattern, numbers of lines that no unit follows, and rows of clause numbers up to the first with a unit."""
     b = len(text) if b is None else b
-    spans = [m.span() for p in _MASKS for m in p.finditer(text, a, b)]
+    spans = []
+    for p, need in _MASKS:
+        for n in need:
+            if text.find(n, a, b) >= 0:
+                spans += [m.span() for m in p.finditer(text, a, b)]
+                break
     spans += [m.span(1) for p in _LINE_MARKS for m in p.finditer(text, a, b) if unit_at(text, m.end()) is None]
     for m in _CLAUSES.finditer(text, a, b):
-        spans.append(m.span(1))
+        spans += [(m.start(), m.end(1)), m.span(1)]
         for n in _DIGITS.finditer(text, *m.span(2)):
             if unit_at(text, n.end()) is not None:
                 break
@@ -158,6 +170,8 @@ def tokens(text: str) -> Iterator[tuple]:
             if i < 0 or joined[i][1] <= m.start():
                 yield "number", m.start(), m[0], worth(m[0]), unit_at(text, m.end())
         for a, b in set(spans):
+            if text.find(".", a, b) < 0 and text.find(",", a, b) < 0:
+                continue
             for m in _DOTTED.finditer(text, a, b):
                 yield "identifier", m.start(), m[0], worth(m[0]), None
 

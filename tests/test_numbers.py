@@ -137,3 +137,16 @@ def test_facts_without_a_document_are_not_joined(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_masks_are_left_out_only_where_they_cannot_match():
+    """Texts made of parts of all masks, in the cases and with the letters that count as others: the spans are those of every mask."""
+    parts = ["ĐIỀU ", "điều\n4", " và 5", ", 6", " hoặc 7-8", "MỤC 1.2", "Khoản 9", "iſo 9", "ISO/IEC 2:3", "ıso 5", "İSO 7", "tcVn 12", "QcvN1", "iEc 3", "Phiên bản: 1.2", "Lan  banhanh4", "VerSion` : 1.2", "verſion 3", "§1.2.", "v1.2", "AB12:C3", "NEX-12", "Sprint 4 - 5", "bậc 3", "1.2.", "12.34, ", "2.5.Sprint", "[[page 3]]", "[[x 5]]", "`raw/1`", "raw/3", "12/2023/AB-CD1", "A.B1.C", "007", "1,000", "\n", " ", "x", "."]
+    rnd = random.Random(7)
+    every = [re.compile(p) for p in numbers.MASKS]
+    for _ in range(3000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 12)))
+        assert {m.span() for p in every for m in p.finditer(text)} <= set(numbers.masked(text)), text
+    tried = [p.pattern for p, need in numbers._MASKS if any(n in "Rule 7 in 5 days" for n in need)]
+    assert len(tried) == 1 and tried[0].startswith(r"\b[A-Z]{1,3}\d+")
+    assert [numbers.worth(t) for t in ("007", "000", "٣٤", "1.50")] == ["7", "0", "34", "1.5"]
