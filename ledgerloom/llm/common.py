@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from contextvars import ContextVar
@@ -53,6 +55,23 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+RELEASE_S = 15
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver give back what plans of tables already written hold: its heap grows with them, and Spark drops their shuffles and broadcasts only once they are collected.
+
+    At most once in RELEASE_S. What ``spark.cleaner.periodicGC.interval`` does twice an hour, and can't be set on a running session.
+    """
+    global _released
+    if time.monotonic() - _released >= RELEASE_S:
+        gc.collect()  # Python's frames hold their plans in the JVM
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 #: Tables that ``cut`` has written inside of the innermost ``settled``.
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("_WRITTEN", default=None)
 
@@ -67,6 +86,7 @@ def cut(df: DataFrame, what: str = "cut", row_group: int | None = None) -> DataF
     if held is not None:
         held.append(path)
     (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
