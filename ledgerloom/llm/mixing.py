@@ -142,7 +142,8 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, shard_blocks: int =
     end = F.least((F.col("block") + 1) * block - F.col("at"), F.col("size"))
     parts = parts.select("key", "row", F.col("src").alias("of"), F.col("block").alias("b"), start.alias("start"), (end - start).alias("words"))
     draws = slots(plan, seed, block, shard_blocks, most)
-    spans = draws.join(parts, draws["src"].eqNullSafe(parts["of"]) & (F.col("block") == F.col("b")))
+    # Spark knows the sizes of counts and of documents, not what they grow to here: either side would pass for small and go through the driver.
+    spans = draws.hint("merge").join(parts, draws["src"].eqNullSafe(parts["of"]) & (F.col("block") == F.col("b")))
     return named, spans.select("key", "row", "shard", "slot", "start", "words")
 
 

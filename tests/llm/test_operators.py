@@ -183,6 +183,15 @@ def test_mixing(spark, docs, none):
     assert texts == sum(r.taken for r in rows)
 
 
+def test_draws_do_not_go_through_the_driver(spark):
+    """Counts and documents are few and small here, by Spark's sizes, and would be broadcast with what they grow to."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * 5000) for i in range(8)], "doc_id long, source string, text string")
+    _, spans = mixing.mix(docs, block=4)
+    assert sum(r.words for r in spans.collect()) >= 40_000 - 8
+    plan = spans._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan.split("MapInPandas")[0] and "BroadcastHashJoin" not in plan.split("MapInPandas")[0]
+
+
 def luhn(s):
     t = 0
     for i, c in enumerate(reversed(s)):
