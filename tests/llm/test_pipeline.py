@@ -123,3 +123,14 @@ def test_cutting_lets_the_driver_collect_its_garbage(spark, monkeypatch):
     before = common._released
     common.cut(spark.range(3))
     assert common._released == before
+
+
+def test_the_mix_of_few_long_texts_does_not_go_through_the_driver(spark):
+    """What draws and texts grow to is joined where it is; both are small before."""
+    docs = spark.createDataFrame([(i, "w " * 20_000, "en", "ab"[i % 2], 40_000) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = dict(pipeline.STAGES)["mixing"](spark, docs, SMALL)
+    assert sum(len(r.text.split()) for r in mixed.collect()) >= 80_000 - 4 * 64
+    plan = mixed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above = plan.split("MapInPandas")[0].splitlines()
+    last = next(x for x in reversed(above) if "Join" in x)
+    assert "SortMergeJoin" in last
