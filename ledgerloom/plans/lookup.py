@@ -432,7 +432,7 @@ def delay_cascade(spark, sf_dir):
     SELECT node AS seed, node, 0 AS hop FROM s UNION ALL SELECT seed, node, 1 FROM one UNION ALL SELECT seed, node, 2 FROM two WHERE seed <> node""")
 def graph_neighbours(spark, sf_dir):
     """From customers, the months of their orders, and who ordered in those."""
-    e = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("y"), F.date_format("o_orderdate", "yyyyMM")).alias("b")).distinct()
+    e = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("y"), F.date_format("o_orderdate", "yyyyMM")).alias("b")).where("a is not null").distinct()
     seeds = e.where(F.substring("a", 2, 20).cast("long") % 100 == 1).select(F.col("a").alias("node")).distinct()
     return lookup.neighbours(e, seeds, 2)
 

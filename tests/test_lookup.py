@@ -1,3 +1,5 @@
+import random
+
 from ledgerloom.functions import text
 from ledgerloom.operators import core, lookup, rules
 from pyspark.sql import functions as F
@@ -66,3 +68,44 @@ def test_effort_is_compared_as_rounded(spark):
     rows = lambda side: spark.createDataFrame([(k, h) for k, c in enumerate(cases) for h in c[side]], "k int, hours double").coalesce(1)
     got = {r.k: r.verdict for r in lookup.effort_against_allocation(rows(0), rows(1), ["k"]).collect()}
     assert got == {k: c[2] for k, c in enumerate(cases)}
+
+
+def reached(edges, seeds, hops):
+    """The rows of neighbours, by a plain search from each seed."""
+    out = [(s, s, 0) for s in seeds]
+    for s in {s for s in seeds if s is not None}:
+        seen, last = {s}, {s}
+        for hop in range(1, hops + 1):
+            last = {y for a, b in edges for x, y in ((a, b), (b, a)) if x is not None and x in last} - seen
+            seen |= last
+            out += [(s, n, hop) for n in last]
+    return sorted(out, key=str)
+
+
+def test_neighbours_against_a_plain_search(spark, monkeypatch):
+    for k, v in {"SEEDS": 5, "EDGES": 40, "NODES": 3}.items():
+        monkeypatch.setattr(lookup, k, v, raising=False)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # nodes go on in the next batch
+    try:
+        r = random.Random(3)
+        edges = [(f"c{r.randrange(60)}", r.choice(["y1", "y2", "y3", "y4", "y5", None, f"c{r.randrange(60)}"])) for _ in range(110)] + [(None, "y1"), ("c1", "c1")]
+        seeds = ["c1", "c2", "c2", "c59", "y1", "nowhere", None] + [f"c{i}" for i in range(20, 45)]
+        asked = spark.createDataFrame([(s,) for s in seeds], "node string")
+        for hops in (0, 1, 2, 4):
+            got = lookup.neighbours(spark.createDataFrame(edges, "a string, b string"), asked, hops).collect()
+            assert sorted(map(tuple, got), key=str) == reached(edges, seeds, hops), hops
+        none = spark.createDataFrame([], "node string")
+        assert not lookup.neighbours(spark.createDataFrame(edges, "a string, b string"), none, 2).collect()
+        assert lookup.neighbours(spark.createDataFrame([], "a string, b string"), asked, 2).count() == len(seeds)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_pairs_that_many_edges_make_are_not_rows(spark):
+    """200 seeds and 300 others meet in 20 nodes: each pair twenty times over."""
+    edges = spark.range(500).select(F.concat(F.lit("c"), "id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("b")).select("a", F.concat(F.lit("y"), "b").alias("b"))
+    out = lookup.neighbours(edges, spark.range(200).select(F.concat(F.lit("c"), "id").alias("node")), 2)
+    assert out.count() == out.distinct().count() == 200 + 200 * 20 + 200 * 499
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
