@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lookup import lasting
+from .lookup import forget, lasting
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -107,6 +107,41 @@ def working_day(monday: Column, k: Column) -> Column:
     return F.date_add(monday, (k + 2 * F.floor(k / 5)).cast("int"))
 
 
+def _in_order(tasks: DataFrame, per_day: int) -> DataFrame:
+    """task, blocker, begins, ends, release of tasks whose persons and groups are of one sheet each: a sheet's tasks are read once, in the order of their places."""
+    line = Window.partitionBy("sheet").orderBy("place")
+    role = lambda r: F.coalesce(F.col("role") == r, F.lit(False))
+    # The window deals rows by sheet and sorts them, if they don't lie so already; its number tells where a sheet begins.
+    rows = tasks.withColumn("_n", F.row_number().over(line)).select("task", "release", "_n", "person", "grp", role("BE").alias("_be"), role("FE").alias("_fe"), "minutes", F.coalesce("done", F.lit(False)).alias("_done"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: dict = {}
+        back: dict = {}
+        for b in batches:
+            blockers, begins, ends = [], [], []
+            for task, release, n, person, grp, be, fe, minutes, done in zip(*(c.to_pylist() for c in b.columns)):
+                if n == 1:
+                    free, back = {}, {}  # when a person's last open task ends, and a group's last back end with the morning after it
+                blocker, morning = back.get(grp, (None, None)) if fe else (None, None)
+                at = release
+                if not done:
+                    for x in (morning, free.get(person)):
+                        if x is not None and (at is None or x > at):
+                            at = x
+                end = None if at is None or minutes is None else at + minutes
+                if not done and end is not None:
+                    free[person] = end
+                if be:
+                    back[grp] = task, None if end is None else -(-end // per_day) * per_day
+                blockers.append(blocker)
+                begins.append(at)
+                ends.append(end)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blockers, b.column(0).type), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), b.column(1)], ["task", "blocker", "begins", "ends", "release"])
+
+    kind = tasks.schema["task"].dataType.simpleString()
+    return rows.withColumn("release", F.col("release").cast("long")).mapInArrow(run, f"task {kind}, blocker {kind}, begins long, ends long, release long")
+
+
 def rescheduled(tasks: DataFrame, monday: Column, per_day: int = DAY_MINUTES) -> DataFrame:
     """[G14] task, blocker, begins, ends, first_day, last_day, moved of all tasks once late ones have pushed the others, to the fixpoint.
 
@@ -115,15 +150,29 @@ def rescheduled(tasks: DataFrame, monday: Column, per_day: int = DAY_MINUTES) ->
     An FE task waits for the nearest BE task before it in its group and begins the working day after that one ends; a person's open tasks follow one
     another in the order of their places, without a gap but for waiting or a later planned start. Both kinds of waiting point back in place, so it ends: a round
     passes on what the last one moved, by one join and one window, until nothing moves; there are as many as people wait for one another in a row.
+
+    With a column sheet, a person and a group are of one sheet (the same name in another is somebody else): one shuffle by sheet and one reading in
+    place of the rounds, and no tables between them.
     """
+    if "sheet" in tasks.columns:
+        t = _in_order(tasks, per_day)
+    else:
+        t = _in_rounds(tasks, per_day)
+    first = F.floor(F.col("begins") / per_day)
+    last = F.greatest(F.ceil(F.col("ends") / per_day) - 1, first)
+    return t.select("task", "blocker", "begins", "ends", working_day(monday, first).alias("first_day"), working_day(monday, last).alias("last_day"), (F.col("begins") > F.col("release")).alias("moved"))
+
+
+def _in_rounds(tasks: DataFrame, per_day: int) -> DataFrame:
+    """As ``_in_order``, of any tasks; two tables at a time are kept."""
     of_group, so_far = Window.partitionBy("grp").orderBy("place"), Window.partitionBy("person", "done").orderBy("place")
     back_end = F.last(F.when(F.col("role") == "BE", F.col("task")), ignorenulls=True).over(of_group.rowsBetween(Window.unboundedPreceding, -1))
     t = tasks.select("task", "place", "person", "grp", "role", "release", "minutes", F.coalesce("done", F.lit(False)).alias("done"))
     t = t.withColumn("blocker", F.when(F.col("role") == "FE", back_end))
     # Hours of a person's open tasks before this one: a task ends at the latest of (release - hours before it) so far, and all hours up to it.
     t = lasting(t.withColumn("before", F.when(F.col("done"), 0).otherwise(F.sum("minutes").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) - F.col("minutes"))).withColumn("ready", F.col("release")))
-    held = t.where("not done").select(F.col("blocker").alias("_on")).where("_on is not null").distinct()
     while True:
+        held, old = t.where("not done").select(F.col("blocker").alias("_on")).where("_on is not null").distinct(), t
         begins = F.when(F.col("done"), F.col("release")).otherwise(F.max(F.col("ready") - F.col("before")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
         t = t.withColumn("begins", begins).withColumn("ends", F.col("begins") + F.col("minutes"))
         morning = t.join(held, F.col("task") == F.col("_on"), "left_semi").select(F.col("task").alias("_on"), (F.ceil(F.col("ends") / per_day) * per_day).cast("long").alias("_ready"))
@@ -132,9 +181,8 @@ def rescheduled(tasks: DataFrame, monday: Column, per_day: int = DAY_MINUTES) ->
         now = t.withColumn("_own", own).join(morning.select("_ready", F.struct(F.lit(False).alias("none"), F.col("_on").alias("on")).alias("_on")), F.col("_own") == F.col("_on"), "left").drop("_on", "_own")
         waits = ~F.col("done") & (F.col("_ready") > F.col("ready"))
         t = lasting(now.withColumn("_up", F.coalesce(waits, F.lit(False))).withColumn("ready", F.when(waits, F.col("_ready")).otherwise(F.col("ready"))).drop("_ready"))
+        forget(old)
         if not t.where("_up").take(1):
             break
         t = t.drop("_up", "begins", "ends")
-    first = F.floor(F.col("begins") / per_day)
-    last = F.greatest(F.ceil(F.col("ends") / per_day) - 1, first)
-    return t.select("task", "blocker", "begins", "ends", working_day(monday, first).alias("first_day"), working_day(monday, last).alias("last_day"), (F.col("begins") > F.col("release")).alias("moved"))
+    return t

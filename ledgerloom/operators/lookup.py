@@ -43,6 +43,14 @@ def lasting(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table that ``lasting`` wrote for df; nothing may read it any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:  # a checkpoint has none
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # --- aggregates ---------------------------------------------------------------
 
 

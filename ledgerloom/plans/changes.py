@@ -50,6 +50,6 @@ def late_tasks(spark, sf_dir):
     part = lambda c: F.col("l_orderkey") * 2 + F.col(c) % 2
     tasks = l.withColumn("place", n).select(
         (F.col("l_orderkey") * 1000 + F.col("place")).alias("task"), "place", part("l_suppkey").alias("person"), part("l_partkey").alias("grp"), F.when(F.col("l_returnflag") == "R", "BE").otherwise("FE").alias("role"),
-        (F.col("place") * 480).alias("release"), minutes.alias("minutes"), ((F.col("l_linestatus") == "F") & (F.col("place") % 3 == 0)).alias("done"),
+        F.col("l_orderkey").alias("sheet"), (F.col("place") * 480).alias("release"), minutes.alias("minutes"), ((F.col("l_linestatus") == "F") & (F.col("place") % 3 == 0)).alias("done"),
     )
     return changes.rescheduled(tasks, F.lit("2026-07-27").cast("date"))

@@ -104,3 +104,47 @@ def test_tasks_without_a_blocker_are_many_tasks_work(spark):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+def test_sheets_are_read_once_in_order(spark):
+    """Persons and groups have the same names in all sheets; sheets go on in the next batch."""
+    r = random.Random(9)
+    rows = [(f"t{i}", i, f"p{r.randrange(3)}", f"g{r.randrange(3)}", r.choice(["BE", "FE", "FE", None]), r.randrange(12) * 480, r.randrange(1, 20) * 60, r.choice([True, False, False, None]), r.choice(["x", "y", "z", None])) for i in range(300)]
+    person, back, want = {}, {}, {}
+    for task, _, who, group, role, release, minutes, done, sheet in rows:
+        blocker, end = back.get((sheet, group), (None, 0)) if role == "FE" else (None, 0)
+        begins = release if done else max(release, person.get((sheet, who), 0), -(-end // 480) * 480)
+        want[task] = blocker, begins, begins + minutes, begins > release
+        if not done:
+            person[sheet, who] = begins + minutes
+        if role == "BE":
+            back[sheet, group] = task, begins + minutes
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "task string, place long, person string, grp string, role string, release long, minutes long, done boolean, sheet string")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = changes.rescheduled(df, F.lit("2026-07-27").cast("date")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert {x.task: (x.blocker, x.begins, x.ends, x.moved) for x in got} == want and len(got) == 300
+
+
+def test_late_tasks_shuffles_its_lines_once_and_writes_no_table(spark, tmp_path, monkeypatch):
+    from ledgerloom.plans import changes as plans
+
+    written = []
+    monkeypatch.setattr(changes, "lasting", lambda df: written.append(df) or df.localCheckpoint())
+    out = plans.late_tasks(spark, "/root/testdata/sf0.001")
+    assert not written and str(out._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+
+
+def test_rounds_keep_no_older_table(spark, monkeypatch):
+    made = []
+    lasting = changes.lasting
+    monkeypatch.setattr(changes, "lasting", lambda df: made.append(lasting(df)) or made[-1])
+    rows = [(f"{k}{i}", i, f"{k}{i}", f"g{i if k == 'b' else i - 1}", "BE" if k == "b" else "FE", 0, 480, False) for i in range(1, 4) for k in "fb"]
+    rows = [(t, 2 * p + (t[0] == "b"), f"p{p}", g, role, a, m, d) for t, p, _, g, role, a, m, d in rows]  # b1, then f2 and b2 of p2, then f3 and b3 of p3
+    out = moved(spark, rows)
+    assert out["b3"].begins == 2400 and len(made) > 3
+    there = [spark._jvm.java.io.File(spark._jvm.java.net.URI(f)).exists() for df in made for f in df.inputFiles()[:1]]
+    assert there == [False] * (len(there) - 1) + [True]
