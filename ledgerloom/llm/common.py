@@ -68,6 +68,18 @@ def release(spark: SparkSession) -> None:
     global _released
     if time.monotonic() - _released >= RELEASE_S:
         gc.collect()  # Python's frames hold their plans in the JVM
+        # What Python let go is told to the JVM by a thread that sleeps up to a second; it would come too late.
+        client = spark.sparkContext._gateway._gateway_client
+        waiting = getattr(client, "finalizer_deque", None)
+        while waiting:
+            try:
+                task = waiting.pop()
+            except IndexError:  # that thread took the last one
+                break
+            if not isinstance(task, tuple):  # the word to end
+                waiting.append(task)
+                break
+            task[0].garbage_collect_object(task[1], False)
         spark.sparkContext._jvm.System.gc()
         _released = time.monotonic()
 

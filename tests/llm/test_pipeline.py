@@ -134,3 +134,16 @@ def test_the_mix_of_few_long_texts_does_not_go_through_the_driver(spark):
     above = plan.split("MapInPandas")[0].splitlines()
     last = next(x for x in reversed(above) if "Join" in x)
     assert "SortMergeJoin" in last
+
+
+def test_what_python_let_go_is_collected_at_once(spark, monkeypatch):
+    from ledgerloom.llm import common
+
+    monkeypatch.setattr(common, "_released", common._released)
+    for _ in range(5):  # the thread that tells the JVM sleeps a second between
+        held = spark._jvm.java.lang.Object()
+        weak = spark._jvm.java.lang.ref.WeakReference(held)
+        del held
+        common._released = -1e9
+        common.release(spark)
+        assert weak.get() is None
